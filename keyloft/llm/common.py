@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: White space as the contracts name it: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,3 +86,8 @@ def slices(column: pa.Array, budget: int) -> Iterator[tuple[int, int]]:
 def worker_limits() -> None:
     """One thread for each Python worker: Spark already runs one worker for each core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def widened(schema: StructType, **more: DataType) -> StructType:
+    """A copy of the schema with further columns, named with their types."""
+    return StructType([*schema.fields, *(StructField(k, v) for k, v in more.items())])

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
-from keyloft.llm.common import slices
+from keyloft.llm.common import slices, widened
 
 #: Payloads are padded to multiples of this: nine blocks of 64 coefficients.
 UNIT = 576
@@ -421,7 +422,7 @@ def thumbnails(media: DataFrame, column: str = "media") -> DataFrame:
             w, h, x = zip(*map(one, batch.column(column).to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.record_batch([*batch.columns, pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(x, pa.string())], names=[*names, "width", "height", "thumbnail_hash"])
 
-    return media.mapInArrow(run, media.schema.add("width", "int").add("height", "int").add("thumbnail_hash", "string"))
+    return media.mapInArrow(run, widened(media.schema, width=IntegerType(), height=IntegerType(), thumbnail_hash=StringType()))
 
 
 def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -17,8 +17,9 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from keyloft.llm.common import save, slices
+from keyloft.llm.common import save, slices, widened
 from keyloft.llm.tokens import BATCH_BYTES, word_ids
 
 CAPACITY = 2048
@@ -154,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             own = [batch.column(n) for n in names]
             yield pa.record_batch([*own, pa.array(t["bin"][k] + rank - t["rank"][k]), pa.array(t["offset"][k])], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, widened(pieces.schema, sequence_id=LongType(), offset=LongType()))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from keyloft.llm.common import crc_of_id, slices
+from keyloft.llm.common import crc_of_id, slices, widened
 from keyloft.llm.labelled import PER_CLASS, sample
 
 GRAMS = (2, 3, 4)
@@ -26,6 +27,8 @@ GRAM_BITS, WORD_BITS = 16, 16
 BUCKETS = (1 << GRAM_BITS) + (1 << WORD_BITS) + 1
 REPEAT = BUCKETS - 1
 DIM = 8
+#: A word feature counts as often as this: a word of six bytes has 18 n-grams.
+WORD_WEIGHT = 4
 #: Longer texts are taken in pieces of this many bytes, cut after white space; features do not cross a cut.
 PIECE = 1 << 20
 SCALE = 1 << 12
@@ -109,14 +112,14 @@ class Model:
 
     def sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         grams, spans, words, owner = features(texts)
-        total = np.bincount(owner, weights=self.table[words], minlength=len(texts)).astype(np.int64) if len(words) else np.zeros(len(texts), np.int64)
+        total = WORD_WEIGHT * np.bincount(owner, weights=self.table[words], minlength=len(texts)).astype(np.int64) if len(words) else np.zeros(len(texts), np.int64)
         edges, length = spans.T.reshape(-1), spans[1] - spans[0]
         for g in grams:
             total += np.where(length > 0, np.add.reduceat(self.table[g], edges, dtype=np.int64)[::2], 0)
-        return total, length * len(grams) + np.bincount(owner, minlength=len(texts))
+        return total, length * len(grams) + WORD_WEIGHT * np.bincount(owner, minlength=len(texts))
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.4, seed: int = 1) -> Model:
+def train(rows: list[tuple[bytes, int]], epochs: int = 8, rate: float = 0.4, seed: int = 1) -> Model:
     """Fits vectors and output rows by stochastic gradient descent, one document at a time.
 
     Classes weigh the same. Without rows of both classes the model knows only the bias,
@@ -130,7 +133,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.4, se
     for text, _ in rows:
         grams, spans, words, _ = features([text])
         b, e = spans[:, 0]
-        ids, n = np.unique(np.concatenate([*(g[b:e].astype(np.int64) for g in grams), words]), return_counts=True)
+        ids, n = np.unique(np.concatenate([*(g[b:e].astype(np.int64) for g in grams), *[words] * WORD_WEIGHT]), return_counts=True)
         docs.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -182,7 +185,7 @@ def score(docs: DataFrame, model: Model, column: str, threshold: float | None =
                 else:
                     yield part.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema if threshold is not None else docs.schema.add(column, "double"))
+    return docs.mapInArrow(run, docs.schema if threshold is not None else widened(docs.schema, **{column: DoubleType()}))
 
 
 def judged(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
