@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,21 @@ from pyspark.sql.types import DataType, StructField, StructType
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless their path already has it."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_keyloft_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="keyloft-")) / "keyloft.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "keyloft").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    sc.addPyFile(str(archive))  # served by the driver; executors keep their own copy
+    sc._keyloft_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

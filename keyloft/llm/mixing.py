@@ -72,25 +72,32 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     return t.select("source", "source_size", "source_no", F.when(F.col("__kl_capped"), F.col("__kl_cap")).otherwise(F.col("__kl_w") * final).alias("target"))
 
 
-def _sources_and_rows(docs: DataFrame, weights, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
-    rows = save(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words().alias("size")), "sizes")
+def _sized(docs: DataFrame, whole: bool) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__kl_row")] if whole else []))
+    return rows if whole else save(rows, "sizes")
+
+
+def _sources(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """The small table of sources: source, source_size, source_no, target, __kl_shards."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__kl_rows"))
-    sources = sources.select("*", F.ceil(F.sqrt("__kl_rows")).alias("__kl_shards"))
+    sources = save(sources.select("source", "source_size", F.ceil(F.sqrt("__kl_rows")).alias("__kl_shards")), "sources")
     plan = targets(sources.select("source", "source_size"), weights, most)
     plan = plan.join(sources.select(F.col("source").alias("__kl_s2"), "__kl_shards"), F.col("source").eqNullSafe(F.col("__kl_s2"))).drop("__kl_s2")
-    return rows, save(plan, "sources")
+    return save(plan, "targets")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, seed: int = 7, most: int = REPEATS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, seed: int = 7, most: int = REPEATS, whole: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, passes, first, extra, again for each row of docs.
 
     taken = passes * size + extra + again: `extra` words from word `first` (from 0) on, and
     where the quota goes round the end of the shard, `again` words from word 0 on. A source's taken words differ from its target by about half a block. taken never exceeds
     `most` * size. Documents without words are never taken; a null text has none; a
     null source is a source of its own. Repeated rows are rows of their own, in any
-    order among themselves. Sizes of zero throughout give targets of zero.
+    order among themselves. With `whole`, __kl_row holds all columns of each row, and the texts
+    are shuffled once. Sizes of zero throughout give targets of zero.
     """
-    rows, sources = _sources_and_rows(docs, weights, seed, most)
+    rows = _sized(docs, whole)
+    sources = _sources(rows, weights, most)
     total = sources.agg(F.sum("target")).first()[0] or 0.0
     seats = sources.select("source_no", "target").withColumn("__kl_n", F.lit(int(total / block + 0.5)))
     quota = apportion(seats.withColumn("__kl_g", F.lit(0)), ["__kl_g"], ["source_no"], "target", "__kl_n").select("source_no", F.col("__kl_seats").alias("__kl_blocks"))
@@ -100,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOC
     dealt = rows.join(s, F.col("source").eqNullSafe(F.col("__kl_source"))).drop("__kl_source")
     draw = F.xxhash64("doc_id", "size", F.lit(seed))
     dealt = dealt.withColumn("__kl_draw", draw).withColumn("__kl_shard", F.pmod(F.xxhash64("__kl_draw", F.lit(1)), F.col("__kl_shards")).cast("long"))
-    shards = dealt.groupBy("source_no", "__kl_shard").agg(F.sum("size").alias("__kl_tokens"))
+    shards = dealt.select("source_no", "__kl_shard", "size").groupBy("source_no", "__kl_shard").agg(F.sum("size").alias("__kl_tokens"))
     shards = shards.join(plan.select("source_no", "__kl_blocks"), "source_no")
     got = apportion(shards, ["source_no"], ["__kl_shard"], "__kl_tokens", "__kl_blocks").select("source_no", "__kl_shard", "__kl_tokens", (F.col("__kl_seats") * block).alias("__kl_quota"))
 
@@ -124,4 +131,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOC
     _, again = common(F.lit(0), stop - tokens)
     placed = placed.withColumns({"extra": n.cast("long"), "again": again.cast("long"), "first": F.when(n > 0, first).otherwise(0).cast("long")})
     taken = (F.col("passes") * F.col("size") + F.col("extra") + F.col("again")).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", "first", "extra", "again")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", "first", "extra", "again", *["__kl_row"] * whole)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix, with the columns of docs: each row as often as `mix` takes it.
+
+    What is taken of a document only in part is a row with those words, joined by single spaces,
+    as its text, and their number of characters as its n_chars, if docs has that column.
+    """
+    m = mix(docs, whole=True, **options).where("taken > 0")
+    text = F.col("__kl_row")["text"]
+    of = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+    def part(first, n):
+        return F.when(n == F.col("size"), text).when(n > 0, F.array_join(F.slice(of, (first + 1).cast("int"), n.cast("int")), " "))
+
+    texts = F.concat(F.array_repeat(text, F.col("passes").cast("int")), F.array_compact(F.array(part(F.col("first"), F.col("extra")), part(F.lit(0), F.col("again")))))
+    rows = m.select("__kl_row", F.explode(texts).alias("__kl_text"))
+    changed = {"text": F.col("__kl_text"), "n_chars": F.when(F.col("__kl_text") == text, F.col("__kl_row")["n_chars"]).otherwise(F.length("__kl_text")) if "n_chars" in docs.columns else None}
+    return rows.select(*[(changed[c] if c in changed else F.col("__kl_row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

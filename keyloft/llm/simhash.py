@@ -219,3 +219,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, budget: int
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     of = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that stand for their group: those whose doc_id is the component_id, one for each doc_id.
+
+    Rows without a doc_id cannot be named by a group and stay. All columns are kept.
+    """
+    kept = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__kl_id")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("__kl_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

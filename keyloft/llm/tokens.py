@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from keyloft.llm.common import slices, worker_limits
 #: Bytes of text that one batch of work holds.
 BATCH_BYTES = 4 << 20
 #: Chunks a worker remembers; on overflow it forgets all and starts anew.
-MEMORY = 300_000
+MEMORY = 700_000
 #: Longer chunks are encoded but not remembered.
 LONG = 64
 
@@ -120,7 +121,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096, te
 
 @lru_cache(maxsize=1)
 def byte_signs() -> dict[int, str]:
-    """The printable sign that byte-level BPE uses for each byte: printable Latin-1 stays, the rest get signs from U+0100 on."""
+    """The sign that byte-level BPE uses for each byte: printable Latin-1 stays, the rest get signs from U+0100 on."""
     stays = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(stays)]
     return {b: chr(b) for b in stays} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -141,44 +142,52 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunk: dict[str, bytes] = {}
-        self.word: dict[str, bytes] = {"": b""}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def of_word(self, word: str) -> bytes:
-        found = self.word.get(word)
+        """Ids of a run of letters, or of a run of punctuation."""
+        found = self.known.get(word)
         if found is None:
-            signs = byte_signs()
-            found = self.pack([t.id for t in self.tokenizer.model.tokenize("".join(signs[b] for b in word.encode()))])
-            if len(self.word) >= MEMORY:
-                self.word.clear()
-                self.word[""] = b""
-            self.word[word] = found
+            signs = word if word.isascii() else word.encode().decode("latin-1").translate(byte_signs())
+            found = self.known[word] = array("I", [t.id for t in self.tokenize(signs)]).tobytes()
         return found
 
     def of_chunk(self, chunk: str) -> bytes:
-        plain = self._PLAIN.fullmatch(chunk) if len(chunk) <= LONG else None
-        if plain and "<|" not in chunk:
+        if len(chunk) > LONG:
+            return self.pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        plain = self._PLAIN.fullmatch(chunk)
+        if not plain or "<|" in chunk:
+            found = self.pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        elif plain[2]:
             found = self.of_word(plain[1]) + self.of_word(plain[2])
         else:
-            found = self.pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= LONG:
-            self.chunk[chunk] = found
+            return self.of_word(chunk)
+        self.known[chunk] = found
         return found
 
     def of_text(self, text: str) -> bytes:
         # Lower-casing first changes nothing for Latin-1 texts that hold no special token.
-        if "<|" not in text and (text.isascii() or max(text) <= "ÿ"):
+        if "<|" not in text and (text.isascii() or _latin(text)):
             text = text.lower()
-        if len(self.chunk) > MEMORY:
-            self.chunk.clear()
-        get, of = self.chunk.get, self.of_chunk
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        get, of = self.known.get, self.of_chunk
         return b"".join([get(w) or of(w) for w in text.replace("\n", " ").split(" ") if w])
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=4)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
