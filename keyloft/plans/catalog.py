@@ -1,11 +1,539 @@
-"""Named queries over the driver's tables, each with its DuckDB twin."""
+"""Named queries over the driver's tables, each with its DuckDB twin where SQL has one."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from keyloft import functions as fn
+from keyloft.operators import hashes, keyspace, lists, sets, zsets
+from keyloft.plans import replay
+from keyloft.plans.tables import command_log, customer_strings, multi_key_log, order_lists, part_scores, set_log, table
+from keyloft.sources import binary, snapshot, wire
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir, or a local folder where the session runs on one machine and has none."""
+    found = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='keyloft-')}"
+    return found
+
+
+# -- keys and strings ---------------------------------------------------------
+
+WANTED = [1, 5, 5, 77, 1000, 99999999]
+_WANTED = ", ".join(f"({i}, {k})" for i, k in enumerate(WANTED))
+
+
+@query("select c_custkey as key, c_name as value from customer where c_custkey in (1, 5, 77)")
+def get_point(spark, sf_dir):
+    return keyspace.lookup(customer_strings(spark, sf_dir), [1, 5, 77])
+
+
+@query(f"select req, w.key, c_name as value from (values {_WANTED}) w(req, key) left join customer on c_custkey = w.key")
+def get_multi(spark, sf_dir):
+    wanted = spark.sql(f"select cast(req as int) req, cast(key as bigint) key from values {_WANTED} as w(req, key)")
+    return keyspace.get(customer_strings(spark, sf_dir), wanted).select("req", "key", "value")
+
+
+@query("select 'u' || user_id as key, arg_max(props, event_id) as value from events group by 1")
+def set_last_write(spark, sf_dir):
+    return keyspace.set_last(table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("seq")))
+
+
+def _requests(spark, sf_dir):
+    """Each order names its customer, the one after, and its own again."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("req"), F.explode(F.array(F.col("o_custkey"), F.col("o_custkey") + 7, F.col("o_custkey"))).alias("key"))
+
+
+_REQUESTS = "(select o_orderkey as req, unnest([o_custkey, o_custkey + 7, o_custkey]) as key from orders)"
+
+
+@query(f"select req, count(c_custkey) as found from {_REQUESTS} r left join customer on c_custkey = key group by req")
+def exists_multi(spark, sf_dir):
+    return keyspace.exists(customer_strings(spark, sf_dir), _requests(spark, sf_dir))
+
+
+@query("select c_custkey as key, c_name as value from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
+def del_state(spark, sf_dir):
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"))
+    return keyspace.delete(customer_strings(spark, sf_dir), gone)
+
+
+@query(f"""with r as {_REQUESTS}, f as (select key, min(req) as first from r group by key),
+h as (select first, count(*) as n from f join customer on c_custkey = key group by first)
+select req, coalesce(n, 0)::bigint as removed from (select distinct req from r) left join h on first = req""")
+def del_count(spark, sf_dir):
+    return keyspace.delete_counts(customer_strings(spark, sf_dir), _requests(spark, sf_dir))
+
+
+@query("select n_name as key from nation")
+def keys_all(spark, sf_dir):
+    return keyspace.keys(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key")), "*")
+
+
+@query("select n_name as key from nation where false")
+def keys_pattern_none(spark, sf_dir):
+    return keyspace.keys(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key")), "A*")
+
+
+@query("select count(distinct c_custkey) as keys, sum(strlen(c_custkey::varchar) + strlen(c_name))::bigint as bytes from customer")
+def memory_keyspace(spark, sf_dir):
+    rows = customer_strings(spark, sf_dir).withColumn("key", F.col("key").cast("string"))
+    return keyspace.memory_usage(rows, "key", "value")
+
+
+# -- maps ---------------------------------------------------------------------
+
+_SUPPLIER = "(select s_suppkey::varchar as key, unnest(['s_name', 's_nationkey']) as field, unnest([s_name, s_nationkey::varchar]) as value from supplier)"
+
+
+def _supplier(spark, sf_dir):
+    return hashes.from_rows(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_name", "s_nationkey"])
+
+
+_FIELDS = "(values ('1', 's_name'), ('2', 'none'), ('3', 's_nationkey'), ('none', 's_name')) w(key, field)"
+
+
+@query(f"select w.key, w.field, value from {_FIELDS} left join {_SUPPLIER} s on s.key = w.key and s.field = w.field")
+def hget(spark, sf_dir):
+    return hashes.hget(_supplier(spark, sf_dir), spark.sql(f"select * from {_FIELDS.replace('(values', 'values', 1).replace(')) w', ') as w')}"))
+
+
+@query(f"select key, field, value from {_SUPPLIER} where key in ('1', '7')")
+def hgetall(spark, sf_dir):
+    return hashes.hgetall(_supplier(spark, sf_dir), ["1", "7"])
+
+
+@query(f"select key, count(*) as fields from {_SUPPLIER} group by key")
+def hlen(spark, sf_dir):
+    return hashes.hlen(_supplier(spark, sf_dir))
+
+
+@query(f"select w.key, w.field, value is not null as found from {_FIELDS} left join {_SUPPLIER} s on s.key = w.key and s.field = w.field")
+def hexists(spark, sf_dir):
+    return hashes.hexists(_supplier(spark, sf_dir), spark.sql(f"select * from {_FIELDS.replace('(values', 'values', 1).replace(')) w', ') as w')}"))
+
+
+@query(f"select key, field, value from {_SUPPLIER} where not (field = 's_name' and key::bigint % 3 = 0)")
+def hdel(spark, sf_dir):
+    gone = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").cast("string").alias("key"), F.lit("s_name").alias("field"))
+    return hashes.hdel(_supplier(spark, sf_dir), gone)
+
+
+@query("select 'u' || user_id as key, event_type as field, arg_max(props, event_id) as value from events group by 1, 2")
+def hset_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("key"), F.col("event_type").alias("field"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
+    return hashes.hset(e.select("key", "field", "value").limit(0), e)
+
+
+@query("""select 'u' || user_id as key, case when count(*) >= 512 or max(greatest(strlen('e' || event_id), strlen(props))) > 64 then 'table' else 'small' end as encoding
+from events where user_id <= 40 or event_id % 3 = 0 group by 1""")
+def encoding_of_hash(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("user_id <= 40 or event_id % 3 = 0")
+    return hashes.encoding(e.select(F.concat(F.lit("u"), "user_id").alias("key"), F.concat(F.lit("e"), "event_id").alias("field"), F.col("props").alias("value")))
+
+
+@query("select lang as key, sum(strlen(doc_id::varchar) + strlen(coalesce(text, '')))::bigint as bytes from documents group by 1")
+def memory_hash(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("key"), F.col("doc_id").cast("string").alias("field"), F.col("text").alias("value"))
+    return hashes.memory_usage(d)
+
+
+# -- replay -------------------------------------------------------------------
+
+_LOG = """select event_id as seq, 'u' || (user_id % 40) as key,
+  case event_type when 'signup' then 'SET' when 'error' then 'DEL' when 'view' then 'HSET' when 'click' then 'HGET' else 'GET' end as op,
+  'f' || (user_id % 3) as field, ((event_id * 7919) % 1009)::varchar as value from events"""
+
+_HISTORY = f"""log as ({_LOG}),
+e as (select *, sum((op in ('SET', 'DEL'))::int) over w as epoch, max(case when op in ('SET', 'DEL') then seq end) over w as reset_seq,
+        max(case when op in ('SET', 'DEL', 'HSET') then seq end) over (partition by key order by seq rows between unbounded preceding and 1 preceding) as write_seq
+      from log window w as (partition by key order by seq rows between unbounded preceding and current row)),
+f as (select *, max(case when op = 'HSET' then seq end) over (partition by key, epoch, field order by seq rows between unbounded preceding and current row) as field_seq from e),
+h as (select f.*, r.op as reset, r.value as text, m.value as mapped, coalesce(p.op in ('SET', 'HSET'), false) as existed
+      from f left join log r on r.seq = reset_seq left join log m on m.seq = field_seq left join log p on p.seq = write_seq)"""
+
+_REPLIES = f"""with {_HISTORY}
+select seq,
+  case when op = 'SET' then 'simple' when op = 'DEL' then 'integer' when op = 'HSET' then case when reset = 'SET' then 'error' else 'integer' end else 'bulk' end as kind,
+  case when op = 'SET' then 'OK' when op = 'HSET' and reset = 'SET' then '{replay.WRONG_TYPE}' when op = 'GET' and reset = 'SET' then text
+       when op = 'HGET' and reset is distinct from 'SET' then mapped end as str,
+  case when op = 'DEL' then existed::bigint when op = 'HSET' and reset is distinct from 'SET' then 1::bigint end as "int"
+from h"""
+
+
+@query(_REPLIES)
+def replay_replies(spark, sf_dir):
+    return replay.replies(command_log(spark, sf_dir))
+
+
+_STATE = f"""log as ({_LOG}), last as (select key, arg_max(op, seq) as op, arg_max(value, seq) as value, max(seq) as seq from log where op in ('SET', 'DEL') group by key),
+state as (select key, 'string' as type, null::varchar as field, value from last where op = 'SET'
+union all select log.key, 'hash', field, arg_max(log.value, log.seq) from log left join last on last.key = log.key
+where log.op = 'HSET' and (last.op is null or last.op = 'DEL' and log.seq > last.seq) group by log.key, field)"""
+
+
+@query(f"with {_STATE} select key, type, field, value from state")
+def replay_state(spark, sf_dir):
+    return replay.state(command_log(spark, sf_dir))
+
+
+@query(f"with {_STATE} select distinct key, type from state")
+def type_of_key(spark, sf_dir):
+    return replay.types(command_log(spark, sf_dir))
+
+
+@query(f"with {_STATE} select key, type from (select distinct key, type from state) where (key, type) in (('u1', 'string'), ('u2', 'hash'), ('u3', 'string'), ('u4', 'hash'))")
+def check_type(spark, sf_dir):
+    wanted = spark.sql("select * from values ('u1', 'string'), ('u2', 'hash'), ('u3', 'string'), ('u4', 'hash') as w(key, type)")
+    return keyspace.check_type(replay.types(command_log(spark, sf_dir)), wanted)
+
+
+_MULTI = """select event_id * 4 + pos as ord, event_id as seq, op, case when pos = 1 then k2 else k1 end as key from (
+  select event_id, 'u' || (user_id % 40) as k1, 'u' || ((user_id * 7 + 1) % 40) as k2,
+  case event_type when 'signup' then 'SET' when 'error' then 'DEL' when 'view' then 'HSET' else 'EXISTS' end as op from events) e
+  join (values (0), (1), (2)) p(pos) on pos = 0 or op in ('DEL', 'EXISTS')"""
+
+
+@query(f"""with log as ({_MULTI}),
+e as (select *, max(case when op <> 'EXISTS' then ord end) over (partition by key order by ord rows between unbounded preceding and 1 preceding) as before from log)
+select e.seq, 'integer' as kind, null::varchar as str, sum(coalesce(p.op in ('SET', 'HSET'), false)::bigint)::bigint as "int"
+from e left join log p on p.ord = e.before where e.op in ('DEL', 'EXISTS') group by e.seq""")
+def replay_multi_key(spark, sf_dir):
+    return replay.replies(multi_key_log(spark, sf_dir).where("op in ('SET', 'DEL', 'HSET', 'EXISTS')")).where("kind = 'integer' and str is null").join(
+        multi_key_log(spark, sf_dir).where("op in ('DEL', 'EXISTS')").select("seq").distinct(), "seq", "left_semi"
+    )
+
+
+_LIVES = f"""log as ({_LOG}), w as (select key, seq, op <> 'DEL' as alive, coalesce(lag(op <> 'DEL') over (partition by key order by seq), false) as was from log where op in ('SET', 'DEL', 'HSET')),
+c as (select key, alive, seq as born, lead(seq) over (partition by key order by seq) as gone from w where alive <> was), lives as (select key, born, gone from c where alive)"""
+
+
+@query(f'with {_LIVES} select event_id as "at", key from events join lives on born < event_id and (gone is null or gone >= event_id) where event_id % 500 = 0')
+def keys_at(spark, sf_dir):
+    times = table(spark, sf_dir, "events").where("event_id % 500 = 0").select(F.col("event_id").alias("at"))
+    return replay.keys_at(command_log(spark, sf_dir), times)
+
+
+@query(f"""with {_LIVES}, q as (select distinct event_id as "at", 'u' || (event_id % 45) as key from events where event_id % 50 = 0)
+select q."at", q.key, coalesce(bool_or(born < q."at" and (gone is null or gone >= q."at")), false) as found from q left join lives on lives.key = q.key group by q."at", q.key""")
+def exists_at(spark, sf_dir):
+    q = table(spark, sf_dir, "events").where("event_id % 50 = 0").select(F.col("event_id").alias("at"), F.concat(F.lit("u"), F.col("event_id") % 45).alias("key"))
+    return replay.exists_at(command_log(spark, sf_dir), q.distinct())
+
+
+_WORDS = [
+    ["ping", "a"], ["set", "k", "v", "EX", "9"], ["GET", "k"], ["GET", "none"], ["GET"], ["HSET", "h", "a", "1", "b", "2"], ["HGET", "h", "b"], ["HGET", "h", "a"], ["HSET", "h", "a", "1", "b"],
+    ["HSET", "k", "f", "1"], ["EXISTS", "k", "k", "z"], ["DEL", "k", "k", "z"], ["EXISTS", "k"], ["nope"], [], ["SAVE"], ["SAVE", "x"], ["KEYS"], ["SET", "", ""], ["GET", ""], ["SET", "é", "é"], ["GET", "é"],
+]
+_ANSWERS = [
+    "+PONG\r\n", "+OK\r\n", "$1\r\nv\r\n", "$-1\r\n", "-ERR wrong number of arguments for 'GET'\r\n", ":1\r\n", "$-1\r\n", "$1\r\n1\r\n", "-ERR wrong number of arguments for 'HSET'\r\n",
+    f"-ERR {replay.WRONG_TYPE}\r\n", ":2\r\n", ":1\r\n", ":0\r\n", "-ERR unknown command `nope`\r\n", "-ERR empty command\r\n", "+OK\r\n", "-ERR SAVE command takes no arguments\r\n", "-ERR wrong number of arguments for 'KEYS'\r\n", "+OK\r\n", "$0\r\n\r\n", "+OK\r\n", "$2\r\né\r\n",
+]
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\r\n", "|") + "'"
+
+
+@query("select seq::bigint as seq, reply from (values " + ", ".join(f"({i}, {_quoted(a)})" for i, a in enumerate(_ANSWERS)) + ") t(seq, reply)")
+def wire_session(spark, sf_dir):
+    """A short session from wire frames to wire replies; line ends are shown as bars."""
+    frames = spark.createDataFrame([(i, wire.encode([w.encode() for w in ws])) for i, ws in enumerate(_WORDS)], "seq bigint, frame binary")
+    r = replay.replies(replay.from_words(wire.parse_frames(frames)))
+    return r.select("seq", F.regexp_replace(fn.encode_reply(F.col("kind"), F.col("str"), F.col("int")), "\r\n", "|").alias("reply"))
+
+
+@query("select event_id as seq, ':' || (event_id * 3) || '|$' || strlen(event_type) || '|' || event_type || '|+' || event_type || '|-ERR ' || event_type || '|*1|$' || strlen(event_type) || '|' || event_type || '|' as reply from events")
+def encode_replies(spark, sf_dir):
+    t = F.col("event_type")
+    all_ = F.concat(fn.integer_reply(F.col("event_id") * 3), fn.bulk_reply(t), fn.simple_reply(t), fn.error_reply(t), fn.array_reply(F.array(t)))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.replace(all_, F.lit("\r\n"), F.lit("|")).alias("reply"))
+
+
+# -- scored sets --------------------------------------------------------------
+
+_SCORES = "(select p_brand as key, p_partkey::varchar as member, p_retailprice as score from part)"
+
+
+def _scores(spark, sf_dir):
+    return zsets.add(part_scores(spark, sf_dir))
+
+
+@query("select event_type as key, 'u' || user_id as member, arg_max(value, event_id) as score from events group by 1, 2")
+def zadd(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return zsets.add(e.select(F.col("event_type").alias("key"), F.concat(F.lit("u"), "user_id").alias("member"), F.col("value").alias("score"), F.col("event_id").alias("seq")))
+
+
+@query("select p_brand as key, p_partkey::varchar as member, p_retailprice as score from part where p_partkey in (1, 10, 100)")
+def zscore(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").where(F.col("p_partkey").isin(1, 10, 100)).select(F.col("p_brand").alias("key"), F.col("p_partkey").cast("string").alias("member"))
+    return zsets.score(_scores(spark, sf_dir), wanted).select("key", "member", "score")
+
+
+@query(f"select key, member, score, (row_number() over (partition by key order by score, member) - 1)::bigint as rank from {_SCORES}")
+def zrank(spark, sf_dir):
+    return zsets.rank(_scores(spark, sf_dir))
+
+
+@query(f"select key, member, rank from (select key, member, (row_number() over (partition by key order by score, member) - 1)::bigint as rank from {_SCORES}) where member in ('1', '10', '100')")
+def zrank_of(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").where(F.col("p_partkey").isin(1, 10, 100)).select(F.col("p_brand").alias("key"), F.col("p_partkey").cast("string").alias("member"))
+    return zsets.rank_of(_scores(spark, sf_dir), wanted)
+
+
+@query(f"select key, member, score from {_SCORES} where score between 950 and 1050.5")
+def zrange_by_score(spark, sf_dir):
+    return zsets.range_by_score(_scores(spark, sf_dir), 950, 1050.5)
+
+
+@query(f"select key, member, score from {_SCORES} where member::bigint % 3 <> 0")
+def zrem(spark, sf_dir):
+    gone = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_brand").alias("key"), F.col("p_partkey").cast("string").alias("member"))
+    return zsets.remove(_scores(spark, sf_dir), gone)
+
+
+@query(f"select key, count(*) as size from {_SCORES} group by key")
+def zcard(spark, sf_dir):
+    return zsets.size(_scores(spark, sf_dir))
+
+
+# -- sets ---------------------------------------------------------------------
+
+_MEMBERS = "(select distinct o_custkey as key, o_orderpriority as member from orders)"
+
+
+def _members(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("member"))
+    return o.distinct()
+
+
+@query("select distinct o_custkey as key, o_orderpriority as member from orders union select c_custkey, 'none' from customer")
+def sadd(spark, sf_dir):
+    return sets.add(_members(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("none").alias("member")))
+
+
+@query(f"select c_custkey as key, '1-URGENT' as member, exists (select 1 from {_MEMBERS} m where m.key = c_custkey and m.member = '1-URGENT') as found from customer")
+def sismember(spark, sf_dir):
+    return sets.contains(_members(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("1-URGENT").alias("member")))
+
+
+@query(f"select key, member from {_MEMBERS} m where not (member = '1-URGENT' and key in (select c_custkey from customer))")
+def srem(spark, sf_dir):
+    return sets.remove(_members(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("1-URGENT").alias("member")))
+
+
+@query(f"select key, count(*) as size from {_MEMBERS} m group by key")
+def scard(spark, sf_dir):
+    return sets.size(_members(spark, sf_dir))
+
+
+@query("""with m as (select 's' || (user_id % 50) as key, case when event_id % 2 = 0 then '0' else '+' end || (event_id % 40) as member from events where user_id % 2 = 0
+union all select 'x' || (user_id % 5), case when user_id % 5 = 0 then 'm' else '0' end || (event_id % 9) from events)
+select distinct key, case when bool_and(regexp_full_match(member, '[+-]?[0-9]+')) over (partition by key) then (member::bigint)::varchar else member end as member from m where key <> 'x0'
+union select distinct key, member from m where key = 'x0'""")
+def smembers(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    a = e.where("user_id % 2 = 0").select(F.concat(F.lit("s"), F.col("user_id") % 50).alias("key"), F.concat(F.when(F.col("event_id") % 2 == 0, "0").otherwise("+"), F.col("event_id") % 40).alias("member"))
+    b = e.select(F.concat(F.lit("x"), F.col("user_id") % 5).alias("key"), F.concat(F.when(F.col("user_id") % 5 == 0, "m").otherwise("0"), F.col("event_id") % 9).alias("member"))
+    return sets.canonical(a.union(b))
+
+
+_SET_LOG = """select event_id as seq, 's' || (user_id % 50) as key,
+  case when event_type in ('signup', 'view', 'purchase') then 'ADD' when event_type = 'error' then 'REM' else 'HAS' end as op,
+  case when event_id % 97 = 0 then 'x' || ((event_id * 31) % 17) when event_id % 5 = 0 then '0' || ((event_id * 31) % 17)
+       when event_id % 7 = 0 then '+' || ((event_id * 31) % 17) else ((event_id * 31) % 17)::varchar end as member from events"""
+
+
+def _set_sql(limit: int) -> str:
+    return f"""with log as (select *, case when regexp_full_match(member, '[+-]?[0-9]+') then member::bigint end as num from ({_SET_LOG})),
+raw as (select key, min(seq) as s from log where op = 'ADD' and num is null group by key),
+i as (select *, coalesce(arg_max(op, case when op <> 'HAS' then seq end) over (partition by key, num order by seq rows between unbounded preceding and 1 preceding) = 'ADD', false) as there from log where num is not null),
+n as (select *, coalesce(sum(case when op = 'ADD' and not there then 1 when op = 'REM' and there then -1 else 0 end) over (partition by key order by seq rows between unbounded preceding and 1 preceding), 0) as n from i),
+full_ as (select key, min(seq) as s from n where op = 'ADD' and n >= {limit} group by key),
+p as (select key, least(raw.s, full_.s) as promoted from raw full join full_ using (key)),
+k as (select log.*, case when coalesce(seq >= promoted, false) then member else num::varchar end as id from log left join p using (key)),
+r as (select *, coalesce(arg_max(op, case when op <> 'HAS' then seq end) over (partition by key, id order by seq rows between unbounded preceding and 1 preceding) = 'ADD', false) and id is not null as there from k)
+"""
+
+
+@query(_set_sql(9) + "select seq, key, op, member, id, case when op = 'ADD' then (not there)::bigint else there::bigint end as reply from r")
+def set_replay(spark, sf_dir):
+    return sets.replay(set_log(spark, sf_dir), limit=9)
+
+
+@query(_set_sql(512) + "select key, id as member from (select key, id, arg_max(op, seq) as op from r where id is not null and op <> 'HAS' group by key, id) where op = 'ADD'")
+def set_replay_members(spark, sf_dir):
+    return sets.final_members(set_log(spark, sf_dir))
+
+
+@query(f"select key, sum(strlen(member))::bigint as bytes from {_MEMBERS} m group by key")
+def memory_set(spark, sf_dir):
+    return sets.memory_usage(_members(spark, sf_dir))
+
+
+# -- lists --------------------------------------------------------------------
+
+_BACK = "(select o_custkey as key, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as pos, o_orderpriority as value, count(*) over (partition by o_custkey) as n from orders)"
+_FRONT = "(select o_custkey as key, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) - 1 as pos, o_orderpriority as value from orders)"
+
+
+def _items(spark, sf_dir):
+    return lists.push_back(order_lists(spark, sf_dir), "o_orderdate", "o_orderkey")
+
+
+@query(f"select key, pos::bigint as pos, value from {_BACK}")
+def rpush(spark, sf_dir):
+    return _items(spark, sf_dir)
+
+
+@query(f"select key, pos::bigint as pos, value from {_FRONT}")
+def lpush(spark, sf_dir):
+    return lists.push_front(order_lists(spark, sf_dir), "o_orderdate", "o_orderkey")
+
+
+@query(f"select key, pos::bigint as pos, value from {_BACK} union all select key, n, 'end' from {_BACK} where pos = 0")
+def rpush_existing(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return lists.append(items, items.where("pos = 0").select("key", F.lit("end").alias("value")), "value")
+
+
+@query(f"select key, value from {_BACK} where pos = n - 2")
+def lindex(spark, sf_dir):
+    return lists.index(_items(spark, sf_dir), -2)
+
+
+@query(f"select key, value from {_BACK} where pos = 3")
+def lindex_front(spark, sf_dir):
+    return lists.index(_items(spark, sf_dir), 3)
+
+
+@query("select o_custkey as key, count(*) as length from orders group by 1")
+def llen(spark, sf_dir):
+    return lists.length(order_lists(spark, sf_dir))
+
+
+@query(f"select key, (pos - greatest(n - 5, 0))::bigint as pos, value from {_BACK} where pos >= greatest(n - 5, 0) and pos <= n - 2")
+def ltrim(spark, sf_dir):
+    return lists.trim(_items(spark, sf_dir), -5, -2)
+
+
+def _lrem_sql(order: str, keep: str) -> str:
+    return f"""with r as (select *, case when value = '1-URGENT' then sum((value = '1-URGENT')::int) over (partition by key order by {order}) end as hit from {_BACK})
+select key, (row_number() over (partition by key order by pos) - 1)::bigint as pos, value from r where {keep}"""
+
+
+@query(_lrem_sql("pos", "hit is null or hit > 2"))
+def lrem_head(spark, sf_dir):
+    return lists.remove(_items(spark, sf_dir), 2, "1-URGENT")
+
+
+@query(_lrem_sql("pos desc", "hit is null or hit > 1"))
+def lrem_tail(spark, sf_dir):
+    return lists.remove(_items(spark, sf_dir), -1, "1-URGENT")
+
+
+@query(_lrem_sql("pos", "hit is null"))
+def lrem_all(spark, sf_dir):
+    return lists.remove(_items(spark, sf_dir), 0, "1-URGENT")
+
+
+@query(f"select key, least(count(*) filter (value = '1-URGENT'), 2)::bigint as removed from {_BACK} group by key")
+def lrem_count(spark, sf_dir):
+    return lists.removed(_items(spark, sf_dir), 2, "1-URGENT")
+
+
+def _linsert_sql(shift: float) -> str:
+    return f"""select key, (row_number() over (partition by key order by pos) - 1)::bigint as pos, value from (
+select key, pos::double as pos, value from {_BACK} union all select key, min(pos) + ({shift}), 'new' from {_BACK} where value = '2-HIGH' group by key)"""
+
+
+@query(_linsert_sql(-0.5))
+def linsert(spark, sf_dir):
+    return lists.insert(_items(spark, sf_dir), "2-HIGH", "new", before=True)
+
+
+@query(_linsert_sql(0.5))
+def linsert_after(spark, sf_dir):
+    return lists.insert(_items(spark, sf_dir), "2-HIGH", "new", before=False)
+
+
+@query(f"select key, value from {_BACK} where pos = 0")
+def lpop(spark, sf_dir):
+    return lists.pop(_items(spark, sf_dir), front=True)[1]
+
+
+@query(f"select key, pos::bigint as pos, value from {_BACK} where pos < n - 1")
+def rpop_rest(spark, sf_dir):
+    return lists.pop(_items(spark, sf_dir), front=False)[0]
+
+
+@query(f"select key, case when count(*) > 512 or max(strlen(value)) > 64 then 'linked' else 'small' end as encoding from {_BACK} group by key")
+def encoding_of_list(spark, sf_dir):
+    return lists.encoding(_items(spark, sf_dir))
+
+
+@query()
+def lpop_rpop_fold(spark, sf_dir):
+    """A log of mixed list operations, folded for each key; tests compare it with a sequential interpreter."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 11
+    op = F.when(k < 4, "RPUSH").when(k < 6, "LPUSH").when(k == 6, "LPOP").when(k == 7, "RPOP").when(k == 8, "LREM").when(k == 9, "LINSERT_BEFORE").otherwise("LINSERT_AFTER")
+    log = e.select(F.concat(F.lit("l"), F.col("user_id")).alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("v"), F.col("event_id") % 7).alias("value"), F.concat(F.lit("n"), F.col("event_id") % 5).alias("arg"), (F.col("event_id") % 5 - 2).alias("a"), F.lit(0).cast("bigint").alias("b"))
+    return lists.fold(log)
+
+
+# -- snapshots, streams -------------------------------------------------------
+
+
+@query(f"with {_STATE} select key, type, field, value from state")
+def snapshot_roundtrip(spark, sf_dir):
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshot.save(replay.state(command_log(spark, sf_dir)), path)
+    return snapshot.load(spark, path, "key string, type string, field string, value string")
+
+
+@query("select n_name as key, 'hash' as type, unnest(['id', 'region']) as field, unnest([n_nationkey::varchar, n_regionkey::varchar]) as value from nation")
+def binary_snapshot(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # a fixed table of 25 rows
+    data = binary.encode((r["n_name"].encode(), {b"id": str(r["n_nationkey"]).encode(), b"region": str(r["n_regionkey"]).encode()}) for r in rows)
+    binary.register(spark)
+    df = spark.read.format("keysnapshot").option("data", data.hex()).load()
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+
+
+@query(_REPLIES)
+def stream_replay(spark, sf_dir):
+    """The log of replay_replies as a stream with state for each key; the replies are the same."""
+    from keyloft.streaming.runner import run_log
+
+    return run_log(spark, sf_dir, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")

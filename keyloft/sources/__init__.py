@@ -1 +1 @@
-
+"""Snapshots and command sources."""

@@ -1 +1 @@
-
+"""Command logs as streams."""
