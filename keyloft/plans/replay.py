@@ -108,16 +108,30 @@ def lifetimes(commands: DataFrame) -> DataFrame:
     return change.withColumn("gone", F.lead("seq").over(w)).where("alive").select("key", F.col("seq").alias("born"), "gone")
 
 
-def keys_at(commands: DataFrame, times: DataFrame, span: int = 1024) -> DataFrame:
+def keys_at(commands: DataFrame, times: DataFrame) -> DataFrame:
     """at, key: the keys that exist at each time, before a command of that seq.
 
-    An interval join: lifetimes are cut into spans of `span` seqs and meet the times of
-    their span, so the join has an equality and no side is broadcast unless it is small.
+    An interval join with an equality: a lifetime is cut into aligned cells whose widths are powers of
+    two, at most two of each width, and a time lies in one cell of each width. So a
+    lifetime costs twice the logarithm of its length, however long, and nothing is
+    compared with everything. Times are not negative.
     """
-    last = commands.agg(F.max("seq").alias("end"))
-    alive = lifetimes(commands).join(F.broadcast(last)).select("key", "born", F.col("gone"), F.explode(F.sequence(F.floor(F.col("born") / span), F.floor(F.coalesce("gone", F.greatest("end", "born")) / span))).alias("cell"))
-    at = times.select("at", F.floor(F.col("at") / span).alias("cell")).distinct()
-    return alive.join(at, "cell").where((F.col("born") < F.col("at")) & (F.col("gone").isNull() | (F.col("gone") >= F.col("at")))).select("at", "key")
+    end = commands.agg(F.max("seq")).first()[0]
+    if end is None:
+        return commands.select(F.col("seq").alias("at"), "key").limit(0)
+    widths = F.array(*[F.lit(w) for w in range(int(end + 2).bit_length() + 1)])
+    late = times.where(F.col("at") > end).select(F.lit(end + 1).alias("t"), "at")
+    asked = times.where(F.col("at") <= end).select(F.col("at").alias("t"), "at").union(late).distinct()
+
+    def cells(w: Column) -> Column:
+        lo = F.ceil((F.col("born") + 1) / F.pow(F.lit(2.0), w)).cast("bigint")
+        hi = F.floor(F.coalesce(F.col("gone") + 1, F.lit(end + 2)) / F.pow(F.lit(2.0), w)).cast("bigint")
+        some = lo < hi
+        return F.array_compact(F.array(F.when(some & (lo % 2 == 1), F.struct(w.alias("w"), lo.alias("c"))), F.when(some & (hi % 2 == 1), F.struct(w.alias("w"), (hi - 1).alias("c")))))
+
+    alive = lifetimes(commands).select("key", F.explode(F.flatten(F.transform(widths, cells))).alias("cell"))
+    at = asked.select("at", F.explode(F.transform(widths, lambda w: F.struct(w.alias("w"), F.floor(F.col("t") / F.pow(F.lit(2.0), w)).cast("bigint").alias("c")))).alias("cell"))
+    return alive.join(at, "cell").select("at", "key")
 
 
 def exists_at(commands: DataFrame, wanted: DataFrame) -> DataFrame:

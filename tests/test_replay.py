@@ -53,7 +53,7 @@ def test_random_logs_match_a_sequential_interpreter(spark):
         good = c.where("error is null")
         assert {tuple(r) for r in replay.state(c).select("key", "type", "field", "value").collect()} == store.rows()
         times = spark.createDataFrame([(i,) for i, w in enumerate(session) if w == ["KEYS", "*"]], "at bigint")
-        assert {(r["at"], r["key"]) for r in replay.keys_at(good, times, span=16).collect()} == keys
+        assert {(r["at"], r["key"]) for r in replay.keys_at(good, times).collect()} == keys
         c.unpersist()
 
 
