@@ -142,9 +142,9 @@ def hexists(spark, sf_dir):
     return hashes.hexists(_supplier(spark, sf_dir), spark.sql(f"select * from {_FIELDS.replace('(values', 'values', 1).replace(')) w', ') as w')}"))
 
 
-@query(f"select key, field, value from {_SUPPLIER} where not (field = 's_name' and key::bigint % 3 = 0)")
+@query(f"select key, field, value from {_SUPPLIER} where not (field = 's_name' and key in (select s_suppkey::varchar from supplier where s_acctbal < 0))")
 def hdel(spark, sf_dir):
-    gone = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").cast("string").alias("key"), F.lit("s_name").alias("field"))
+    gone = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("key"), F.lit("s_name").alias("field"))
     return hashes.hdel(_supplier(spark, sf_dir), gone)
 
 
@@ -154,11 +154,12 @@ def hset_upsert(spark, sf_dir):
     return hashes.hset(e.select("key", "field", "value").limit(0), e)
 
 
-@query("""select 'u' || user_id as key, case when count(*) >= 512 or max(greatest(strlen('e' || event_id), strlen(props))) > 64 then 'table' else 'small' end as encoding
-from events where user_id <= 40 or event_id % 3 = 0 group by 1""")
+@query("""select key, case when count(*) >= 512 or max(greatest(strlen(field), strlen(value))) > 64 then 'table' else 'small' end as encoding from (
+select 'u' || user_id as key, 'e' || event_id as field, props as value from events union all select event_type, 'e' || event_id, props from events) group by 1""")
 def encoding_of_hash(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id <= 40 or event_id % 3 = 0")
-    return hashes.encoding(e.select(F.concat(F.lit("u"), "user_id").alias("key"), F.concat(F.lit("e"), "event_id").alias("field"), F.col("props").alias("value")))
+    """A map of events for each user, and one for each type."""
+    e, pair = table(spark, sf_dir, "events"), (F.concat(F.lit("e"), "event_id").alias("field"), F.col("props").alias("value"))
+    return hashes.encoding(e.select(F.concat(F.lit("u"), "user_id").alias("key"), *pair).union(e.select("event_type", *pair)))
 
 
 @query("select lang as key, sum(strlen(doc_id::varchar) + strlen(coalesce(text, '')))::bigint as bytes from documents group by 1")
@@ -237,16 +238,17 @@ _LIVES = f"""log as ({_LOG}), w as (select key, seq, op <> 'DEL' as alive, coale
 c as (select key, alive, seq as born, lead(seq) over (partition by key order by seq) as gone from w where alive <> was), lives as (select key, born, gone from c where alive)"""
 
 
-@query(f'with {_LIVES} select event_id as "at", key from events join lives on born < event_id and (gone is null or gone >= event_id) where event_id % 500 = 0')
+@query(f'with {_LIVES}, q as (select min(event_id) as "at" from events group by user_id) select q."at", key from q join lives on born < q."at" and (gone is null or gone >= q."at")')
 def keys_at(spark, sf_dir):
-    times = table(spark, sf_dir, "events").where("event_id % 500 = 0").select(F.col("event_id").alias("at"))
+    """The keys that exist at the first event of each user."""
+    times = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("at")).select("at")
     return replay.keys_at(command_log(spark, sf_dir), times)
 
 
-@query(f"""with {_LIVES}, q as (select distinct event_id as "at", 'u' || (event_id % 45) as key from events where event_id % 50 = 0)
+@query(f"""with {_LIVES}, q as (select distinct event_id as "at", 'u' || (event_id % 45) as key from events where event_type = 'purchase')
 select q."at", q.key, coalesce(bool_or(born < q."at" and (gone is null or gone >= q."at")), false) as found from q left join lives on lives.key = q.key group by q."at", q.key""")
 def exists_at(spark, sf_dir):
-    q = table(spark, sf_dir, "events").where("event_id % 50 = 0").select(F.col("event_id").alias("at"), F.concat(F.lit("u"), F.col("event_id") % 45).alias("key"))
+    q = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("at"), F.concat(F.lit("u"), F.col("event_id") % 45).alias("key"))
     return replay.exists_at(command_log(spark, sf_dir), q.distinct())
 
 
@@ -316,9 +318,9 @@ def zrange_by_score(spark, sf_dir):
     return zsets.range_by_score(_scores(spark, sf_dir), 950, 1050.5)
 
 
-@query(f"select key, member, score from {_SCORES} where member::bigint % 3 <> 0")
+@query(f"select key, member, score from {_SCORES} where member not in (select p_partkey::varchar from part where p_size > 25)")
 def zrem(spark, sf_dir):
-    gone = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_brand").alias("key"), F.col("p_partkey").cast("string").alias("member"))
+    gone = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_brand").alias("key"), F.col("p_partkey").cast("string").alias("member"))
     return zsets.remove(_scores(spark, sf_dir), gone)
 
 
@@ -357,13 +359,13 @@ def scard(spark, sf_dir):
     return sets.size(_members(spark, sf_dir))
 
 
-@query("""with m as (select 's' || (user_id % 50) as key, case when event_id % 2 = 0 then '0' else '+' end || (event_id % 40) as member from events where user_id % 2 = 0
+@query("""with m as (select 's' || (user_id % 50) as key, case when event_id % 2 = 0 then '0' else '+' end || (event_id % 40) as member from events
 union all select 'x' || (user_id % 5), case when user_id % 5 = 0 then 'm' else '0' end || (event_id % 9) from events)
 select distinct key, case when bool_and(regexp_full_match(member, '[+-]?[0-9]+')) over (partition by key) then (member::bigint)::varchar else member end as member from m where key <> 'x0'
 union select distinct key, member from m where key = 'x0'""")
 def smembers(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    a = e.where("user_id % 2 = 0").select(F.concat(F.lit("s"), F.col("user_id") % 50).alias("key"), F.concat(F.when(F.col("event_id") % 2 == 0, "0").otherwise("+"), F.col("event_id") % 40).alias("member"))
+    a = e.select(F.concat(F.lit("s"), F.col("user_id") % 50).alias("key"), F.concat(F.when(F.col("event_id") % 2 == 0, "0").otherwise("+"), F.col("event_id") % 40).alias("member"))
     b = e.select(F.concat(F.lit("x"), F.col("user_id") % 5).alias("key"), F.concat(F.when(F.col("user_id") % 5 == 0, "m").otherwise("0"), F.col("event_id") % 9).alias("member"))
     return sets.canonical(a.union(b))
 
