@@ -12,9 +12,9 @@ MANY, WIDE = 512, 64
 
 
 def from_rows(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """hash_fields: each row of a table as a map from column names to values, as strings."""
+    """hash_fields: each row of a table as a map from column names to values, as strings; nulls are no fields."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
-    return rows.select(F.col(key).cast("string").alias("key"), F.inline(pairs))
+    return rows.select(F.col(key).cast("string").alias("key"), F.inline(pairs)).where(F.col("value").isNotNull())
 
 
 def hset(fields: DataFrame, writes: DataFrame) -> DataFrame:

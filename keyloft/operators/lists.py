@@ -42,8 +42,8 @@ def length(items: DataFrame) -> DataFrame:
 
 
 def _sized(items: DataFrame) -> DataFrame:
-    """Rows with n, the length of their list."""
-    return items.join(items.groupBy("key").agg(F.count("*").alias("n")), "key")
+    """Rows with n, the length of their list; lists made by a window over key are not shuffled again."""
+    return items.withColumn("n", F.count("*").over(Window.partitionBy("key")))
 
 
 def index(items: DataFrame, at: int) -> DataFrame:
