@@ -134,7 +134,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 8, rate: float = 0.4, see
         grams, spans, words, _ = features([text])
         b, e = spans[:, 0]
         ids, n = np.unique(np.concatenate([*(g[b:e].astype(np.int64) for g in grams), *[words] * WORD_WEIGHT]), return_counts=True)
-        docs.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+        docs.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)

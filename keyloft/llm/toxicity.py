@@ -206,14 +206,16 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
 
     Without rows of both classes nothing is significant and every text has the smoothed share of toxic rows.
     """
-    docs = [(tokens(t.decode("utf-8", "replace")), y) for t, y in rows]
+    one: dict[str, str] = {}  # each word is held once
+    docs = [([one.setdefault(w, w) for w in tokens(t.decode("utf-8", "replace"))], y) for t, y in rows]
     labels = np.array([y for _, y in docs], np.int64)
     n1 = int(labels.sum())
     if not 0 < n1 < len(labels):
         return Model(Odds({}, [{} for _ in STEMS]), 1.0, 1.0, 0.0, float(np.log((n1 + 0.1) / (len(labels) - n1 + 1))))
     halves = [docs[0::2], docs[1::2]]
     half_odds = [odds(h) for h in halves]
-    scored = [(half_odds[1 - k].scores(w), y) for k in (0, 1) for w, y in halves[k]]
+    scored = [(half_odds[1 - k].scores(w).astype(np.float32), y) for k in (0, 1) for w, y in halves[k]]
+    del half_odds
     clean = [s for s, y in scored if not y and len(s)]
     background = np.concatenate([*clean, [8.0]])  # one strong token, so that the law is defined
     decay = decay_of(background) if background.mean() < 0 else 1.0
