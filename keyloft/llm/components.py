@@ -8,23 +8,28 @@ links of a node or a component.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloft.llm.common import Saved
 
 
+def dealt_anew(column: str) -> Column:
+    """The same numbers, not known to be dealt by them: Spark then shuffles both sides of the join, and can split a node with many links."""
+    return F.col(column).bitwiseXOR(F.lit(0)).alias(column)  # a sum with 0 would be simplified away
+
+
 def _large(links: DataFrame) -> DataFrame:
     """Links each larger neighbour of u to the smallest of u and its neighbours."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u"), F.least("u", "m").alias("m"))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Links u and its smaller neighbours to the smallest of them; u is the larger end."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = links.join(least.select(dealt_anew("u"), "m"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -35,7 +40,7 @@ def _sign(links: DataFrame) -> tuple:
 def components(links: DataFrame, most: int = 100) -> DataFrame:
     """node, root (the smallest node reachable) for every node that differs from its root.
 
-    `links` has two columns u, v of one orderable type, in any direction, repeated or
+    `links` has two columns u, v of whole numbers, in any direction, repeated or
     not; links of a node to itself, and links with a null end, are left out.
     """
     ends = links.toDF("u", "v").where("u != v")

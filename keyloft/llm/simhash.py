@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloft.llm.common import save
-from keyloft.llm.components import components
+from keyloft.llm.components import components, dealt_anew
 
 BITS = 64
 #: Bits of the prefixes whose counts shape the trie: at most 2^16 rows reach the driver.
 PREFIX = 16
+#: Least size of a full subtrie.
+LEAF = 4096
 #: Node pairs that one step of a traversal handles at once.
 FRONTIER = 1 << 20
 
@@ -160,15 +162,17 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def near_links(distinct: DataFrame, budget: int = 4, leaf: int = 4096) -> DataFrame:
+def near_links(distinct: DataFrame, budget: int = 4, leaf: int | None = None) -> DataFrame:
     """u, v: links that join the fingerprints within `budget` bits into their groups; `distinct` has each fp once.
 
     The links are a spanning forest for each pair of subtries: the groups that they
-    make are those of all links.
+    make are those of all links. Without `leaf`, subtries hold up to the number of fingerprints to the
+    power 2/3, 4096 at least: larger ones are sent to fewer partners.
     """
     spark = distinct.sparkSession
     prefix = F.shiftrightunsigned("fp", BITS - PREFIX)
     counts = {r["k"]: r["n"] for r in distinct.groupBy(prefix.alias("k")).agg(F.count("*").alias("n")).collect()}  # at most 2^16 rows
+    leaf = leaf or max(LEAF, round(sum(counts.values()) ** (2 / 3)))
     trie = spark.sparkContext.broadcast(shape(counts, leaf))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +207,7 @@ def near_links(distinct: DataFrame, budget: int = 4, leaf: int = 4096) -> DataFr
     return pairs.select("k", "with", "fps", "others").mapInArrow(link, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, budget: int = 4, leaf: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, budget: int = 4, leaf: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row.
 
     Fingerprints link at `budget` or fewer differing bits; component_id is the smallest
@@ -217,7 +221,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, budget: int
     roots = components(near_links(distinct, budget, leaf))
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
+    of = grouped.select("fp", "root").join(least.select(dealt_anew("root"), "component_id"), "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
