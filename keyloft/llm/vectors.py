@@ -8,7 +8,8 @@ change. Links are the listed pairs over the threshold.
 
 A list that is full of links is saturated: its node may have more. Such lists are
 enlarged to the whole link component, whose pairs are computed in blocks; so are those of
-small components. An audit compares a sample with brute force, and trees are added
+small components. A link that neither end lists joins two saturated components: blocks of these are compared with one
+another too, within a label and unless their centres are too far apart. An audit compares a sample with brute force, and trees are added
 until it is passed.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from keyloft.llm.common import Saved, save
 from keyloft.llm.components import components
+from keyloft.llm.simhash import forest
 
 THRESHOLD = 0.93
 #: Length of a neighbour list, and the least cosine of a neighbour that is kept to search through.
@@ -187,37 +189,96 @@ def descend(nodes: DataFrame, trees: int = TREES, seed: int = 5, k: int = LISTED
     return now
 
 
-def component_counts(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """node, linked (the copies of all nodes of its component that it links with), from all pairs of each component in blocks.
+def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """node, other, linked: for each node the copies of what it links with (other null), and links of roots (linked 0) that join them.
 
-    members: root, node, x, copies. A pair of blocks is one row and one matrix product;
-    what leaves it is a sum for each node.
+    members: part, label, root, node, x, copies, full. Nodes of one part, whose vectors have one length, are all
+    compared; so are nodes of different parts of a label that are both full, except for blocks whose
+    centres lie too far apart for their radii. A pair of blocks is one row and one matrix
+    product; what leaves it is a sum for each node and a spanning forest of the roots that it joins.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    cut = members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    packed = cut.groupBy("root", "b").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "copies", "x")).alias("rows"))
-    left = packed.select("root", F.explode(F.sequence("b", F.col("blocks") - 1)).alias("c"), "b", "rows")
-    pairs = left.join(packed.select("root", F.col("b").alias("c"), F.col("rows").alias("others")), ["root", "c"]).select(F.col("b") == F.col("c"), "rows", "others")
+    sizes = members.groupBy("part").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    cut = members.join(sizes, "part").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    packed = save(cut.groupBy("label", "part", "b").agg(F.first("blocks").alias("blocks"), F.max("full").alias("full"), F.collect_list(F.struct("node", "root", "copies", "x")).alias("rows")), "blocks")
+    inside = packed.select("part", "b", F.col("part").alias("other"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("c"))
+    index = inside.union(close_blocks(packed.where("full = 1").select("label", "part", "b", "rows"), threshold))
+    left = index.join(packed.select("part", "b", "rows"), ["part", "b"])
+    right = packed.select(F.col("part").alias("other"), F.col("b").alias("c"), F.col("rows").alias("others"))
+    pairs = left.join(right, ["other", "c"]).select((F.col("part") == F.col("other")) & (F.col("b") == F.col("c")), "rows", "others")
+
+    def rows(node: np.ndarray, linked: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(linked)], names=["node", "other", "linked"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for same, one, two in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                (a, n, x), (b, m, y) = (_rows(v.values) for v in (one, two))
+                (a, r, n, x), (b, t, m, y) = (_rows(v.values) for v in (one, two))
                 for d in set(x) & set(y):
                     (i, p), (j, q) = x[d], y[d]
                     near = (p @ q.T >= threshold) & (a[i][:, None] != b[j])
-                    yield pa.record_batch([pa.array(a[i]), pa.array(near @ m[j])], names=["node", "linked"])
+                    yield rows(a[i], near @ m[j])
                     if not same:
-                        yield pa.record_batch([pa.array(b[j]), pa.array(n[i] @ near)], names=["node", "linked"])
+                        yield rows(b[j], n[i] @ near)
+                    u, v = np.nonzero(near & (r[i][:, None] != t[j]))
+                    if len(u):
+                        names, at = np.unique(np.concatenate([r[i][u], t[j][v]]), return_inverse=True)
+                        root = forest(len(names), iter([(at[: len(u)], at[len(u) :])]))
+                        moved = np.flatnonzero(root != np.arange(len(root)))
+                        yield pa.record_batch([pa.array(names[moved]), pa.array(names[root[moved]]), pa.array(np.zeros(len(moved), np.int64))], names=["node", "other", "linked"])
+
+    return pairs.mapInArrow(run, "node long, other long, linked long").groupBy("node", "other").agg(F.sum("linked").alias("linked"))
+
+
+def close_blocks(packed: DataFrame, threshold: float, cell: int = 1024) -> DataFrame:
+    """part, b, other, c: blocks of different parts of a label that may hold a link; packed: label, part, b, rows.
+
+    By the triangle inequality of angles: no link if the centres are further apart than both radii and the threshold's angle.
+    """
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, centres, radii = [], [], []
+            for rows in batch.column("rows"):
+                ((d, (_, x)),) = _rows(rows.values)[3].items()
+                c = x.sum(axis=0)
+                c = c / np.linalg.norm(c) if c.any() else x[0]
+                size.append(d)
+                centres.append(c)
+                radii.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+            yield pa.record_batch([*(batch.column(n) for n in ("label", "part", "b")), pa.array(size, pa.int64()), pa.array(radii, pa.float64()), pa.array(centres, pa.list_(pa.float64()))], names=["label", "part", "b", "size", "radius", "x"])
+
+    near = packed.mapInArrow(centre, packed.select("label", "part", "b", F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("radius"), F.array(F.lit(0.0)).alias("x")).schema)
+    cells = near.groupBy("label", "size").agg(F.ceil(F.count("*") / cell).cast("long").alias("cells"))
+    dealt = near.join(cells, ["label", "size"]).withColumn("cell", F.pmod(F.xxhash64("part", "b"), F.col("cells")))
+    lists = dealt.groupBy("label", "size", "cell").agg(F.first("cells").alias("cells"), F.collect_list(F.struct("part", "b", "radius", "x")).alias("rows"))
+    left = lists.select("label", "size", F.explode(F.sequence("cell", F.col("cells") - 1)).alias("to"), "cell", "rows")
+    both = left.join(lists.select("label", "size", F.col("cell").alias("to"), F.col("rows").alias("others")), ["label", "size", "to"])
+    angle = float(np.arccos(threshold)) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, same, one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                p, q = one.values, two.values
+                (k, b, r), (m, c, t) = ([v.field(n).to_numpy() for n in ("part", "b", "radius")] for v in (p, q))
+                x, y = (v.field("x").flatten().to_numpy().reshape(-1, d) for v in (p, q))
+                may = np.arccos(np.clip(x @ y.T, -1, 1)) <= r[:, None] + t + angle
+                i, j = np.nonzero(may & ((k[:, None] < m) if same else (k[:, None] != m)))
+                yield pa.record_batch([pa.array(v) for v in (k[i], b[i], m[j], c[j])], names=["part", "b", "other", "c"])
+
+    return both.select("size", F.col("cell") == F.col("to"), "rows", "others").mapInArrow(run, "part long, b long, other long, c long")
 
-    return pairs.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+
+def component_counts(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """node, linked (the copies of all nodes of its component that it links with); members: root, node, x, copies."""
+    alone = members.select(F.col("root").alias("part"), F.lit(0).alias("label"), "root", "node", "x", "copies", F.lit(0).alias("full"))
+    return exact_links(alone, threshold, block).where("other is null").select("node", "linked")
 
 
-def _rows(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Nodes, copies, and by vector length the positions and unit vectors."""
+def _rows(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+    """Nodes, roots, copies, and by vector length the positions and unit vectors."""
     x = rows.field("x")
     size = x.value_lengths().to_numpy()
-    return rows.field("node").to_numpy(), rows.field("copies").to_numpy(), {int(d): (np.flatnonzero(size == d), unit(x.filter(pa.array(size == d)), int(d))) for d in np.unique(size)}
+    return *(rows.field(n).cast(pa.int64()).to_numpy() for n in ("node", "root", "copies")), {int(d): (np.flatnonzero(size == d), unit(x.filter(pa.array(size == d)), int(d))) for d in np.unique(size)}
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT) -> float:
@@ -245,6 +306,15 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = A
     return 1.0 if not both[0] else both[1] / both[0]
 
 
+def rooted(ends: DataFrame, found: DataFrame) -> DataFrame:
+    """The members with the roots that the links of roots in `found` give them."""
+    joins = found.where("other is not null").select("node", "other")
+    if joins.isEmpty():
+        return ends
+    moved = components(joins).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return save(ends.join(moved, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "members")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LISTED, trees: int = TREES, recall: float = RECALL, most: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label).
 
@@ -265,11 +335,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
         full = lists.df.where((F.size("sims") >= k) & (F.array_min("sims") >= threshold)).select("node")
         ends = save(nodes.join(roots.union(roots.select("root", "root").distinct()).toDF("node", "root"), "node"), "members")
         sizes = ends.join(full.withColumn("full", F.lit(1)), "node", "left").groupBy("root").agg(F.count("*").alias("size"), F.max(F.coalesce("full", F.lit(0))).alias("full"))
-        whole = sizes.where((F.col("full") == 1) | (F.col("size") <= SMALL)).select("root")
-        inside = ends.join(whole, "root", "left_semi")
+        whole = sizes.where((F.col("full") == 1) | (F.col("size") <= SMALL)).select("root", "full")
+        inside = ends.join(whole, "root").select(F.col("root").alias("part"), "label", "root", "node", "x", "copies", "full")
+        found = save(exact_links(inside, threshold), "found")
         listed = links.union(links.select("v", "u")).toDF("node", "other").distinct().join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
         rest = listed.join(ends.join(whole, "root", "left_anti").select("node"), "node", "left_semi")
-        counts = save(component_counts(inside.select("root", "node", "x", "copies"), threshold).union(rest.select("node", "linked")), "counts")
+        counts = save(found.where("other is null").select("node", "linked").union(rest.select("node", "linked")), "counts")
+        ends = rooted(ends, found)
         if audit(nodes, counts, threshold) >= recall:
             break
     info = nodes.select("label", "x", "node", "copies").join(counts, "node", "left").join(ends.select("node", "root"), "node", "left")

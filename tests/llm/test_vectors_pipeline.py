@@ -67,6 +67,26 @@ def test_saturated_lists_are_enlarged(spark, monkeypatch):
     assert all(counts[i] == expected[i][0] for i, _, y in rows if y == 0)
 
 
+def split_group(size, dim=64, seed=5):
+    """Two groups of one label: all links within a group are closer than those across."""
+    rng = np.random.default_rng(seed)
+    one = rng.standard_normal(dim)
+    one /= np.linalg.norm(one)
+    side = rng.standard_normal(dim)
+    side -= side @ one * one
+    two = 0.945 * one + np.sqrt(1 - 0.945**2) * side / np.linalg.norm(side)
+    x = [c + rng.standard_normal(dim) * 0.008 for c in (one, two) for _ in range(size)]
+    return [(int(i), x[k].tolist(), 0) for i, k in enumerate(rng.permutation(2 * size))]
+
+
+def test_links_across_saturated_components(spark):
+    rows = split_group(40) + [(100 + i, x, 1) for i, x, _ in split_group(25, seed=6)]
+    expected = brute(rows)
+    assert {expected[i][1] for i in range(80)} == {0} and min(n for n, _ in expected.values()) > 24
+    assert result(near_vectors(spark.createDataFrame(rows, SCHEMA))) == expected
+    assert result(near_vectors(spark.createDataFrame(rows, SCHEMA), k=8)) == expected
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(5, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (9, [2.0, 0.0], 1), (4, [1.0, 0.0], 2), (6, [1.0, 0.0], None), (7, [0.0, 0.0], 1), (8, None, 1), (10, [], 1), (11, [nan, 1.0], 1), (12, [inf, 1.0], 1), (13, [1.0, None], 1), (14, [1.0, 0.0, 0.0], 1), (15, [1e-30, 0.0], 1), (16, [0.9, 0.5], 1)]
