@@ -1,6 +1,6 @@
 """Embedding near-duplicates by NN-descent.
 
-Equal vectors become one node. Seeded hyperplane trees sort the nodes of a label, and
+Equal vectors become one node. Seeded hyperplane trees, more of them for larger labels, sort the nodes of a label, and
 windows over that order give each node a first list of its nearest neighbours. Each
 round then compares the neighbours of every node with one another (a join brings their
 vectors to the node, in lists of bounded length) and merges what is closer into their lists, until few
@@ -29,13 +29,13 @@ from keyloft.llm.simhash import forest
 THRESHOLD = 0.93
 #: Length of a neighbour list, and the least cosine of a neighbour that is kept to search through.
 LISTED, REACH = 16, 0.7
-#: Trees of the first lists, bits of their codes, rows of a window.
+#: Least number of trees of the first lists, bits of their codes, rows of a window.
 TREES, CODE_BITS, WINDOW = 4, 24, 128
 ROUNDS = 6
 #: Vectors of a block of a component; components up to SMALL members are computed whole though not saturated.
 BLOCK, SMALL = 256, 4096
-#: Sample of the recall audit and the recall that ends the search.
-AUDIT, RECALL = 256, 0.98
+#: Sample of the recall audit for each kind of node, and the recall that ends the search.
+AUDIT, RECALL = 2048, 0.98
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
@@ -124,6 +124,17 @@ def first_lists(nodes: DataFrame, trees: int, seed: int, k: int, reach: float) -
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(windows, LISTS)
 
 
+def trees_for(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The trees in which a pair at the threshold, without other neighbours, shares a window with a chance of `recall`.
+
+    A plane parts the pair with a chance of its angle over 180 degrees; the vectors of a label fill windows after
+    as many planes as halve them to the half of a window.
+    """
+    most = nodes.groupBy("label", F.size("x")).count().agg(F.max("count")).first()[0] or 1
+    together = (1 - np.arccos(threshold) / np.pi) ** min(CODE_BITS, max(0.0, np.log2(most / (WINDOW // 2))))
+    return TREES if together > 0.999 else max(TREES, int(np.ceil(np.log(1 - recall) / np.log(1 - together))))
+
+
 def merged(lists: DataFrame, k: int) -> DataFrame:
     """One list for each node: the k closest of all of its lists."""
 
@@ -282,28 +293,36 @@ def _rows(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dic
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """The share of the links of a seeded sample of nodes, by brute force over all nodes, that counts (node, linked) has."""
-    chosen = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(sample).select("node", "label", "x").toArrow()
+    """The share of the links of a node that counts (node, linked) has, by brute force over all nodes.
+
+    It is the mean over those nodes of a seeded sample that have links. Nodes with few known links and nodes with more
+    are sampled and averaged apart, and the lesser mean counts: a large group cannot hide what small ones miss.
+    """
+    told = nodes.join(counts, "node", "left").select("node", "label", "x", (F.coalesce("linked", F.lit(0)) > LISTED).alias("many"))
+    parts = [told.where(w).orderBy(F.xxhash64("node", F.lit(11)), "node").limit(sample) for w in ("not many", "many")]
+    chosen = parts[0].union(parts[1]).toArrow()
     if not chosen.num_rows:
         return 1.0
-    known = nodes.sparkSession.sparkContext.broadcast(chosen)  # at most `sample` vectors
+    known = nodes.sparkSession.sparkContext.broadcast(chosen)  # at most twice `sample` vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_ = known.value.combine_chunks().to_batches()[0]
         ids, labels, lengths = batch_.column("node").to_numpy(), batch_.column("label").to_numpy(zero_copy_only=False), batch_.column("x").value_lengths().to_numpy()
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            size = batch.column("x").value_lengths().to_numpy()
+            size, label = batch.column("x").value_lengths().to_numpy(), batch.column("label").to_numpy(zero_copy_only=False)
             for d in set(np.unique(size)) & set(np.unique(lengths)):
-                mine, own = lengths == d, batch.filter(pa.array(size == d))
-                near = unit(batch_.column("x").filter(pa.array(mine)), int(d)) @ unit(own.column("x"), int(d)).T >= threshold
-                near &= (labels[mine][:, None] == own.column("label").to_numpy(zero_copy_only=False)) & (ids[mine][:, None] != own.column("node").to_numpy())
-                total[mine] += near @ own.column("copies").to_numpy()
-        yield pa.record_batch([pa.array(ids), pa.array(total)], names=["node", "truth"])
+                for y in set(np.unique(label[size == d])) & set(np.unique(labels[lengths == d])):
+                    mine, own = (lengths == d) & (labels == y), batch.filter(pa.array((size == d) & (label == y)))
+                    near = unit(batch_.column("x").filter(pa.array(mine)), int(d)) @ unit(own.column("x"), int(d)).T >= threshold
+                    near &= ids[mine][:, None] != own.column("node").to_numpy()
+                    total[mine] += near @ own.column("copies").to_numpy()
+        yield pa.record_batch([pa.array(ids), batch_.column("many"), pa.array(total)], names=["node", "many", "truth"])
 
-    truth = nodes.select("node", "label", "x", "copies").mapInArrow(run, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    both = truth.where("truth > 0").join(counts, "node", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("linked", F.lit(0))))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    truth = nodes.select("node", "label", "x", "copies").mapInArrow(run, "node long, many boolean, truth long").groupBy("node", "many").agg(F.sum("truth").alias("truth"))
+    share = F.least("truth", F.coalesce("linked", F.lit(0))) / F.col("truth")
+    means = truth.where("truth > 0").join(counts, "node", "left").groupBy("many").agg(F.avg(share).alias("share")).collect()  # at most two rows
+    return min((r["share"] for r in means), default=1.0)
 
 
 def rooted(ends: DataFrame, found: DataFrame) -> DataFrame:
@@ -315,7 +334,7 @@ def rooted(ends: DataFrame, found: DataFrame) -> DataFrame:
     return save(ends.join(moved, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "members")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LISTED, trees: int = TREES, recall: float = RECALL, most: int = 4) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LISTED, trees: int | None = None, recall: float = RECALL, most: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label).
 
     Links join vectors of equal, not null label with a cosine of at least the threshold,
@@ -326,6 +345,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
     """
     nodes = save(nodes_of(vectors), "nodes")
     start, seed = None, 5
+    trees = trees or trees_for(nodes, threshold, recall)
     for attempt in range(most):
         lists = descend(nodes, trees, seed + attempt, k, min(REACH, threshold), start=start)
         start = lists.df

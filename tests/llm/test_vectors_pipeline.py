@@ -106,6 +106,23 @@ def test_audit_sees_missing_links(spark):
     assert vectors.audit(nodes, full.limit(0), 0.93) == 0.0
 
 
+def test_audit_is_not_hidden_by_a_large_group(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.standard_normal(16) + rng.standard_normal((200, 16)) * 0.01
+    pairs = np.repeat(rng.standard_normal((15, 16)), 2, axis=0) + rng.standard_normal((30, 16)) * 0.01
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(np.concatenate([hot, pairs]))]
+    nodes = nodes_of(spark.createDataFrame(rows, SCHEMA)).cache()
+    counts = {i: n for i, (n, _) in brute(rows).items()}
+    assert vectors.audit(nodes, spark.createDataFrame([*counts.items()], "node bigint, linked bigint"), 0.93) == 1.0
+    assert vectors.audit(nodes, spark.createDataFrame([*counts.items()][:200], "node bigint, linked bigint"), 0.93) == 0.0
+
+
+def test_trees_grow_with_the_label(spark):
+    of = {n: vectors.trees_for(spark.range(n).selectExpr("id as node", "0 as label", "array(1f) as x")) for n in (0, 64, 2000, 20000, 200000)}
+    assert of[0] == of[64] == vectors.TREES < of[2000] < of[20000] < of[200000]
+    assert of[20000] == 10
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     """The documents before the pipeline and after each stage, at a small scale."""
