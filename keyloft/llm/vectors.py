@@ -10,7 +10,7 @@ A list that is full of links is saturated: its node may have more. Such lists ar
 enlarged to the whole link component, whose pairs are computed in blocks; so are those of
 small components. A link that neither end lists joins two saturated components: blocks of these are compared with one
 another too, within a label and unless their centres are too far apart. An audit compares a sample with brute force, and trees are added
-until it is passed.
+until it is passed; if it is not passed after some attempts, all pairs of each label are computed in blocks.
 """
 
 from __future__ import annotations
@@ -334,6 +334,14 @@ def rooted(ends: DataFrame, found: DataFrame) -> DataFrame:
     return save(ends.join(moved, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "members")
 
 
+def by_labels(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Members (node, root and more) and counts (node, linked) from all pairs of each label in blocks: exact, at the cost of their square."""
+    kinds = nodes.groupBy("label", F.size("x").alias("size")).agg(F.min("node").alias("part"))
+    placed = nodes.withColumn("size", F.size("x")).join(kinds, ["label", "size"])
+    found = save(exact_links(placed.select("part", "label", F.col("node").alias("root"), "node", "x", "copies", F.lit(0).alias("full")), threshold), "found")
+    return rooted(nodes.withColumn("root", F.col("node")), found), found.where("other is null").select("node", "linked")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LISTED, trees: int | None = None, recall: float = RECALL, most: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label).
 
@@ -347,7 +355,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
     start, seed = None, 5
     trees = trees or trees_for(nodes, threshold, recall)
     for attempt in range(most):
-        lists = descend(nodes, trees, seed + attempt, k, min(REACH, threshold), start=start)
+        lists = descend(nodes, trees << attempt, seed + attempt, k, min(REACH, threshold), start=start)
         start = lists.df
         linked = lists.df.select("node", "sims", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where(F.col("e.sims") >= threshold)
         links = linked.select(F.col("node").alias("u"), F.col("e.nbrs").alias("v"))
@@ -364,6 +372,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
         ends = rooted(ends, found)
         if audit(nodes, counts, threshold) >= recall:
             break
+    else:
+        ends, counts = by_labels(nodes, threshold)
     info = nodes.select("label", "x", "node", "copies").join(counts, "node", "left").join(ends.select("node", "root"), "node", "left")
     info = info.select(F.col("label").alias("n_label"), F.col("x").alias("n_x"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     v = vectors.select(F.col("vec_id").cast("long"), "label", "embedding")

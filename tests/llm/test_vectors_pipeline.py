@@ -117,6 +117,14 @@ def test_audit_is_not_hidden_by_a_large_group(spark):
     assert vectors.audit(nodes, spark.createDataFrame([*counts.items()][:200], "node bigint, linked bigint"), 0.93) == 0.0
 
 
+def test_a_failed_audit_ends_in_exact_blocks(spark, monkeypatch):
+    first = vectors.first_lists
+    monkeypatch.setattr(vectors, "first_lists", lambda *a: first(*a).limit(0))
+    rows = clustered(200, 16, 10, 8, 3) + [(300, [1.0, 0.0], 1), (301, [1.0, 0.1], 1)]
+    expected = brute(rows)
+    assert result(near_vectors(spark.createDataFrame(rows, SCHEMA), most=1)) == expected
+
+
 def test_trees_grow_with_the_label(spark):
     of = {n: vectors.trees_for(spark.range(n).selectExpr("id as node", "0 as label", "array(1f) as x")) for n in (0, 64, 2000, 20000, 200000)}
     assert of[0] == of[64] == vectors.TREES < of[2000] < of[20000] < of[200000]
