@@ -6,9 +6,8 @@ round then compares the neighbours of every node with one another (a join brings
 vectors to the node, in lists of bounded length) and merges what is closer into their lists, until few
 change. Links are the listed pairs over the threshold.
 
-A list that is full of links is saturated: its node may have more. Such lists are
-enlarged to the whole link component, whose pairs are computed in blocks; so are those of
-small components. A link that neither end lists joins two saturated components: blocks of these are compared with one
+A list that is full of links is saturated: its node may have more. The pairs of every
+component are computed in blocks, whether its lists are saturated or not. A link that neither end lists joins two saturated components: blocks of these are compared with one
 another too, within a label and unless their centres are too far apart. An audit compares a sample with brute force, and trees are added
 until it is passed; if it is not passed after some attempts, all pairs of each label are computed in blocks.
 """
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloft.llm.common import Saved, save
-from keyloft.llm.components import components
+from keyloft.llm.components import components, dealt_anew
 from keyloft.llm.simhash import forest
 
 THRESHOLD = 0.93
@@ -32,7 +31,7 @@ LISTED, REACH = 16, 0.7
 #: Least number of trees of the first lists, bits of their codes, rows of a window.
 TREES, CODE_BITS, WINDOW = 4, 24, 128
 ROUNDS = 6
-#: Vectors of a block of a component; components up to SMALL members are computed whole though not saturated.
+#: Vectors of a block of a component; components of more than SMALL members are compared with others though not saturated.
 BLOCK, SMALL = 256, 4096
 #: Sample of the recall audit for each kind of node, and the recall that ends the search.
 AUDIT, RECALL = 2048, 0.98
@@ -209,7 +208,7 @@ def exact_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     product; what leaves it is a sum for each node and a spanning forest of the roots that it joins.
     """
     sizes = members.groupBy("part").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    cut = members.join(sizes, "part").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cut = members.join(sizes.select(dealt_anew("part"), "blocks"), "part").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
     packed = save(cut.groupBy("label", "part", "b").agg(F.first("blocks").alias("blocks"), F.max("full").alias("full"), F.collect_list(F.struct("node", "root", "copies", "x")).alias("rows")), "blocks")
     inside = packed.select("part", "b", F.col("part").alias("other"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("c"))
     index = inside.union(close_blocks(packed.where("full = 1").select("label", "part", "b", "rows"), threshold))
@@ -363,12 +362,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
         full = lists.df.where((F.size("sims") >= k) & (F.array_min("sims") >= threshold)).select("node")
         ends = save(nodes.join(roots.union(roots.select("root", "root").distinct()).toDF("node", "root"), "node"), "members")
         sizes = ends.join(full.withColumn("full", F.lit(1)), "node", "left").groupBy("root").agg(F.count("*").alias("size"), F.max(F.coalesce("full", F.lit(0))).alias("full"))
-        whole = sizes.where((F.col("full") == 1) | (F.col("size") <= SMALL)).select("root", "full")
-        inside = ends.join(whole, "root").select(F.col("root").alias("part"), "label", "root", "node", "x", "copies", "full")
-        found = save(exact_links(inside, threshold), "found")
-        listed = links.union(links.select("v", "u")).toDF("node", "other").distinct().join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
-        rest = listed.join(ends.join(whole, "root", "left_anti").select("node"), "node", "left_semi")
-        counts = save(found.where("other is null").select("node", "linked").union(rest.select("node", "linked")), "counts")
+        across = sizes.select(dealt_anew("root"), ((F.col("full") == 1) | (F.col("size") > SMALL)).cast("int").alias("full"))
+        members = ends.join(across, "root").select(dealt_anew("root").alias("part"), "label", "root", "node", "x", "copies", "full")
+        found = save(exact_links(members, threshold), "found")
+        counts = found.where("other is null").select("node", "linked")
         ends = rooted(ends, found)
         if audit(nodes, counts, threshold) >= recall:
             break

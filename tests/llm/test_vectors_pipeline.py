@@ -87,6 +87,17 @@ def test_links_across_saturated_components(spark):
     assert result(near_vectors(spark.createDataFrame(rows, SCHEMA), k=8)) == expected
 
 
+def test_every_component_is_computed_whole(spark, monkeypatch):
+    from keyloft.llm.common import Saved
+
+    rows = split_group(6)
+    chain = spark.createDataFrame([(i, [i + 1], [0.95]) for i in range(11)], vectors.LISTS)
+    monkeypatch.setattr(vectors, "SMALL", 0)
+    monkeypatch.setattr(vectors, "descend", lambda *a, **b: Saved(chain, "lists"))
+    monkeypatch.setattr(vectors, "audit", lambda *a: 1.0)
+    assert result(near_vectors(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(5, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (9, [2.0, 0.0], 1), (4, [1.0, 0.0], 2), (6, [1.0, 0.0], None), (7, [0.0, 0.0], 1), (8, None, 1), (10, [], 1), (11, [nan, 1.0], 1), (12, [inf, 1.0], 1), (13, [1.0, None], 1), (14, [1.0, 0.0, 0.0], 1), (15, [1e-30, 0.0], 1), (16, [0.9, 0.5], 1)]
