@@ -1,16 +1,18 @@
 """Main text of raw HTML by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by stop-word
-density, length and link density; containers shift it: inside article or main every
-block of low link density is text, inside menus, footers, forms and the like none is.
-Short blocks in neither place stay open, and in the second pass take the label of the
-nearest decided blocks. One linear scan for each page; nothing is parsed twice.
+density, length and link density. Containers shift these thresholds: inside an article that
+carries the page, short blocks and few stop words are enough; beside one, only long and dense blocks
+are text. What stands in menus, footers, forms, adverts, comments and the like is what extraction
+leaves out, and is bad. All blocks that the thresholds leave open take, in the second pass, the label of the
+nearest decided blocks, first of those of their own section. One linear scan for each page; nothing is parsed twice.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,9 +39,21 @@ STOP_WORDS = frozenset(
     "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split()
 )
 
-SHORT, LONG = 70, 200
-DENSE, SPARSE = 0.32, 0.30
+#: Parts of class names that go with any of BOILER_WORDS: "site-header", "share-buttons"; other parts ("comment-enabled") make it another word.
+NEUTRAL = frozenset("site page main top bottom left right bar bars box boxes list lists link links wrapper wrap container content area section block blocks inner outer item items button buttons unit slot primary secondary global mobile desktop fixed sticky form panel group row col column text icon icons".split())
+#: Elements that make a section: blocks of one section are nearer to one another than to any other.
+SECTIONS = frozenset("html body div section article main nav header footer aside form center".split())
+#: Elements that end where the next block of the kind in the value begins.
+CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"])}
+
+#: Blocks under SHORT characters are open. DENSE stop words make a block text, under SPARSE it is none (in a language of the list; else length and links decide alone).
+SHORT, DENSE, SPARSE = 70, 0.15, 0.05
+#: The same inside a container of the main text, and least length and density beside one that carries the page.
+MAIN_SHORT, MAIN_DENSE = 25, 0.05
+LONG, OUTER_DENSE = 200, 0.30
 LINKS = 0.33
+#: So many link blocks on end are a menu wherever they stand.
+MENU = 3
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -54,41 +68,58 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 class Block:
-    __slots__ = ("text", "links", "boiler", "main", "heading", "label")
+    __slots__ = ("text", "links", "boiler", "main", "heading", "section", "label")
 
-    def __init__(self, text: str, links: int, boiler: bool, main: bool, heading: bool):
-        self.text, self.links, self.boiler, self.main, self.heading, self.label = text, links, boiler, main, heading, ""
+    def __init__(self, text: str, links: int, boiler: bool, main: bool, heading: str, section: int):
+        self.text, self.links, self.boiler, self.main, self.heading, self.section, self.label = text, links, boiler, main, heading, section, ""
+
+
+def _is_boiler(token: str) -> bool:
+    """Whether a class or id is one of BOILER_WORDS, or is made of them and NEUTRAL parts."""
+    parts = [w.lower() for w in _WORDS.findall(token)]
+    return any(w in BOILER_WORDS for w in parts) and all(w in BOILER_WORDS or w in NEUTRAL for w in parts)
 
 
 def _container(name: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element holds what is not text, and whether it holds the main text."""
     boiler, main = name in BOILER_TAGS, name in MAIN_TAGS
-    if attrs and not boiler and name not in ("html", "body"):
+    if attrs and not boiler and name not in ("html", "body", "main"):
         for kind, *value in _LABEL.findall(attrs):
-            words = {w.lower() for w in _WORDS.findall("".join(value))}
+            tokens = html.unescape("".join(value)).split()
             if kind.lower() == "role":
-                boiler, main = boiler or bool(words & BOILER_ROLES), main or "main" in words
-            elif name != "main":
-                boiler = boiler or bool(words & BOILER_WORDS)
+                roles = {t.lower() for t in tokens}
+                boiler, main = boiler or bool(roles & BOILER_ROLES), main or "main" in roles
+            else:
+                boiler = boiler or any(map(_is_boiler, tokens))
     return boiler, main and not boiler
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page with text, in order; unclosed elements end with their parent, a cut tag at the end is dropped."""
+    """The blocks of a page with text, in order; unclosed elements end with their parent or the next of their kind, a cut tag at the end is dropped."""
     out: list[Block] = []
     open_: list[tuple[str, bool, bool]] = []
-    boiler = main = 0
+    sections = [0]
+    boiler = main = number = 0
     parts: list[str] = []
     in_link: list[str] = []
-    anchors, heading, breaks, at = 0, False, 0, 0
+    anchors, heading, breaks, at = 0, "", 0, 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, len(" ".join(html.unescape("".join(in_link)).split())), boiler > 0, main > 0, heading))
+            out.append(Block(text, len(" ".join(html.unescape("".join(in_link)).split())), boiler > 0, main > 0, heading, sections[-1]))
         parts.clear()
         in_link.clear()
 
+    def leave(k: int) -> None:
+        nonlocal boiler, main
+        for name, b, mn in open_[k:]:
+            boiler -= b
+            main -= mn
+            if name in SECTIONS:
+                sections.pop()
+        del open_[k:]
+
     for m in _TAG.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
@@ -112,26 +143,27 @@ def blocks(page: str) -> list[Block]:
         if not inline:
             flush()
             breaks = 0
-            heading = not end and len(name) == 2 and name[0] == "h" and name[1].isdigit()
+            heading = name if not end and len(name) == 2 and name[0] == "h" and name[1].isdigit() else ""
         if name == "a":
             anchors = max(0, anchors + (-1 if end else 1))
         if name in VOID:
             continue
         if not end:
+            if inline:
+                continue
+            while open_ and open_[-1][0] in CLOSES.get(name, ("p",)):
+                leave(len(open_) - 1)
             b, mn = _container(name, m["attrs"] or m["attrs2"] or "")
-            if (b or mn) and inline:
-                b = mn = False
-            if not inline or b or mn:
-                open_.append((name, b, mn))
-                boiler += b
-                main += mn
+            open_.append((name, b, mn))
+            boiler += b
+            main += mn
+            if name in SECTIONS:
+                number += 1
+                sections.append(number)
         elif not inline:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
-                    for _, b, mn in open_[k:]:
-                        boiler -= b
-                        main -= mn
-                    del open_[k:]
+                    leave(k)
                     anchors = 0
                     break
     if at < len(page):
@@ -142,23 +174,47 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def carries(found: list[Block]) -> bool:
+    """Whether the blocks in containers of the main text carry the page: a first-level heading is among them, or at least half of all that may be text."""
+    own = [b for b in found if b.main and not b.boiler]
+    if any(b.heading == "h1" for b in own):
+        return True
+    rest = sum(len(b.text) for b in found if not b.main and not b.boiler and b.links <= LINKS * len(b.text))
+    return sum(len(b.text) for b in own) >= max(1, rest)
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether the stop words are those of the page: a tenth at least of its longer text without links has them."""
+    longer = [b for b in found if not b.boiler and not b.links and len(b.text) >= SHORT]
+    return sum(len(b.text) for b in longer if _stop_density(b.text) >= SPARSE) >= 0.1 * sum(len(b.text) for b in longer)
+
+
 def first_pass(found: list[Block]) -> None:
-    """Labels each block good, bad, near (almost good) or short."""
-    has_main = any(b.main and not b.boiler for b in found)
+    """Labels each block good or bad, or leaves it open: near (almost good), short, or linked (a link in the main text)."""
+    carried = carries(found)
+    dense, sparse = (DENSE, SPARSE) if known_language(found) else (0.0, 0.0)
     for b in found:
-        n = len(b.text)
-        density = b.links / n
-        if b.boiler or has_main and not b.main:
-            b.label = "bad"
-        elif b.main:
-            b.label = "good" if density <= LINKS or n >= LONG and _stop_density(b.text) >= DENSE else "bad"
-        elif density > LINKS:
+        n, inside = len(b.text), b.main and carried
+        if b.boiler:
             b.label = "bad"
+        elif b.links > LINKS * n:
+            b.label = "linked" if inside else "bad"
+        elif inside:
+            b.label = "short" if n < MAIN_SHORT else "good" if _stop_density(b.text) >= MAIN_DENSE else "near"
+        elif carried:
+            b.label = "good" if n >= LONG and not b.links and _stop_density(b.text) >= OUTER_DENSE else "bad"
         elif n < SHORT:
             b.label = "bad" if b.links else "short"
         else:
             stops = _stop_density(b.text)
-            b.label = "good" if stops >= DENSE else "near" if stops >= SPARSE else "bad"
+            b.label = "good" if stops >= dense else "near" if stops >= sparse else "bad"
+    start = 0
+    for k, b in enumerate([*found, None]):
+        if b is None or b.label != "linked" or b.section != found[start].section:
+            if k - start >= MENU:
+                for x in found[start:k]:
+                    x.label = "bad" if x.label == "linked" else x.label
+            start = k if b is not None and b.label == "linked" else k + 1
 
 
 def _stop_density(text: str) -> float:
@@ -166,36 +222,64 @@ def _stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
+def _decided(found: list[Block], by_section: bool) -> tuple[list[int], list[int]]:
+    """The positions of the decided blocks before and after each block (-1 where there is none), of the same section only or of all; before a heading none is looked for."""
+    sides = []
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last, side = {}, [-1] * len(found)
+        for k in order:
+            b = found[k]
+            key = b.section if by_section else 0
+            if order.step == 1 and b.heading:
+                last.pop(key, None)
+            side[k] = last.get(key, -1)
+            if b.label in ("good", "bad"):
+                last[key] = k
+        sides.append(side)
+    return sides[0], sides[1]
+
+
 def second_pass(found: list[Block]) -> list[bool]:
     """Whether each block is text: open ones take the label of the nearest decided block, a heading that of the one after it.
 
-    At equal distance, or without a decided block on one side, a near block is text if
-    either neighbour is; a short one only if both are, or the only one. Where nothing is
-    decided, open blocks are text.
+    Decided blocks of the same section come first, then those of the page; what stands before the last
+    heading does not count, unless nothing else does. At equal distance, or with one side only, a near or linked block is text if
+    either neighbour is; a short one only if both are, or the only one. Open blocks of a
+    container of the main text without any decided one are text. On a page without a good block, the open
+    blocks of the section with most open text are.
     """
-    n = len(found)
-    before, after = [-1] * n, [n] * n
-    for k in range(n):
-        before[k] = k - 1 if k and found[k - 1].label in ("good", "bad") else (before[k - 1] if k else -1)
-    for k in range(n - 1, -1, -1):
-        after[k] = k + 1 if k + 1 < n and found[k + 1].label in ("good", "bad") else (after[k + 1] if k + 1 < n else n)
+    if not any(b.label == "good" for b in found):
+        size: dict[int, int] = {}
+        for b in found:
+            if b.label != "bad":
+                size[b.section] = size.get(b.section, 0) + len(b.text)
+        most = max(size, key=size.get, default=None)
+        return [b.label != "bad" and b.section == most for b in found]
+    near, far = _decided(found, True), _decided(found, False)
+    decided = [k for k, b in enumerate(found) if b.label in ("good", "bad")]
     out = []
     for k, b in enumerate(found):
         if b.label in ("good", "bad"):
             out.append(b.label == "good")
             continue
-        left = found[before[k]].label == "good" if before[k] >= 0 else None
-        right = found[after[k]].label == "good" if after[k] < n else None
-        if left is None and right is None:
-            out.append(True)
-        elif b.heading and right is not None:
+        before, after = near[0][k], near[1][k]
+        if before < 0 and after < 0:
+            if b.main and not b.boiler:
+                out.append(True)
+                continue
+            before, after = far[0][k], far[1][k]
+        if before < 0 and after < 0 and decided:  # all that is decided stands before the last heading
+            before = decided[bisect_left(decided, k) - 1]
+        left = found[before].label == "good" if before >= 0 else None
+        right = found[after].label == "good" if after >= 0 else None
+        if b.heading and right is not None:
             out.append(right)
         elif left is None or right is None or left == right:
             out.append(bool(right if left is None else left))
-        elif k - before[k] != after[k] - k and b.label == "short":
-            out.append(left if k - before[k] < after[k] - k else right)
+        elif k - before != after - k and b.label == "short":
+            out.append(left if k - before < after - k else right)
         else:
-            out.append(b.label == "near")
+            out.append(b.label != "short")
     return out
 
 

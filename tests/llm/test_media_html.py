@@ -167,3 +167,59 @@ def test_rows_stay(spark):
     df = spark.createDataFrame([(1, None, None, "own"), (None, "u", "", "own"), (2, "u", "<p>hi", "own"), (2, "u", "<p>hi", "own")], "page_id bigint, url string, html string, text string")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in extract(df).collect()) == [("1", "", 0), ("2", "hi", 2), ("2", "hi", 2), ("None", "", 0)]
     assert extract(df.limit(0)).count() == 0
+
+
+MORE = "It is the one that we had in the house when she was there for the dog."
+
+
+def test_a_teaser_does_not_take_the_page():
+    page = f"<div id=content><p>{LONG_TEXT}</p><p>{LONG_TEXT} {MORE}</p></div><div class='post'><article>Teaser one</article></div><div class='post'><article>Teaser two</article></div>"
+    assert main_text(page).startswith(f"{LONG_TEXT}\n{LONG_TEXT} {MORE}")
+
+
+def test_boiler_words_are_whole_class_names():
+    for name in ("comment-enabled", "post share-buttons-on", "no-sidebar", "has-ads-off"):
+        assert main_text(f"<article class='{name}'><h1>T</h1><p>{LONG_TEXT}</p></article>") == f"T\n{LONG_TEXT}"
+        assert main_text(f"<div class='{name}'><h1>T</h1><p>{LONG_TEXT}</p></div>") == f"T\n{LONG_TEXT}"
+    for name in ("comments", "comment-list", "site-header", "share-buttons", "x sidebar_left", "cookie-notice"):
+        assert main_text(f"<article><h1>T</h1><p>{LONG_TEXT}</p><div class='{name}'><p>{LONG_TEXT}</p></div></article>") == f"T\n{LONG_TEXT}"
+        assert main_text(f"<div><p>{LONG_TEXT}</p></div><div class='{name}'><p>{LONG_TEXT}</p></div>") == LONG_TEXT
+
+
+def test_a_linked_paragraph_of_an_article_stays_and_a_menu_goes():
+    linked = '<p><a href="/x">a source of it</a></p>'
+    menu = "<ul>" + "".join(f'<li><a href="/{k}">Item {k}</a></li>' for k in range(5)) + "</ul>"
+    assert main_text(f"<article><h1>T</h1><p>{LONG_TEXT}</p>{linked}<p>{MORE}</p>{menu}</article>") == f"T\n{LONG_TEXT}\na source of it\n{MORE}"
+
+
+def test_open_blocks_ask_their_own_section_first():
+    page = f"<div class=menu>x</div><div><h1>A title</h1><p>Short.</p><p>ab</p><p>{LONG_TEXT}</p><p>cd</p><p>ef</p></div><div><a href=/>top</a></div><footer>{LONG_TEXT}</footer>"
+    assert main_text(page).split("\n") == ["A title", "Short.", "ab", LONG_TEXT, "cd", "ef"]
+    found = blocks(page)
+    first_pass(found)
+    assert [b.label for b in found] == ["bad", "short", "short", "short", "good", "short", "short", "bad", "bad"]
+
+
+def test_a_language_without_known_stop_words():
+    text = "zyx qwv " * 20
+    assert main_text(f"<div><h1>Qq</h1><p>{text}</p><p>{text}</p></div><div><a href=/>aa</a></div>") == "\n".join(["Qq", text.strip(), text.strip()])
+
+
+def test_main_blocks_stay_without_an_article_tag(spark):
+    kept = total = more = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        own = main_text(r["html"]).split("\n")
+        other = main_text(r["html"].replace("<article>", "<div>").replace("</article>", "</div>")).split("\n")
+        kept += len([b for b in other if b in own])
+        more += len([b for b in other if b not in own])
+        total += len(own)
+    assert kept >= 0.97 * total and more <= 0.01 * total
+
+
+def test_both_passes_decide_blocks_of_the_pages(spark):
+    labels = set()
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        found = blocks(r["html"])
+        first_pass(found)
+        labels |= {b.label for b in found}
+    assert {"good", "bad", "short", "near"} <= labels
