@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from keyloft.llm import urls as urls_module
 from keyloft.llm.mixing import apportion, mix, mixed, targets
 from keyloft.llm.queries.op2 import RULES
 from keyloft.llm.urls import judge
@@ -47,6 +48,20 @@ def test_rows_stay(spark):
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_many_shapes_and_both_joins(spark, monkeypatch):
+    """Over 4096 pairs of label count and path length, shuffled joins, and short prefixes that collide all the time."""
+    rnd = random.Random(3)
+    path = "/" + "".join(rnd.choice("ab/") for _ in range(900))
+    rules = [(".".join(["a"] * n + ["com"]), path[:k], rnd.choice(["allow", "block"])) for n in range(6) for k in range(1, 800)]
+    urls = [f"http://{'.'.join(['a'] * rnd.randint(0, 8) + ['com'])}{path[: rnd.randint(0, 900)]}" for _ in range(60)] + ["http://b.com/x", None]
+    pages, table = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string"), spark.createDataFrame(rules, RULE)
+    expected = [plain(u, rules) for u in urls]
+    for digits, most in ((8, 20_000), (8, 0), (2, 0)):
+        monkeypatch.setattr(urls_module, "SHORT", digits)
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge(pages, table, broadcast=most).collect()}
+        assert [got[i] for i in range(len(urls))] == expected
+
+
 def highest_quotients(votes, seats):
     won = [0] * len(votes)
     for _ in range(seats if sum(votes) else 0):
