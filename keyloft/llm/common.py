@@ -104,6 +104,12 @@ def worker_limits() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
+def free_names(df: DataFrame, *names: str) -> DataFrame:
+    """Without the columns, in any case of letters, whose names an operator gives to its results."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def widened(schema: StructType, **more: DataType) -> StructType:
     """A copy of the schema with further columns, named with their types."""
     return StructType([*schema.fields, *(StructField(k, v) for k, v in more.items())])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keyloft.llm.common import crc_of_id
 
 #: Labelled rows of each class that a classifier is fitted on, at most, and the longest text among them in bytes.
-PER_CLASS = 1000
+PER_CLASS = 1500
 LONGEST = 100_000
 
 

@@ -1,16 +1,17 @@
 """Quality classifier on supervised subword embeddings.
 
-Hashed words and byte n-grams have learned vectors; a document is the mean of the
-vectors of its features, and a softmax layer gives the classes. Training is stochastic
+Hashed words and hashed character n-grams of words (with signs for the begin and end of a word) have learned
+vectors; a document is the mean of the vectors of its features, and a softmax layer gives the classes. Training is stochastic
 gradient descent in numpy on a bounded sample. For scoring, the inner product of each vector
-with the difference of the two output rows is taken once, so a feature costs one look-up
-in a table of integers; integer sums make a score independent of batches.
+with the difference of the two output rows is taken once, so a word comes to an integer sum and a number of
+features, which a worker remembers; integer sums make a score independent of batches and cuts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,32 +19,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from keyloft.llm.common import crc_of_id, slices, widened
+from keyloft.llm.common import crc_of_id, free_names, slices, widened
 from keyloft.llm.labelled import PER_CLASS, sample
 
-GRAMS = (2, 3, 4)
+#: Lengths of the n-grams, in characters. These, WORD_WEIGHT and the feature of a repeated word were chosen by cross-validation inside the training rows (README).
+GRAMS = (3, 4, 5)
 #: Buckets of n-grams and of words; the last bucket is for a word that repeats the one before it.
 GRAM_BITS, WORD_BITS = 16, 16
 BUCKETS = (1 << GRAM_BITS) + (1 << WORD_BITS) + 1
 REPEAT = BUCKETS - 1
 DIM = 8
-#: A word feature counts as often as this: a word of six bytes has 18 n-grams.
+#: A word feature, and that of a repeated word, counts as often as this.
 WORD_WEIGHT = 4
-#: Longer texts are taken in pieces of this many bytes, cut after white space; features do not cross a cut.
+#: Longer texts are taken in pieces of about this many bytes, cut after white space; no feature crosses a cut but that of a repeated word, whose first half is carried over.
 PIECE = 1 << 20
+#: Characters of words that are hashed at once; a longer word is hashed in parts that overlap.
+CHUNK = 1 << 18
+#: Words a worker remembers, and the longest of them; on overflow it forgets all and starts anew.
+MEMORY, LONG = 300_000, 64
 SCALE = 1 << 12
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32, 0]] = True
+BEGIN, END = "\x02", "\x03"
+_SPACE = re.compile(rb"[\x09-\x0d ]")
 
 
 def pieces(text: bytes) -> list[bytes]:
-    """The text whole, or cut after the last white space before each MiB (or there, where there is none)."""
-    out = []
-    while len(text) > PIECE:
-        cut = max(text.rfind(s, 0, PIECE) for s in (b" ", b"\n", b"\t")) + 1 or PIECE
-        out.append(text[:cut])
-        text = text[cut:]
-    return [*out, text]
+    """The text cut after the first white space from each PIECE bytes on: no word is cut."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        found = _SPACE.search(text, at + PIECE)
+        if not found:
+            break
+        out.append(text[at : found.end()])
+        at = found.end()
+    return [*out, text[at:]]
 
 
 def _mix(x: np.ndarray, bits: int) -> np.ndarray:
@@ -53,36 +61,64 @@ def _mix(x: np.ndarray, bits: int) -> np.ndarray:
     return x >> np.uint32(32 - bits)
 
 
-_POWERS = np.cumprod(np.full(4096, 16777619, np.uint32), dtype=np.uint32)
+_PRIME = np.uint32(16777619)
+_POWERS = np.cumprod(np.full(4096, _PRIME, np.uint32), dtype=np.uint32)
 
 
-def features(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the n-grams that start at each byte (an array for each n), where each text begins and ends in them, and buckets and owners of the word features."""
-    gap = max(GRAMS)
-    raw = np.frombuffer(b"".join(t + bytes(gap) for t in texts), np.uint8)
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(size + gap) - gap
-    begins = ends - size
-    x = raw.astype(np.uint32)
-    grams, code = [], x.copy()
-    for n in range(2, max(GRAMS) + 1):
-        code[: len(x) - n + 1] = (code[: len(x) - n + 1] << np.uint32(8)) | x[n - 1 :]
+def grams(code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each n the buckets of the n-grams that start at each place of an array of characters; the last n - 1 places have none."""
+    rolled = np.zeros(len(code), np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        if len(code) < n:
+            return
+        rolled = rolled[: len(code) - n + 1] * _PRIME + code[n - 1 :]
         if n in GRAMS:
-            grams.append(_mix(code + np.uint32(n * 0x9E3779B), GRAM_BITS))
-    inside = ~_SPACE[raw]
-    first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-    last = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
-    if not len(first):
-        return grams, np.stack([begins, ends]), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    offset = np.zeros(len(x), np.int64)
-    offset[first] = first
-    np.maximum.accumulate(offset, out=offset)
-    place = (np.arange(len(x)) - offset) & 4095
-    summed = np.add.reduceat(np.where(inside, (x + np.uint32(1)) * _POWERS[place], np.uint32(0)), first, dtype=np.uint32)
-    owner = np.searchsorted(begins, first, side="right") - 1
-    same = np.concatenate([[False], (summed[1:] == summed[:-1]) & (owner[1:] == owner[:-1]) & (np.diff(last - first) == 0)])
-    words = _mix(summed, WORD_BITS).astype(np.int64) + (1 << GRAM_BITS)
-    return grams, np.stack([begins, ends]), np.concatenate([words, np.full(int(same.sum()), REPEAT)]), np.concatenate([owner, owner[same]])
+            yield n, _mix(rolled + np.uint32(n * 0x9E3779B), GRAM_BITS)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def word_bucket(word: str) -> int:
+    """The bucket of a whole word."""
+    total, code = 0, _codes(word)
+    for at in range(0, len(code), CHUNK):
+        part = code[at : at + CHUNK]
+        total += int(((part + np.uint32(1)) * _POWERS[np.arange(at, at + len(part)) & 4095]).sum(dtype=np.uint32))
+    return int(_mix(np.array([total & 0xFFFFFFFF], np.uint32), WORD_BITS)[0]) + (1 << GRAM_BITS)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and owners (positions in `words`) of the features of words: their n-grams, and WORD_WEIGHT times the words themselves."""
+    marked = "".join(BEGIN + w + END for w in words)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(size)
+    code, owner = _codes(marked), np.repeat(np.arange(len(words)), size)
+    left = ends[owner] - np.arange(len(code))  # characters from here to the end of the word
+    ids, of = [], []
+    for n, buckets in grams(code):
+        fits = left[: len(buckets)] >= n
+        ids.append(buckets[fits].astype(np.int64))
+        of.append(owner[: len(buckets)][fits])
+    place = size[owner] - left - 1  # from 0 for the first character of the word itself
+    inside = (place >= 0) & (left > 1)
+    summed = np.add.reduceat(np.where(inside, (code + np.uint32(1)) * _POWERS[place & 4095], np.uint32(0)), ends - size, dtype=np.uint32) if len(words) else np.zeros(0, np.uint32)
+    whole = _mix(summed, WORD_BITS).astype(np.int64) + (1 << GRAM_BITS)
+    return np.concatenate([*ids, *[whole] * WORD_WEIGHT]), np.concatenate([*of, *[np.arange(len(words))] * WORD_WEIGHT])
+
+
+def document_features(text: bytes) -> np.ndarray:
+    """Buckets of all features of a document, repeats included."""
+    words = text.decode("utf-8", "replace").split()
+    if not words:
+        return np.zeros(0, np.int64)
+    distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    ids, owner = features(list(distinct))
+    at = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
+    many = np.bincount(at, minlength=len(distinct))
+    again = int((at[1:] == at[:-1]).sum())
+    return np.concatenate([np.repeat(ids, many[owner]), np.full(again * WORD_WEIGHT, REPEAT)])
 
 
 @dataclass
@@ -91,32 +127,61 @@ class Model:
 
     table: np.ndarray
     bias: float
+    known: dict[str, tuple[int, int]] = field(default_factory=dict)
+
+    def __getstate__(self):
+        return {"table": self.table, "bias": self.bias, "known": {}}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each text."""
-        cut = [pieces(t) for t in texts]
-        total, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        flat = [p for parts in cut for p in parts]
-        of = np.repeat(np.arange(len(texts)), [len(parts) for parts in cut])
-        at = 0
-        while at < len(flat):
-            stop, size = at, 0
-            while stop < len(flat) and (stop == at or size + len(flat[stop]) <= PIECE):
-                size += len(flat[stop])
-                stop += 1
-            t, n = self.sums(flat[at:stop])
-            np.add.at(total, of[at:stop], t)
-            np.add.at(count, of[at:stop], n)
-            at = stop
-        return 1 / (1 + np.exp(-np.clip(self.bias + total / SCALE / np.maximum(count, 1), -30, 30)))
-
-    def sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        grams, spans, words, owner = features(texts)
-        total = WORD_WEIGHT * np.bincount(owner, weights=self.table[words], minlength=len(texts)).astype(np.int64) if len(words) else np.zeros(len(texts), np.int64)
-        edges, length = spans.T.reshape(-1), spans[1] - spans[0]
-        for g in grams:
-            total += np.where(length > 0, np.add.reduceat(self.table[g], edges, dtype=np.int64)[::2], 0)
-        return total, length * len(grams) + WORD_WEIGHT * np.bincount(owner, minlength=len(texts))
+        sums = [self.sums(t) for t in texts]
+        mean = np.array([total / SCALE / max(n, 1) for total, n in sums])
+        return 1 / (1 + np.exp(-np.clip(self.bias + mean, -30, 30)))
+
+    def sums(self, text: bytes) -> tuple[int, int]:
+        """The sum of the features' values and their number."""
+        total = count = again = 0
+        last = None
+        for piece in pieces(text):
+            words = piece.decode("utf-8", "replace").split()
+            if not words:
+                continue
+            known = self.values(words)
+            found = np.array([known[w] for w in words], np.int64)
+            total, count = total + int(found[:, 0].sum()), count + int(found[:, 1].sum())
+            again += (last == words[0]) + sum(map(str.__eq__, words, words[1:]))
+            last = words[-1]
+        return total + again * WORD_WEIGHT * int(self.table[REPEAT]), count + again * WORD_WEIGHT
+
+    def values(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        """Sum and number of the features of each word, at least of these."""
+        known = self.known
+        new = [w for w in set(words) if w not in known]
+        if not new:
+            return known
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = list(set(words))
+        short = [w for w in new if len(w) <= LONG]
+        for at in range(0, len(short), CHUNK // LONG):
+            some = short[at : at + CHUNK // LONG]
+            ids, owner = features(some)
+            total = np.bincount(owner, weights=self.table[ids], minlength=len(some)).astype(np.int64).tolist()
+            known.update(zip(some, zip(total, np.bincount(owner, minlength=len(some)).tolist())))
+        if len(short) == len(new):
+            return known
+        return {**{w: known[w] for w in set(words) if len(w) <= LONG}, **{w: self.of_long(w) for w in new if len(w) > LONG}}
+
+    def of_long(self, word: str) -> tuple[int, int]:
+        """Sum and number of the features of a word of any length, in bounded memory."""
+        marked, most = BEGIN + word + END, max(GRAMS) - 1
+        total, count = WORD_WEIGHT * int(self.table[word_bucket(word)]), WORD_WEIGHT
+        for at in range(0, len(marked), CHUNK):
+            part = marked[at : at + CHUNK + most]
+            for n, buckets in grams(_codes(part)):
+                own = buckets[:CHUNK]
+                total, count = total + int(self.table[own].sum(dtype=np.int64)), count + len(own)
+        return total, count
 
 
 def train(rows: list[tuple[bytes, int]], epochs: int = 8, rate: float = 0.4, seed: int = 1) -> Model:
@@ -131,9 +196,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 8, rate: float = 0.4, see
         return Model(np.zeros(BUCKETS, np.int32), float(np.log((n1 + 1) / (len(labels) - n1 + 1))))
     docs = []
     for text, _ in rows:
-        grams, spans, words, _ = features([text])
-        b, e = spans[:, 0]
-        ids, n = np.unique(np.concatenate([*(g[b:e].astype(np.int64) for g in grams), *[words] * WORD_WEIGHT]), return_counts=True)
+        ids, n = np.unique(document_features(text), return_counts=True)
         docs.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -169,8 +232,10 @@ def score(docs: DataFrame, model: Model, column: str, threshold: float | None =
     """docs with `column`: the score of each whole text; null and empty texts get that of no features.
 
     With a threshold, only rows with at least that score stay and no column is added.
-    Every column of docs is kept.
+    Every column of docs is kept, but one that has the name of `column`. Repeated rows get equal scores; an empty table gives none.
     """
+    if threshold is None:
+        docs = free_names(docs, column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
