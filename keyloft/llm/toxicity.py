@@ -5,8 +5,9 @@ prior of a word is the estimate of its five-letter beginning, whose prior is tha
 four-letter one, whose prior is even. Counts are of distinct (word before, word) pairs, so copies of
 a passage count once. A linear-time scan finds every maximal segment; extreme-value
 statistics fitted on clean text turn a segment's score into its expected number in text
-of that length, and a document's significant segments are summed up and mapped to a
-probability.
+of that length, and segments that clean text would hardly have are significant. All of them are found, copies of
+one another too; a document's probability follows from their sum, in which evidence that
+stood in the document before adds nothing.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from keyloft.llm.common import crc_of_id, slices, widened
+from keyloft.llm.common import crc_of_id, free_names, slices, widened
 from keyloft.llm.labelled import PER_CLASS, sample
 
+# DRIFT, PRIOR and EXPECTED, and that repeated evidence counts once, were chosen by cross-validation inside the training rows (README).
 #: Every token pays this, so that text without evidence scores below zero.
-DRIFT = 0.5
+DRIFT = 0.8
 #: Pseudo-counts of each level's prior.
 PRIOR = 4.0
 #: Segments expected less often than this in clean text of the same length are significant.
-EXPECTED = 0.05
+EXPECTED = 0.5
 #: Scores of words a worker remembers; on overflow it forgets all and starts anew.
 MEMORY = 300_000
 BATCH_BYTES = 2 << 20
@@ -82,6 +84,9 @@ class Odds:
     stems: list[dict[str, float]]  # for each length of STEMS
     known: dict[str, float] = field(default_factory=dict)
 
+    def __getstate__(self):
+        return {"words": self.words, "stems": self.stems, "known": {}}
+
     def of(self, word: str) -> float:
         """The score of a word: its own log-odds, or those of its longest known beginning, less the drift."""
         found = self.words.get(word)
@@ -97,64 +102,87 @@ class Odds:
         return found - DRIFT
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """The score of each token; evidence that stood there before, after the same word, does not count again."""
+        """The score of each token."""
         try:
-            out = np.array([self.known[w] for w in words])
+            return np.array([self.known[w] for w in words])
         except KeyError:
             get, of = self.known.get, self.of
-            out = np.array([s if (s := get(w)) is not None else of(w) for w in words])
-        seen = set()
-        for k in np.flatnonzero(out > 0).tolist():
-            pair = (words[k - 1] if k else "", words[k])
+            return np.array([s if (s := get(w)) is not None else of(w) for w in words])
+
+
+def anew(words, scores: np.ndarray, found: list[tuple[int, int, float]]) -> list[float]:
+    """The scores of the segments that are left of those found where a positive token counts only once after the same token, and never after itself."""
+    seen, out = set(), []
+    for a, b, _ in found:
+        fresh = scores[a:b].copy()
+        for k in np.flatnonzero(fresh > 0).tolist():
+            at = a + k
+            pair = (words[at - 1] if at else None, words[at])
             if pair in seen or pair[0] == pair[1]:
-                out[k] = -DRIFT
+                fresh[k] = -DRIFT
             seen.add(pair)
-        return out
-
-
-def odds(rows: list[tuple[list[str], int]]) -> Odds:
-    """Log-odds from tokenized labelled texts; with one class only, all are zero."""
-    vocabulary: dict[str, int] = {}
-    pairs: tuple[list, list] = ([], [])
-    for words, y in rows:
-        ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words))
-        pairs[y].append(np.stack([np.concatenate([[-1], ids[:-1]]), ids]) if len(ids) else np.zeros((2, 0), np.int64))
-    size, names = len(vocabulary), list(vocabulary)
-    if not size or not pairs[0] or not pairs[1]:
-        return Odds({}, [{} for _ in STEMS])
-    seen = []
-    for side in pairs:
-        p = np.concatenate(side, axis=1)
-        p = np.unique((p[0] + 1) * size + p[1])
-        seen.append((p // size - 1, p % size))
-    n = [max(1, len(s[1])) for s in seen]
-    scale = [min(n) / x for x in n]
-
-    def counts(group: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct contexts of each group in clean and toxic text, as if both had the same length."""
-        out = []
-        for (before, word), s in zip(seen, scale):
-            k = np.unique((before + 1) * many + group[word]) % many
-            out.append(np.bincount(k, minlength=many) * s)
-        return out[0], out[1]
-
-    prior, stems = np.full(size, 0.5), []
-    for length in STEMS:
-        stem_ids: dict[str, int] = {}
-        group = np.fromiter((stem_ids.setdefault(w[:length], len(stem_ids)) for w in names), np.int64, size)
-        clean, toxic = counts(group, len(stem_ids))
-        above = np.zeros(len(stem_ids))
-        above[group] = prior
-        share = (toxic + PRIOR * above) / (clean + toxic + PRIOR)
-        table = np.log(share / (1 - share))
-        stems.append({s: float(table[k]) for s, k in stem_ids.items()})
-        prior = share[group]
-    clean, toxic = counts(np.arange(size), size)
-    share = (toxic + PRIOR * prior) / (clean + toxic + PRIOR)
-    own = np.log(share / (1 - share))
-    inherited = np.log(prior / (1 - prior))
-    keep = np.abs(own - inherited) > 0.05
-    return Odds({names[k]: float(own[k]) for k in np.flatnonzero(keep)}, stems)
+        out += [s for _, _, s in segments(fresh)]
+    return out
+
+
+class Counts:
+    """Tokenized texts as numbers of words, and the log-odds that any of them give to all words.
+
+    One vocabulary serves the whole sample and its halves, so only arrays are held for each of them.
+    """
+
+    def __init__(self, texts):
+        number: dict[str, int] = {}
+        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
+        self.names = list(number)
+        del number
+        self.groups, self.stems = [], []
+        for length in STEMS:
+            ids: dict[str, int] = {}
+            self.groups.append(np.fromiter((ids.setdefault(w[:length], len(ids)) for w in self.names), np.int32, len(self.names)))
+            self.stems.append(list(ids))
+
+    def _pairs(self, docs: list[int]) -> np.ndarray:
+        """The distinct (word before, word) pairs of some documents, as one number each."""
+        size = len(self.names) + 1
+        parts = [(np.concatenate([[0], d[:-1].astype(np.int64) + 1])) * size + d for d in (self.docs[k] for k in docs) if len(d)]
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+    def log_odds(self, clean: list[int], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Log-odds of each word, those that it inherits, and those of the stems of each length; all zero without both classes."""
+        many = len(self.names)
+        if not many or not clean or not toxic:
+            return np.zeros(many), np.zeros(many), [np.zeros(len(s)) for s in self.stems]
+        pairs = [self._pairs(clean), self._pairs(toxic)]
+        least = min(max(1, len(p)) for p in pairs)
+        scale = [least / max(1, len(p)) for p in pairs]
+
+        def contexts(group: np.ndarray, size: int) -> list[np.ndarray]:
+            """Distinct contexts of each group in clean and toxic text, as if both had the same number of pairs."""
+            out = []
+            for p, factor in zip(pairs, scale):
+                before, word = np.divmod(p, many + 1)
+                k = np.unique(before * size + group[word]) % size
+                out.append(np.bincount(k, minlength=size) * factor)
+            return out
+
+        prior, stems = np.full(many, 0.5), []
+        for group, names in zip(self.groups, self.stems):
+            above = np.zeros(len(names))
+            above[group] = prior
+            c, t = contexts(group.astype(np.int64), len(names))
+            share = (t + PRIOR * above) / (c + t + PRIOR)
+            stems.append(np.log(share / (1 - share)))
+            prior = share[group]
+        c, t = contexts(np.arange(many), many)
+        share = (t + PRIOR * prior) / (c + t + PRIOR)
+        return np.log(share / (1 - share)), np.log(prior / (1 - prior)), stems
+
+    def odds(self, clean: list[int], toxic: list[int]) -> Odds:
+        """The log-odds by word and stem; words near what they inherit are left out."""
+        own, inherited, stems = self.log_odds(clean, toxic)
+        keep = np.flatnonzero(np.abs(own - inherited) > 0.05)
+        return Odds({self.names[k]: float(own[k]) for k in keep}, [dict(zip(names, x.tolist())) for names, x in zip(self.stems, stems)])
 
 
 @dataclass
@@ -167,21 +195,29 @@ class Model:
     slope: float
     shift: float
 
-    def found(self, words: list[str]) -> list[tuple[int, int, float, float]]:
-        """Significant segments: first token, token after the last, score, and minus the log of how many clean text would have."""
-        out = []
-        for a, b, s in segments(self.odds.scores(words)):
-            surprise = self.decay * s - np.log(self.rate * max(1, len(words)))
-            if surprise >= -np.log(EXPECTED):
-                out.append((a, b, s, float(surprise)))
-        return out
-
-    def probability(self, found: list) -> float:
-        z = self.slope * np.log1p(sum(x[3] for x in found)) + self.shift
+    def surprise(self, score: float, length: int) -> float:
+        """Minus the log of how many segments of such a score clean text of a length would have."""
+        return self.decay * score - float(np.log(self.rate * max(1, length)))
+
+    def found(self, words: list[str]) -> tuple[list[tuple[int, int, float, float]], float]:
+        """Every significant segment (first token, token after the last, score, surprise), and the sum of the surprise of what is new in them."""
+        scores = self.odds.scores(words)
+        return significant(self, words, scores)
+
+    def probability(self, total: float) -> float:
+        z = self.slope * np.log1p(total) + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def score(self, text: str) -> float:
-        return self.probability(self.found(tokens(text)))
+        return self.probability(self.found(tokens(text))[1])
+
+
+def significant(model: Model, words, scores: np.ndarray) -> tuple[list[tuple[int, int, float, float]], float]:
+    """What Model.found gives, from tokens in any form and their scores."""
+    least, n = -np.log(EXPECTED), len(scores)
+    out = [x for x in segments(scores) if model.surprise(x[2], n) >= least]
+    fresh = [model.surprise(s, n) for s in anew(words, scores, out)]
+    return [(a, b, s, model.surprise(s, n)) for a, b, s in out], sum(v for v in fresh if v >= least)
 
 
 def decay_of(scores: np.ndarray) -> float:
@@ -205,28 +241,30 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     """Fits token scores on all rows; the statistics on scores that two half models give to the other half.
 
     Without rows of both classes nothing is significant and every text has the smoothed share of toxic rows.
+    The law of clean text is that of its segments with repeated evidence left out, since it is one of independent tokens.
     """
-    one: dict[str, str] = {}  # each word is held once
-    docs = [([one.setdefault(w, w) for w in tokens(t.decode("utf-8", "replace"))], y) for t, y in rows]
-    labels = np.array([y for _, y in docs], np.int64)
+    labels = np.array([y for _, y in rows], np.int64)
     n1 = int(labels.sum())
     if not 0 < n1 < len(labels):
         return Model(Odds({}, [{} for _ in STEMS]), 1.0, 1.0, 0.0, float(np.log((n1 + 0.1) / (len(labels) - n1 + 1))))
-    halves = [docs[0::2], docs[1::2]]
-    half_odds = [odds(h) for h in halves]
-    scored = [(half_odds[1 - k].scores(w).astype(np.float32), y) for k in (0, 1) for w, y in halves[k]]
-    del half_odds
-    clean = [s for s, y in scored if not y and len(s)]
-    background = np.concatenate([*clean, [8.0]])  # one strong token, so that the law is defined
+    counts = Counts(t.decode("utf-8", "replace") for t, _ in rows)
+    clean, toxic = np.flatnonzero(labels == 0).tolist(), np.flatnonzero(labels == 1).tolist()
+    scored: list = [None] * len(rows)
+    for half in (0, 1):
+        own = counts.log_odds([k for k in clean if k % 2 == half], [k for k in toxic if k % 2 == half])[0] - DRIFT
+        for k in range(1 - half, len(rows), 2):
+            scored[k] = own[counts.docs[k]].astype(np.float32)
+    background = np.concatenate([*(scored[k] for k in clean), [8.0]])  # one strong token, so that the law is defined
     decay = decay_of(background) if background.mean() < 0 else 1.0
-    best = [decay * max((x[2] for x in segments(s)), default=0.0) - np.log(len(s)) for s in clean]
+    best = []
+    for k in clean:
+        if len(scored[k]):
+            fresh = anew(counts.docs[k].tolist(), scored[k], segments(scored[k]))
+            best.append(decay * max(fresh, default=0.0) - np.log(len(scored[k])))
     rate = float(np.exp(np.mean(best) - np.euler_gamma)) if best else 1.0
-    model = Model(odds(docs), decay, max(rate, 1e-6), 0.0, 0.0)
-    x = []
-    for s, _ in scored:
-        surprise = [decay * seg[2] - np.log(model.rate * max(1, len(s))) for seg in segments(s)]
-        x.append(np.log1p(sum(v for v in surprise if v >= -np.log(EXPECTED))))
-    model.slope, model.shift = logistic(np.array(x), np.array([y for _, y in scored]))
+    model = Model(counts.odds(clean, toxic), decay, max(rate, 1e-6), 0.0, 0.0)
+    x = [np.log1p(significant(model, d.tolist(), s)[1]) for d, s in zip(counts.docs, scored)]
+    model.slope, model.shift = logistic(np.array(x), labels)
     return model
 
 
@@ -255,9 +293,11 @@ def score(docs: DataFrame, model: Model, column: str, below: float | None = None
     """docs with `column`: the toxicity of each whole text; null and empty texts have no segments.
 
     With `passages`, also `<column>_passages`: first token, token after the last, score
-    and surprise of every significant segment. With `below`, only rows with a smaller score
-    stay and no column is added. Every column of docs is kept.
+    and surprise of every significant segment, repeated ones too. With `below`, only rows with a smaller score
+    stay and no column is added. Every column of docs is kept, but those that have the names of the new ones. Repeated rows get equal scores; an empty table gives none.
     """
+    if below is None:
+        docs = free_names(docs, column, *[f"{column}_passages"] * passages)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     span = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType()), StructField("score", DoubleType()), StructField("surprise", DoubleType())]))
@@ -268,15 +308,15 @@ def score(docs: DataFrame, model: Model, column: str, below: float | None = None
         for batch in batches:
             texts = batch.column(names.index("text"))
             for a, b in slices(texts, BATCH_BYTES):
-                found = [model.found(tokens(t)) if t else [] for t in texts.slice(a, b - a).to_pylist()]
-                s = np.array([model.probability(f) for f in found])
+                found = [model.found(tokens(t)) if t else ([], 0.0) for t in texts.slice(a, b - a).to_pylist()]
+                s = np.array([model.probability(total) for _, total in found])
                 part = batch.slice(a, b - a)
                 if below is not None:
                     yield part.filter(pa.array(s < below))
                     continue
                 more, title = [pa.array(s)], [column]
                 if passages:
-                    more.append(pa.array([[dict(zip(("start", "stop", "score", "surprise"), x)) for x in f] for f in found], kind))
+                    more.append(pa.array([[dict(zip(("start", "stop", "score", "surprise"), x)) for x in f] for f, _ in found], kind))
                     title.append(f"{column}_passages")
                 yield pa.record_batch([*part.columns, *more], names=[*names, *title])
 
