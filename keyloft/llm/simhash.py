@@ -1,34 +1,39 @@
-"""SimHash fingerprints and their near-duplicate join over a binary trie.
-
-Fingerprints are made distinct first, so copies meet as one row. The trie is cut into
-subtries of at most `leaf` fingerprints (its shape follows from counts of 16-bit
-prefixes). Pairs of subtries whose prefixes differ in too many bits are pruned; each
-remaining pair is one row with the two sorted subtries, and a task goes through their
-node pairs level by level, adding up differing bits and dropping pairs over the budget.
-A task gives a spanning forest of the links it finds, not the links themselves, so a
+"""SimHash fingerprints and their near-duplicate join over binary tries.
+
+Fingerprints are made distinct first, so copies meet as one row. Two fingerprints within the
+error budget agree in some of any `budget` + r blocks of their bits, in r of them at least. So there is one trie for each choice of r
+blocks, with those bits first: below its first levels, which have no errors to spend, a subtrie
+goes to one task as it is, and no pair of subtries has to meet. The number of
+tries depends on the budget and slowly on the number of fingerprints, so the rows that are shuffled grow with the
+input. A task goes through the node pairs of all its subtries level by level, adds up differing
+bits and drops pairs over the budget. A subtrie of more than `leaf` fingerprints is dealt into parts that meet in
+pairs. A task gives a spanning forest of the links it finds, not the links themselves, so a
 dense group costs as many rows as it has members.
+
+Similarity of shingles, not bits, is asked for by `similar_documents`: wider fingerprints of
+distinct shingles, in tries that each begin with some bits of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloft.llm.common import save
 from keyloft.llm.components import components, dealt_anew
 
 BITS = 64
-#: Bits of the prefixes whose counts shape the trie: at most 2^16 rows reach the driver.
-PREFIX = 16
-#: Least size of a full subtrie.
+#: Fingerprints of a subtrie that one task takes whole.
 LEAF = 4096
-#: Node pairs that one step of a traversal handles at once.
-FRONTIER = 1 << 20
+#: Node pairs that one step of a traversal handles at once, and rows that a task gathers from subtries before it goes through them.
+FRONTIER, ROWS = 1 << 20, 1 << 16
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -64,42 +69,78 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def shape(counts: dict[int, int], leaf: int) -> tuple[np.ndarray, np.ndarray]:
-    """First fingerprint (unsigned) and depth of each subtrie, in order; together they cover all."""
-    full = np.zeros((1 << PREFIX) + 1, np.int64)
-    for k, n in counts.items():
-        full[k + 1] = n
-    total = np.cumsum(full)
-    firsts, depths, open_ = [], [], [(0, 0)]
-    while open_:
-        at, depth = open_.pop()
-        width = 1 << (PREFIX - depth)
-        if depth < PREFIX and total[at + width] - total[at] > leaf:
-            open_ += [(at + width // 2, depth + 1), (at, depth + 1)]
-        else:
-            firsts.append(at << (BITS - PREFIX))
-            depths.append(depth)
-    return np.array(firsts, np.uint64), np.array(depths, np.int64)
-
-
-def partners(k: int, firsts: np.ndarray, depths: np.ndarray, budget: int) -> np.ndarray:
-    """The subtries from k on whose common prefix differs from that of k in at most `budget` bits."""
-    shared = np.minimum(depths[k:], depths[k])
-    differ = (firsts[k:] ^ firsts[k]) & ~(np.uint64(0xFFFFFFFFFFFFFFFF) >> shared.astype(np.uint64))
-    return k + np.flatnonzero(np.bitwise_count(differ) <= budget)
-
-
-def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sketch(text: bytes | None, words: int, width: int, seed: int = 42) -> bytes:
+    """SimHash of `width` times 64 bits over the distinct shingles of `words` words; zeros without words.
+
+    The further words of 64 bits come from the shingles' hashes by a mixing function of their number.
+    """
+    found = (text or b"").lower().split()
+    if not found:
+        return bytes(8 * width)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = (ends - np.fromiter(map(len, found), np.int64, len(found))).tolist()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter({digest(joined[a:b], seed) for a, b in zip(starts[: max(1, len(found) - words + 1)], ends[min(words, len(found)) - 1 :].tolist())}, np.uint64)
+    total = np.zeros((width, BITS), np.int64)
+    for at in range(0, len(hashes), 4096):
+        for k in range(width):
+            x = hashes[at : at + 4096] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            total[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(total * 2 > len(hashes)).tobytes()
+
+
+class Tries:
+    """The orders of bits in which fingerprints within `budget` bits of one another share the first bits of at least one.
+
+    There are budget + r blocks of bits, and a trie for each choice of r of them, which come first. With
+    `fingerprints` in all, r is the least that leaves a quarter of `leaf` of them to a subtrie on average.
+    """
+
+    def __init__(self, budget: int, fingerprints: int, leaf: int):
+        for agree in range(1, BITS - budget + 1):
+            blocks = budget + agree
+            edges = [BITS * k // blocks for k in range(blocks + 1)]
+            pieces = [(BITS - b, b - a) for a, b in zip(edges, edges[1:])]  # shift, width
+            self.orders = [[*chosen, *(p for p in pieces if p not in chosen)] for chosen in combinations(pieces, agree)]
+            self.bits = [sum(w for _, w in order[:agree]) for order in self.orders]
+            if fingerprints <= leaf / 4 * 2.0 ** min(self.bits) or agree == 4:
+                return
+
+    def values(self, t: int, fps: np.ndarray) -> np.ndarray:
+        """Unsigned fingerprints with their bits in the order of trie t."""
+        out = np.zeros(len(fps), np.uint64)
+        for shift, width in self.orders[t]:
+            out = (out << np.uint64(width % BITS)) | ((fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)) if width < BITS else fps
+        return out
+
+    def subtries(self, t: int, values: np.ndarray) -> np.ndarray:
+        """A number for the subtrie of each value: that of the trie and its first bits."""
+        return (np.int64(t) << np.int64(40)) | _top(values, self.bits[t])
+
+
+def _top(values: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of 64, at most 40 of them, as a number."""
+    return (values >> np.uint64(BITS - min(bits, 40))).astype(np.int64)
+
+
+def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, depth: int = 0, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i in a, j in b) of fingerprints that differ in at most `budget` bits; both sorted and unsigned.
 
     A node pair is two ranges with the bits in which their prefixes differ. A step takes
     a stack of node pairs of one level to the next level: two children pairs keep the
     error, two add one, empty ones and those over budget go. Pairs of small nodes are
-    compared outright.
+    compared outright. With `roots`, ranges of equal first `depth` bits, only pairs within a range are
+    looked for; where a is b, each pair is given in one order at least, not in both.
     """
     if not len(a) or not len(b):
         return
-    stack = [(depth, np.array([[0], [len(a)], [0], [len(b)], [0]], np.int64))]
+    same = a is b
+    first = np.array([[0], [len(a)], [0], [len(b)], [0]], np.int64) if roots is None else np.stack([*roots, *roots, np.zeros(roots.shape[1], np.int64)])
+    stack = [(depth, first)]
     while stack:
         level, nodes = stack.pop()
         if nodes.shape[1] > FRONTIER:
@@ -116,8 +157,11 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, depth: int = 0) -> Ite
         bit = np.uint64(1) << np.uint64(BITS - 1 - level)
         a_mid, b_mid = _split(a, nodes[0], nodes[1], bit), _split(b, nodes[2], nodes[3], bit)
         (a0, a1, b0, b1, err), out = nodes, []
+        mirrored = (a0 == b0) & (a1 == b1) if same else np.zeros(len(a0), bool)
         for lo, hi, b_lo, b_hi, more in ((a0, a_mid, b0, b_mid, 0), (a_mid, a1, b_mid, b1, 0), (a0, a_mid, b_mid, b1, 1), (a_mid, a1, b0, b_mid, 1)):
             keep = (lo < hi) & (b_lo < b_hi) & (err + more <= budget)
+            if more and lo is a_mid:
+                keep &= ~mirrored
             out.append(np.stack([lo[keep], hi[keep], b_lo[keep], b_hi[keep], err[keep] + more]))
         stack.append((level + 1, np.concatenate(out, axis=1)))
 
@@ -162,49 +206,89 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def near_links(distinct: DataFrame, budget: int = 4, leaf: int | None = None) -> DataFrame:
-    """u, v: links that join the fingerprints within `budget` bits into their groups; `distinct` has each fp once.
+def dealt(rows: DataFrame, by: Column, leaf: int) -> DataFrame:
+    """Adds lo and hi to rows with a `slot`: those of a slot over `leaf` rows are dealt into parts by `by`, and each goes to every pair of parts that has its own.
 
-    The links are a spanning forest for each pair of subtries: the groups that they
-    make are those of all links. Without `leaf`, subtries hold up to the number of fingerprints to the
-    power 2/3, 4096 at least: larger ones are sent to fewer partners.
+    Rows that meet in a slot meet in some (slot, lo, hi). The counts are combined before the shuffle.
     """
-    spark = distinct.sparkSession
-    prefix = F.shiftrightunsigned("fp", BITS - PREFIX)
-    counts = {r["k"]: r["n"] for r in distinct.groupBy(prefix.alias("k")).agg(F.count("*").alias("n")).collect()}  # at most 2^16 rows
-    leaf = leaf or max(LEAF, round(sum(counts.values()) ** (2 / 3)))
-    trie = spark.sparkContext.broadcast(shape(counts, leaf))
+    hot = save(rows.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select(F.col("slot").alias("hot"), F.ceil(F.col("n") / leaf).cast("int").alias("parts")), "hot")
+    if hot.isEmpty():
+        return rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("parts")).cast("int")).otherwise(0)
+    met = rows.join(hot, F.col("slot") == F.col("hot"), "left").withColumn("part", part)
+    others = F.when(F.col("parts").isNotNull(), F.filter(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda q: q != F.col("part"))).otherwise(F.array(F.lit(0)))
+    each = met.withColumn("with", F.explode(others))
+    return each.select(*rows.columns, F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
+
+
+def subtrie_tables(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
+    """The rows again, sorted by (slot, lo, hi), as tables of about `rows` rows that end where a group ends."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        k = [batch.column(c).to_numpy() for c in ("slot", "lo", "hi")]
+        last = np.flatnonzero((k[0] != k[0][-1]) | (k[1] != k[1][-1]) | (k[2] != k[2][-1]))
+        if len(last):
+            cut = int(last[-1]) + 1
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held, size = [batch.slice(cut)], batch.num_rows - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _ranges(*keys: np.ndarray) -> np.ndarray:
+    """First and one past the last position of each run of equal keys."""
+    change = np.zeros(len(keys[0]), bool)
+    change[:1] = True
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(change)
+    return np.stack([starts, np.append(starts[1:], len(change))])
+
+
+def _self_pairs(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions within the budget, of rows of one trie that are in the same subtrie, lo and hi."""
+    order = np.lexsort((values, hi, lo))
+    for a, b in _ranges(lo[order], hi[order]).T:  # one for all subtries that are whole, and one for each pair of parts of the others
+        own = order[a:b]
+        x = values[own]
+        for i, j in trie_pairs(x, x, budget, depth, _ranges(x >> np.uint64(BITS - depth)) if depth else None):
+            yield own[i], own[j]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.record_batch([pa.array(np.searchsorted(trie.value[0], fps, side="right") - 1), batch.column(0)], names=["k", "fp"])
 
-    subtries = distinct.select("fp").mapInArrow(place, "k long, fp long").groupBy("k").agg(F.collect_list("fp").alias("fps"))
+def near_links(distinct: DataFrame, budget: int = 4, leaf: int | None = None) -> DataFrame:
+    """u, v: links that join the fingerprints within `budget` bits into their groups; `distinct` has each fp once.
+
+    The links are a spanning forest for each trie of a task: the groups that they make are those of all links.
+    """
+    leaf = leaf or LEAF
+    tries = Tries(budget, distinct.count(), leaf)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, fps in zip(batch.column(0).to_pylist(), batch.column(1)):
-                to = partners(k, *trie.value, budget)
-                for at in range(0, len(to), 64):
-                    some = to[at : at + 64]
-                    yield pa.record_batch([pa.array([k] * len(some), pa.int64()), pa.array(some), pa.array([fps.values.to_numpy()] * len(some), pa.list_(pa.int64()))], names=["k", "with", "fps"])
-
-    pairs = subtries.mapInArrow(spread, "k long, with long, fps array<long>").join(subtries.select(F.col("k").alias("with"), F.col("fps").alias("others")), "with")
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            for t in range(len(tries.orders)):
+                yield pa.record_batch([pa.array(tries.subtries(t, tries.values(t, fps))), batch.column(0)], names=["slot", "fp"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, to, x, y in zip(batch.column("k").to_pylist(), batch.column("with").to_pylist(), batch.column("fps"), batch.column("others")):
-                a, b = (np.sort(v.values.to_numpy().view(np.uint64)) for v in (x, y))
-                common = int(min(trie.value[1][k], trie.value[1][to])) if k == to else 0
-                both = np.concatenate([a, b]) if k != to else a
-                base = len(a) if k != to else 0
-                root = forest(len(both), ((i, j + base) for i, j in trie_pairs(a, b, budget, common)))
-                moved = np.flatnonzero(root != np.arange(len(root)))
+        for table in subtrie_tables(batches):
+            slot, lo, hi, signed = (table.column(c).to_numpy() for c in ("slot", "lo", "hi", "fp"))
+            for a, b in _ranges(slot >> 40).T:
+                t, fps = int(slot[a] >> 40), signed[a:b].view(np.uint64)
+                root = forest(b - a, _self_pairs(tries.values(t, fps), lo[a:b], hi[a:b], min(tries.bits[t], 40), budget))
+                moved = np.flatnonzero(root != np.arange(b - a))
                 if len(moved):
-                    yield pa.record_batch([pa.array(both[moved].view(np.int64)), pa.array(both[root[moved]].view(np.int64))], names=["u", "v"])
+                    yield pa.record_batch([pa.array(fps[moved].view(np.int64)), pa.array(fps[root[moved]].view(np.int64))], names=["u", "v"])
 
-    return pairs.select("k", "with", "fps", "others").mapInArrow(link, "u long, v long")
+    rows = dealt(distinct.select("fp").mapInArrow(spread, "slot long, fp long"), F.col("fp"), leaf)
+    keys = ["slot", "lo", "hi"]
+    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(link, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, budget: int = 4, leaf: int | None = None) -> DataFrame:
@@ -225,11 +309,226 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, budget: int
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their group: those whose doc_id is the component_id, one for each doc_id.
+# -- one document of each group ------------------------------------------------
+
+
+def _identity() -> dict[str, Column]:
+    """What tells rows apart: doc_id and the text; null texts are empty ones."""
+    return {"__kl_id": F.col("doc_id").cast("long"), "__kl_text": F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their groups; groups: __kl_id, __kl_text, group for each row of docs, a null group being one of its own.
+
+    Of a group the row with the smallest doc_id stays, a row without one only if no row has any; of rows with that doc_id, the
+    one whose text's MD5 is smallest. Rows of equal doc_id and text are copies, of which any one stays. Rows
+    with one doc_id but texts in different groups are different documents. All columns are kept.
+    """
+    first = F.min(F.struct(F.col("__kl_id").isNull().alias("nameless"), "__kl_id", "__kl_text")).alias("first")
+    kept = groups.groupBy("group").agg(first).select(_row(F.col("first.__kl_id"), F.col("first.__kl_text")).alias("__kl_key"))
+    own = _identity()
+    rows = docs.withColumn("__kl_row", _row(own["__kl_id"], own["__kl_text"]))
+    return rows.join(kept, F.col("__kl_row") == F.col("__kl_key"), "left_semi").dropDuplicates(["__kl_row"]).drop("__kl_row")
+
+
+def _row(doc_id: Column, digest: Column) -> Column:
+    """One name for a doc_id, which may be null, and a text's digest: the texts are shuffled by it once."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest)
+
+
+def distinct_documents(docs: DataFrame, words: int = 4, seed: int = 42, budget: int = 4, leaf: int | None = None) -> DataFrame:
+    """One row of docs for each group of fingerprints within `budget` bits of one another; see one_of_each.
+
+    An empty table gives none.
+    """
+    rows = docs.select("doc_id", "text").withColumns(_identity())
+    fps = save(_with(rows, F.col("text"), lambda t: fingerprint(t, words, seed), pa.uint64(), "fp", "long"), "fingerprints")
+    distinct = save(fps.select("fp").distinct(), "distinct")
+    roots = components(near_links(distinct, budget, leaf)).withColumnRenamed("root", "top")
+    groups = fps.join(roots, fps["fp"] == roots["node"], "left").select("__kl_id", "__kl_text", F.coalesce("top", "fp").alias("group"))
+    return one_of_each(docs, groups)
+
+
+def _with(rows: DataFrame, text: Column, of, kind: pa.DataType, name: str, sql: str) -> DataFrame:
+    """__kl_id, __kl_text and `name`: what a function of the text's bytes gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([of(t.as_py()) for t in batch.column(2)], kind)
+            yield pa.record_batch([batch.column(0), batch.column(1), found.view(pa.int64()) if kind == pa.uint64() else found], names=["__kl_id", "__kl_text", name])
+
+    return rows.select("__kl_id", "__kl_text", text.cast("string").cast("binary").alias("t")).mapInArrow(run, f"__kl_id long, __kl_text string, {name} {sql}")
+
+
+#: 64-bit words of a wide fingerprint at least, the recall that the number of tries is chosen for, and the error of an estimate, in standard deviations, up to which shingles decide.
+WIDTH, RECALL, MARGIN = 8, 0.96, 2.0
+#: Pairs in doubt that a task holds before it reduces them to a spanning forest; texts up to this number are sought by a broadcast of their names.
+HELD, FEW = 1 << 21, 20_000
+
+
+class Bands:
+    """Tries for texts of a shingle similarity: each begins with some bits of a wide fingerprint, and the shares of bits that may differ.
+
+    Sets of similarity s have a cosine of at least 2 s / (1 + s), and a bit differs with a chance of that angle over 180 degrees. With `texts` in all, the first
+    bits are as many as leave a sixteenth of `leaf` texts to a subtrie, ten at least, and the
+    tries as many as bring a pair of similarity s together with a chance of `recall`.
+    """
+
+    def __init__(self, similarity: float, texts: int, leaf: int, recall: float = RECALL):
+        self.differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        self.first = min(32, max(10, math.ceil(math.log2(max(1, texts * 16 / leaf)))))
+        self.tries = math.ceil(math.log(1 - recall) / math.log(1 - (1 - self.differ) ** self.first))
+        self.width = max(WIDTH, math.ceil(self.tries * self.first / BITS))
+        #: Differing bits up to which a pair is sure, and beyond which it is none; in between its shingles are compared.
+        self.sure, self.budget = self.most(BITS * self.width, -MARGIN), self.most(BITS * self.width, MARGIN)
+        #: Errors in the 64 bits that a trie is made of, its first bits having none.
+        self.trie_budget = self.most(BITS - self.first, 3.5)
+
+    def most(self, bits: int, deviations: float) -> int:
+        return math.floor(bits * self.differ + deviations * math.sqrt(bits * self.differ * (1 - self.differ)))
+
+    def values(self, t: int, sketches: np.ndarray) -> np.ndarray:
+        """The 64 bits from the first of trie t on, going round the end."""
+        word, shift = divmod(t * self.first, BITS)
+        high, low = sketches[:, word % self.width], sketches[:, (word + 1) % self.width]
+        return (high << np.uint64(shift)) | (low >> np.uint64(BITS - shift)) if shift else high
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Binary values of 8 * width bytes as rows of unsigned numbers."""
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, width)
+
+
+def spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Joins the groups of `root` over links (i, j), in place; the positions of links that do it, a spanning forest."""
+    used, at = [], np.arange(len(i))
+    while True:
+        x, y = root[i[at]], root[j[at]]
+        apart = x != y
+        if not apart.any():
+            return np.concatenate([*used, np.zeros(0, np.int64)]).astype(np.int64)
+        at, x, y = at[apart], x[apart], y[apart]
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        root[high] = np.minimum(x, y)[first]  # a larger root hangs on a smaller one, so no circle
+        used.append(at[first])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+class Doubtful:
+    """Pairs (i, j) with their differing bits, reduced to those of a minimum spanning forest over given groups."""
+
+    def __init__(self):
+        self.pairs, self.size = [], 0
+
+    def add(self, root: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> None:
+        self.pairs.append(np.stack([i, j, bits]))
+        self.size += len(i)
+        if self.size > HELD:
+            self.pairs = [self.forest(root)]
+            self.size = self.pairs[0].shape[1]
+
+    def forest(self, root: np.ndarray) -> np.ndarray:
+        """i, j and bits of the pairs that join the groups, the closest first."""
+        i, j, bits = np.concatenate([np.zeros((3, 0), np.int64), *self.pairs], axis=1)
+        own, out = root.copy(), []
+        for d in np.unique(bits):
+            at = np.flatnonzero(bits == d)
+            out.append(at[spanning(own, i[at], j[at])])
+        at = np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64)
+        return np.stack([i[at], j[at], bits[at]])
+
+
+def similar_links(distinct: DataFrame, bands: Bands, leaf: int = LEAF) -> DataFrame:
+    """u, v, sure: links of wide fingerprints (node, sketch) as spanning forests of each trie of a task.
+
+    Those that are sure join groups. Those in doubt, which shingles have to decide, are the closest pairs that would join groups further.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column(1), bands.width)
+            for t in range(bands.tries if len(m) else 0):
+                slot = (np.int64(t) << np.int64(40)) | _top(bands.values(t, m), bands.first)
+                yield pa.record_batch([pa.array(slot), batch.column(0), batch.column(1)], names=["slot", "node", "sketch"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in subtrie_tables(batches):
+            slot, lo, hi, node = (table.column(c).to_numpy() for c in ("slot", "lo", "hi", "node"))
+            wide = _matrix(table.column("sketch"), bands.width)
+            for a, b in _ranges(slot >> 40).T:
+                m, ids, root, doubt = wide[a:b], node[a:b], np.arange(b - a), Doubtful()
+                u, v = [], []
+                for i, j in _self_pairs(bands.values(int(slot[a] >> 40), m), lo[a:b], hi[a:b], bands.first, bands.trie_budget):
+                    bits = np.bitwise_count(m[i] ^ m[j]).sum(axis=1, dtype=np.int64)
+                    sure = bits <= bands.sure
+                    x, y = i[sure], j[sure]
+                    used = spanning(root, x, y)
+                    u.append(ids[x[used]])
+                    v.append(ids[y[used]])
+                    near = ~sure & (bits <= bands.budget)
+                    doubt.add(root, i[near], j[near], bits[near])
+                x, y, _ = doubt.forest(root)
+                left, right = np.concatenate([*u, ids[x]]), np.concatenate([*v, ids[y]])
+                if len(left):
+                    yield pa.record_batch([pa.array(left), pa.array(right), pa.array(np.arange(len(left)) < len(left) - len(x))], names=["u", "v", "sure"])
+
+    rows = dealt(distinct.select("node", "sketch").mapInArrow(spread, "slot long, node long, sketch binary"), F.col("node"), leaf)
+    keys = ["slot", "lo", "hi"]
+    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(link, "u long, v long, sure boolean")
+
+
+def shingle_sets(texts: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """node, shingles: the hashes of the distinct shingles of each text (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1)):
+                found = (text.as_py() or b"").lower().split()
+                hashes = {xxhash.xxh64_intdigest(b" ".join(found[k : k + words]), seed) for k in range(max(1, len(found) - words + 1) if found else 0)}
+                own = np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64)
+                yield pa.record_batch([pa.array([node.as_py()], pa.int64()), pa.array([own], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", F.col("text").cast("string").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def confirmed(doubtful: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """u, v of the pairs in doubt whose distinct shingles have the similarity; nodes: node, __kl_row of one text each."""
+    ends = save(doubtful.select(F.explode(F.array("u", "v")).alias("end")).distinct(), "ends")
+    wanted = save(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("__kl_row").alias("__kl_key")), "wanted")
+    own = _identity()
+    rows = docs.select("text", _row(own["__kl_id"], own["__kl_text"]).alias("__kl_row"))
+    found = rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, F.col("__kl_row") == F.col("__kl_key")).dropDuplicates(["node"])
+    sets = save(shingle_sets(found.select("node", "text"), words, seed), "sets")
+    both = doubtful.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("one")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("two")), "v")
+    common = F.size(F.array_intersect("one", "two"))
+    return both.where(common >= similarity * (F.size("one") + F.size("two") - common)).select("u", "v")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, leaf: int = LEAF) -> DataFrame:
+    """One row of docs for each group of texts whose distinct shingles of `words` words have a similarity of `similarity` or more; see one_of_each.
 
-    Rows without a doc_id cannot be named by a group and stay. All columns are kept.
+    The similarity is estimated from wide fingerprints (512 bits at least). Where the estimate is within MARGIN standard
+    deviations of the threshold, the shingles of the closest such pairs that would join groups are compared. Texts without words are equal. An empty table gives none.
     """
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__kl_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__kl_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    bands = Bands(similarity, docs.count(), leaf)
+    width = bands.width
+    rows = docs.select("doc_id", "text").withColumns(_identity())
+    sketches = save(_with(rows, F.col("text"), lambda t: sketch(t, words, width, seed), pa.binary(), "sketch", "binary"), "sketches")
+    of_one = F.min(_row(F.col("__kl_id"), F.col("__kl_text"))).alias("__kl_row")
+    distinct = save(sketches.groupBy("sketch").agg(of_one).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    links = save(similar_links(distinct, bands, leaf), "similar")
+    joined = save(components(links.where("sure").select("u", "v")), "joined")
+    top = joined.select(F.col("node").alias("of"), F.col("root").alias("top"))
+
+    def root_of(pairs: DataFrame, end: str) -> DataFrame:
+        return pairs.join(top, F.col(end) == F.col("of"), "left").withColumn(f"r{end}", F.coalesce("top", end)).drop("of", "top")
+
+    doubtful = save(root_of(root_of(links.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "u"), "v").where("ru != rv"), "doubtful")
+    found = confirmed(doubtful.select("u", "v"), docs, distinct.select("node", "__kl_row"), words, similarity, seed)
+    more = doubtful.join(found, ["u", "v"]).select("ru", "rv")
+    last = components(more).select(F.col("node").alias("top"), F.col("root").alias("last"))
+    group = distinct.select("node", F.col("sketch").alias("of")).join(joined.select(F.col("node").alias("member"), F.col("root").alias("first")), F.col("node") == F.col("member"), "left")
+    group = group.select("of", F.coalesce("first", "node").alias("first")).join(last, F.col("first") == F.col("top"), "left").select("of", F.coalesce("last", "first").alias("group"))
+    return one_of_each(docs, sketches.join(group, F.col("sketch") == F.col("of")).select("__kl_id", "__kl_text", "group"))

@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 
 from keyloft.llm.components import components
-from keyloft.llm.simhash import distinct_documents, fingerprint, near_duplicates, partners, shape, trie_pairs
+from keyloft.llm import simhash
+from keyloft.llm.simhash import Bands, Tries, distinct_documents, fingerprint, near_duplicates, near_links, similar_documents, sketch, trie_pairs
 from tests.llm.conftest import DOCUMENT, EDGES
 
 
@@ -51,18 +52,48 @@ def test_trie_pairs_equal_brute_force():
         assert got == {(i, j) for i in range(len(x)) for j in range(len(y)) if int(x[i] ^ y[j]).bit_count() <= budget}
 
 
-def test_pruned_subtries_hold_no_links():
+def test_pairs_within_a_range_only():
+    rng = np.random.default_rng(6)
+    x = np.unique((rng.integers(0, 8, 400).astype(np.uint64) << np.uint64(61)) | rng.integers(0, 64, 400).astype(np.uint64))
+    starts = np.flatnonzero(np.concatenate([[True], (x[1:] >> np.uint64(61)) != (x[:-1] >> np.uint64(61))]))
+    roots = np.stack([starts, np.append(starts[1:], len(x))])
+    got = {tuple(sorted(p)) for a, b in trie_pairs(x, x, 2, 3, roots) for p in zip(a.tolist(), b.tolist()) if p[0] != p[1]}
+    assert got == {(i, j) for j in range(len(x)) for i in range(j) if int(x[i] ^ x[j]).bit_count() <= 2 and x[i] >> np.uint64(61) == x[j] >> np.uint64(61)}
+
+
+def test_fingerprints_within_the_budget_share_a_subtrie():
     rng = np.random.default_rng(4)
-    x = np.sort(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
-    counts = dict(zip(*(a.tolist() for a in np.unique(x >> np.uint64(48), return_counts=True))))
-    firsts, depths = shape(counts, 60)
-    leaf = np.searchsorted(firsts, x, side="right") - 1
-    assert np.bincount(leaf).max() <= 60 and sum(2.0 ** -depths) == 1
-    allowed = {(k, int(m)) for k in range(len(firsts)) for m in partners(k, firsts, depths, 4)}
-    for i in range(0, 3000, 7):
-        for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 14):
-            if int(x[i] ^ x[j]).bit_count() <= 4:
-                assert tuple(sorted((leaf[i], leaf[j]))) in allowed
+    for budget, n in ((4, 10**5), (4, 10**9), (4, 10**12), (0, 10), (3, 10**7)):
+        tries = Tries(budget, n, 4096)
+        assert len(set(map(tuple, tries.orders))) == len(tries.orders) and min(tries.bits) >= 1
+        x = rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 500).astype(np.uint64)
+        y = x.copy()
+        for k in range(len(y)):
+            for b in rng.choice(64, budget, replace=False):
+                y[k] ^= np.uint64(1) << np.uint64(b)
+        shared = np.zeros(len(x), bool)
+        for t in range(len(tries.orders)):
+            u, v = tries.values(t, x), tries.values(t, y)
+            assert (np.bitwise_count(u ^ v) == np.bitwise_count(x ^ y)).all()
+            shared |= tries.subtries(t, u) == tries.subtries(t, v)
+        assert shared.all()
+
+
+def test_links_of_a_hot_subtrie_equal_brute_force(spark):
+    """Half of all fingerprints share their first bits, and subtries are dealt into parts."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 2**63, 300).astype(np.uint64)
+    x[:150] = (x[:150] & np.uint64(0x3FF)) | np.uint64(0xABC0_0000_0000_0000)
+    x = np.unique(x)
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp bigint")
+    for leaf in (7, 50, 4096):
+        root = {int(r["node"]): int(r["root"]) for r in components(near_links(df, 4, leaf)).collect()}
+        groups, expected = {}, {}
+        for k, g in enumerate(groups_of([int(v) for v in x])):
+            v = int(x.view(np.int64)[k])
+            groups.setdefault(root.get(v, v), set()).add(v)
+            expected.setdefault(g, set()).add(v)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
 def test_components_equal_union_find(spark):
@@ -116,3 +147,84 @@ def test_edges(spark, edges, none):
     kept = distinct_documents(edges)
     assert kept.columns == edges.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "4", "7", "9", "None"])
     assert distinct_documents(none).count() == 0
+    kept = similar_documents(edges)
+    assert kept.columns == edges.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "4", "7", "9", "None"])
+    assert similar_documents(none).count() == 0
+
+
+def test_no_text_is_lost_where_doc_ids_repeat(spark):
+    a, b = "one two three four five six seven", "quite another text that has nothing of it"
+    for rows in ([(3, b), (5, b), (5, a)], [(5, a), (5, b), (3, b)], [(5, b), (3, b), (5, a), (5, a)]):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCUMENT).coalesce(1)
+        for f in (distinct_documents, similar_documents):
+            assert sorted((r["doc_id"], r["text"]) for r in f(docs).collect()) == [(3, b), (5, a)]
+    nameless = spark.createDataFrame([(None, a, "en", "s", 1), (None, a, "en", "s", 1), (None, b, "en", "s", 1), (7, b, "en", "s", 1)], DOCUMENT)
+    for f in (distinct_documents, similar_documents):
+        assert sorted((str(r["doc_id"]), r["text"]) for r in f(nameless).collect()) == [("7", b), ("None", a)]
+
+
+def plain_shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_sketches_equal_the_definition():
+    for t in ("", None, "One two", "a b a b a b a b a b", " ".join(map(str, range(5000)))):
+        h = [xxhash.xxh64_intdigest(s, 42) for s in plain_shingles(t)]
+        bits = ""
+        for k in range(3):
+            mixed = []
+            for x in h:
+                x = (x + k * 0x9E3779B97F4A7C15) % 2**64
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+                mixed.append((x ^ x >> 31).to_bytes(8, "little"))
+            bits += "".join(str(int(2 * sum(m[b // 8] >> (7 - b % 8) & 1 for m in mixed) > len(h))) for b in range(64))
+        assert sketch(t.encode() if t is not None else None, 5, 3) == int(bits, 2).to_bytes(24, "big")
+
+
+def test_similar_documents_follow_the_similarity_of_shingles(spark):
+    """Copies with scattered edits: nearly all at a similarity of 0.8 or more go, unlike ones stay; also where subtries are dealt into parts."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows, similar = [], []
+    for g in range(150):
+        t = [rnd.choice(words) for _ in range(400)]
+        u = list(t)
+        for _ in range(rnd.choice([0, 1, 4, 7, 30, 60])):
+            u[rnd.randrange(400)] = rnd.choice(words)
+        a, b = plain_shingles(" ".join(t)), plain_shingles(" ".join(u))
+        similar.append(len(a & b) / len(a | b))
+        rows += [(2 * g, " ".join(t), "en", "s", 1), (2 * g + 1, " ".join(u), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENT)
+    for leaf in (4096, 16):
+        kept = {r["doc_id"] for r in similar_documents(docs, leaf=leaf).collect()}
+        assert all(2 * g in kept for g in range(150))
+        near = [g for g, x in enumerate(similar) if x >= 0.8]
+        far = [g for g, x in enumerate(similar) if x < 0.8]
+        assert len(near) > 60 and len(far) > 30
+        assert sum(2 * g + 1 not in kept for g in near) >= 0.93 * len(near)
+        assert sum(2 * g + 1 in kept for g in far) >= 0.98 * len(far)
+
+
+def test_spanning_forests():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        i, j, bits = rng.integers(0, 40, 60), rng.integers(0, 40, 60), rng.integers(0, 5, 60)
+        root = np.arange(40)
+        used = simhash.spanning(root, i, j)
+        assert (root == simhash.forest(40, iter([(i, j)]))).all() and len(used) == 40 - len(set(root.tolist()))
+        doubt, whole = simhash.Doubtful(), simhash.Doubtful()
+        whole.add(np.arange(40), i, j, bits)
+        for k in range(0, 60, 20):
+            doubt.add(np.arange(40), i[k : k + 20], j[k : k + 20], bits[k : k + 20])
+            doubt.pairs = [doubt.forest(np.arange(40))]
+        a, b = (d.forest(np.arange(40)) for d in (doubt, whole))
+        assert a[2].sum() == b[2].sum() and a.shape == b.shape
+
+
+def test_bands_bring_similar_texts_together():
+    for n in (10, 10**5, 10**8, 10**11):
+        b = Bands(0.8, n, 4096)
+        assert 1 - (1 - (1 - b.differ) ** b.first) ** b.tries >= 0.96 and b.width * 64 >= b.tries * b.first
+        assert n / 2**b.first <= 4096 / 16 or b.first == 32
