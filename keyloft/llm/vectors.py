@@ -7,14 +7,16 @@ vectors to the node, in lists of bounded length) and merges what is closer into
 change. Links are the listed pairs over the threshold.
 
 A list that is full of links is saturated: its node may have more. The pairs of every
-component are computed in blocks, whether its lists are saturated or not. A link that neither end lists joins two saturated components: blocks of these are compared with one
-another too, within a label and unless their centres are too far apart. An audit compares a sample with brute force, and trees are added
+component are computed in blocks, whatever its size. A link that neither end lists joins two components with saturated lists: blocks of these are compared with one
+another too, within a label and unless their centres are too far apart. An audit compares samples of nodes with brute force, and trees are added
 until it is passed; if it is not passed after some attempts, all pairs of each label are computed in blocks.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +33,18 @@ LISTED, REACH = 16, 0.7
 #: Least number of trees of the first lists, bits of their codes, rows of a window.
 TREES, CODE_BITS, WINDOW = 4, 24, 128
 ROUNDS = 6
-#: Vectors of a block of a component; components of more than SMALL members are compared with others though not saturated.
-BLOCK, SMALL = 256, 4096
+#: Vectors of a block of a component.
+BLOCK = 256
 #: Sample of the recall audit for each kind of node, and the recall that ends the search.
 AUDIT, RECALL = 2048, 0.98
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
-    """node (the smallest vec_id), label, x, copies for each distinct vector that can link at all."""
+    """node (the smallest vec_id), label, x, copies (its vec_ids) for each distinct vector that can link at all."""
     number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     fit = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", number) & F.exists("embedding", lambda v: v != 0)
     # forall is null where a component is: such rows go, as do empty vectors
-    rows = vectors.where(F.coalesce(fit, F.lit(False))).select(F.col("vec_id").cast("long"), "label", F.col("embedding").alias("x"))
+    rows = vectors.where(F.coalesce(fit, F.lit(False))).select(F.col("vec_id").cast("long"), "label", F.col("embedding").alias("x")).distinct()
     return rows.groupBy("label", "x").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
 
 
@@ -91,6 +93,28 @@ def _closest(ids: np.ndarray, x: np.ndarray, k: int, reach: float) -> Iterator[t
         yield int(ids[i]), ids[top], near[i][top]
 
 
+def _top(owner: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """One list for each owner: its k closest neighbours, each once."""
+    order = np.lexsort((nbrs, -sims, owner))
+    owner, nbrs, sims = owner[order], nbrs[order], sims[order]
+    by = np.lexsort((nbrs, owner))
+    first = np.ones(len(by), bool)
+    first[1:] = (owner[by][1:] != owner[by][:-1]) | (nbrs[by][1:] != nbrs[by][:-1])
+    keep = np.sort(by[first])  # lexsort is stable, so of equal pairs the closest is first
+    owner, nbrs, sims = owner[keep], nbrs[keep], sims[keep]
+    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    stop = np.append(start[1:], len(owner))
+    if len(start):
+        yield _lists(owner[start], [nbrs[a : min(b, a + k)] for a, b in zip(start, stop)], [sims[a : min(b, a + k)] for a, b in zip(start, stop)])
+
+
+def _combined(found: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """Lists found for nodes, those of one node as one before they are shuffled: a node that many others list does not send a list for each."""
+    if found:
+        node, nbrs, sims = zip(*found)
+        yield from _top(np.repeat(np.array(node, np.int64), list(map(len, nbrs))), np.concatenate(nbrs), np.concatenate(sims), k)
+
+
 def first_lists(nodes: DataFrame, trees: int, seed: int, k: int, reach: float) -> DataFrame:
     """Lists from windows over the order of each tree; a node has one row for each window that gave it any."""
 
@@ -114,8 +138,7 @@ def first_lists(nodes: DataFrame, trees: int, seed: int, k: int, reach: float) -
             for a, b in zip([0, *change], [*change, len(size)]):
                 ids, x = batch.column("node").slice(a, b - a).to_numpy(), unit(batch.column("x").slice(a, b - a), int(size[a]))
                 out = [r for at in range(0, max(1, len(ids) - WINDOW // 2), WINDOW // 2) for r in _closest(ids[at : at + WINDOW], x[at : at + WINDOW], k, reach)]
-                if out:
-                    yield _lists(*zip(*out))
+                yield from _combined(out, k)
 
     with_size = nodes.select("node", "label", F.size("x").cast("long").alias("size"), "x")
     keyed = with_size.mapInArrow(keys, with_size.selectExpr("*", "0 as tree", "0L as code", "0D as along").schema)
@@ -139,21 +162,9 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "node"):
-            node = table.column("node").to_numpy()
             count = table.column("nbrs").combine_chunks().value_lengths().to_numpy()
             nbrs, sims = (np.concatenate([c.flatten().to_numpy() for c in table.column(n).chunks]) for n in ("nbrs", "sims"))
-            owner = np.repeat(node, count)
-            order = np.lexsort((nbrs, -sims, owner))
-            owner, nbrs, sims = owner[order], nbrs[order], sims[order]
-            by = np.lexsort((nbrs, owner))
-            first = np.ones(len(by), bool)
-            first[1:] = (owner[by][1:] != owner[by][:-1]) | (nbrs[by][1:] != nbrs[by][:-1])
-            keep = np.sort(by[first])  # lexsort is stable, so of equal pairs the closest is first
-            owner, nbrs, sims = owner[keep], nbrs[keep], sims[keep]
-            start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-            stop = np.append(start[1:], len(owner))
-            if len(start):
-                yield _lists(owner[start], [nbrs[a : min(b, a + k)] for a, b in zip(start, stop)], [sims[a : min(b, a + k)] for a, b in zip(start, stop)])
+            yield from _top(np.repeat(table.column("node").to_numpy(), count), nbrs, sims, k)
 
     return lists.repartition(F.col("node")).sortWithinPartitions("node").mapInArrow(run, LISTS)
 
@@ -178,8 +189,7 @@ def joined(lists: DataFrame, nodes: DataFrame, k: int, reach: float) -> DataFram
                 size = part.column("size").to_numpy()
                 if b - a > 2 and (size == size[0]).all():
                     out += _closest(part.column("node").to_numpy(), unit(part.column("x"), int(size[0])), k, reach)
-            if out:
-                yield _lists(*zip(*out))
+            yield from _combined(out, k)
 
     return placed.repartition(F.col("hub")).sortWithinPartitions("hub").mapInArrow(run, LISTS)
 
@@ -291,18 +301,21 @@ def _rows(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dic
     return *(rows.field(n).cast(pa.int64()).to_numpy() for n in ("node", "root", "copies")), {int(d): (np.flatnonzero(size == d), unit(x.filter(pa.array(size == d)), int(d))) for d in np.unique(size)}
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """The share of the links of a node that counts (node, linked) has, by brute force over all nodes.
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT) -> float | None:
+    """The share of the links of a node that counts (node, linked) has, by brute force over all nodes; None if no node that was looked at has any.
 
-    It is the mean over those nodes of a seeded sample that have links. Nodes with few known links and nodes with more
-    are sampled and averaged apart, and the lesser mean counts: a large group cannot hide what small ones miss.
+    Seeded samples are drawn from nodes without known links, with few and with many. Nodes without known links are told
+    apart from the few by numbers: what of them turns out to have links counts as missed, at the weight of all
+    such nodes. The lesser of that mean and of the mean over nodes with many links counts: a large group cannot hide what small ones miss.
     """
-    told = nodes.join(counts, "node", "left").select("node", "label", "x", (F.coalesce("linked", F.lit(0)) > LISTED).alias("many"))
-    parts = [told.where(w).orderBy(F.xxhash64("node", F.lit(11)), "node").limit(sample) for w in ("not many", "many")]
-    chosen = parts[0].union(parts[1]).toArrow()
-    if not chosen.num_rows:
-        return 1.0
-    known = nodes.sparkSession.sparkContext.broadcast(chosen)  # at most twice `sample` vectors
+    linked = F.coalesce("linked", F.lit(0))
+    told = nodes.join(counts, "node", "left").select("node", "label", "x", F.when(linked == 0, 0).when(linked <= LISTED, 1).otherwise(2).alias("many"))
+    sizes = {r["many"]: r["count"] for r in told.groupBy("many").count().collect()}  # at most three rows
+    parts = [told.where(F.col("many") == k).orderBy(F.xxhash64("node", F.lit(11)), "node").limit(sample) for k in sorted(sizes)]
+    if not parts:
+        return None
+    chosen = reduce(DataFrame.union, parts).toArrow()  # at most three times `sample` vectors
+    known = nodes.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_ = known.value.combine_chunks().to_batches()[0]
@@ -318,10 +331,15 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = A
                     total[mine] += near @ own.column("copies").to_numpy()
         yield pa.record_batch([pa.array(ids), batch_.column("many"), pa.array(total)], names=["node", "many", "truth"])
 
-    truth = nodes.select("node", "label", "x", "copies").mapInArrow(run, "node long, many boolean, truth long").groupBy("node", "many").agg(F.sum("truth").alias("truth"))
-    share = F.least("truth", F.coalesce("linked", F.lit(0))) / F.col("truth")
-    means = truth.where("truth > 0").join(counts, "node", "left").groupBy("many").agg(F.avg(share).alias("share")).collect()  # at most two rows
-    return min((r["share"] for r in means), default=1.0)
+    truth = nodes.select("node", "label", "x", "copies").mapInArrow(run, "node long, many int, truth long").groupBy("node", "many").agg(F.sum("truth").alias("truth"))
+    share = F.least("truth", linked) / F.col("truth")
+    found = truth.join(counts, "node", "left").groupBy("many").agg(F.count("*").alias("n"), F.count_if(F.col("truth") > 0).alias("ends"), F.coalesce(F.sum(F.when(F.col("truth") > 0, share)), F.lit(0.0)).alias("share"))
+    seen = {r["many"]: r for r in found.collect()}  # at most three rows
+    ends = {k: sizes[k] * r["ends"] / r["n"] for k, r in seen.items()}  # nodes with links, as the samples tell
+    held = {k: sizes[k] * r["share"] / r["n"] for k, r in seen.items()}
+    few, many = ends.get(0, 0) + ends.get(1, 0), ends.get(2, 0)
+    means = ([held.get(1, 0) / few] if few else []) + ([held[2] / many] if many else [])
+    return min(means, default=None)
 
 
 def rooted(ends: DataFrame, found: DataFrame) -> DataFrame:
@@ -345,10 +363,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label).
 
     Links join vectors of equal, not null label with a cosine of at least the threshold,
-    in double precision. Vectors that are null, empty, zero or hold null or non-finite
+    in double precision; n_links counts other vec_ids. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows without label or vec_id, link with nothing: n_links 0, component_id =
-    vec_id. Vectors of different lengths never link. Rows that share a vec_id are parts of one node,
-    and equal rows count as copies of one another. An empty table gives none.
+    vec_id. Vectors of different lengths never link. Rows that share a vec_id are one vector, and equal
+    vectors link as copies. An empty table gives none. If none of the vectors that the audit looks at has a link, the recall is not known, and a warning says so.
     """
     nodes = save(nodes_of(vectors), "nodes")
     start, seed = None, 5
@@ -361,13 +379,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
         roots = components(links)
         full = lists.df.where((F.size("sims") >= k) & (F.array_min("sims") >= threshold)).select("node")
         ends = save(nodes.join(roots.union(roots.select("root", "root").distinct()).toDF("node", "root"), "node"), "members")
-        sizes = ends.join(full.withColumn("full", F.lit(1)), "node", "left").groupBy("root").agg(F.count("*").alias("size"), F.max(F.coalesce("full", F.lit(0))).alias("full"))
-        across = sizes.select(dealt_anew("root"), ((F.col("full") == 1) | (F.col("size") > SMALL)).cast("int").alias("full"))
+        across = ends.join(full.withColumn("full", F.lit(1)), "node", "left").groupBy("root").agg(F.max(F.coalesce("full", F.lit(0))).alias("full")).select(dealt_anew("root"), "full")
         members = ends.join(across, "root").select(dealt_anew("root").alias("part"), "label", "root", "node", "x", "copies", "full")
         found = save(exact_links(members, threshold), "found")
         counts = found.where("other is null").select("node", "linked")
         ends = rooted(ends, found)
-        if audit(nodes, counts, threshold) >= recall:
+        measured = audit(nodes, counts, threshold)
+        if measured is None:
+            warnings.warn("the recall of the links is not measured: no vector of the audit's samples has any", stacklevel=2)
+        if measured is None or measured >= recall:
             break
     else:
         ends, counts = by_labels(nodes, threshold)

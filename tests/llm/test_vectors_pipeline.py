@@ -55,8 +55,7 @@ def test_links_equal_brute_force(spark):
     assert result(near_vectors(spark.createDataFrame(rows, SCHEMA))) == expected
 
 
-def test_saturated_lists_are_enlarged(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SMALL", 0)
+def test_saturated_lists_are_enlarged(spark):
     rows = clustered(260, 12, 1, 150, 2, noise=0.08)
     expected = brute(rows)
     assert max(n for n, _ in expected.values()) > 40
@@ -92,7 +91,6 @@ def test_every_component_is_computed_whole(spark, monkeypatch):
 
     rows = split_group(6)
     chain = spark.createDataFrame([(i, [i + 1], [0.95]) for i in range(11)], vectors.LISTS)
-    monkeypatch.setattr(vectors, "SMALL", 0)
     monkeypatch.setattr(vectors, "descend", lambda *a, **b: Saved(chain, "lists"))
     monkeypatch.setattr(vectors, "audit", lambda *a: 1.0)
     assert result(near_vectors(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
@@ -136,6 +134,57 @@ def test_a_failed_audit_ends_in_exact_blocks(spark, monkeypatch):
     assert result(near_vectors(spark.createDataFrame(rows, SCHEMA), most=1)) == expected
 
 
+def test_a_failed_search_of_saturated_groups_ends_in_exact_blocks(spark, monkeypatch):
+    """Four attempts whose lists lose most neighbours do not reach the recall; the result is whole all the same."""
+    rows = split_group(30) + [(100 + i, x, 1) for i, x, _ in clustered(120, 12, 8, 9, 9)]
+    whole, tried = vectors.descend, []
+
+    def poor(*a, **b):
+        tried.append(a[1])
+        return vectors.Saved(whole(*a, **b).df.where("node % 3 = 0"), "lists")
+
+    monkeypatch.setattr(vectors, "descend", poor)
+    assert result(near_vectors(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    assert len(tried) == 4 and tried == [tried[0] << k for k in range(4)]
+
+
+def test_a_component_of_over_4096_vectors(spark):
+    """A chain of vectors with lists far from full: every link of the one large component counts."""
+    rng, x = np.random.default_rng(7), [np.eye(32)[0]]
+    for _ in range(4400):
+        side = rng.standard_normal(32)
+        side -= side @ x[-1] * x[-1]
+        x.append(0.95 * x[-1] + np.sqrt(1 - 0.95**2) * side / np.linalg.norm(side))
+    kept = np.array(x, np.float32).astype(float)
+    unit = kept / np.linalg.norm(kept, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    got = result(near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)))
+    assert [got[i][0] for i in range(len(x))] == (linked.sum(axis=1) - 1).tolist()
+    assert {r[1] for r in got.values()} == {0}
+
+
+def test_an_audit_without_links_is_not_a_pass(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(rng.standard_normal((60, 48)))]
+    nodes = nodes_of(spark.createDataFrame(rows, SCHEMA)).cache()
+    assert vectors.audit(nodes, spark.createDataFrame([], "node bigint, linked bigint"), 0.93) is None
+    with pytest.warns(UserWarning, match="not measured"):
+        assert {r for r in result(near_vectors(spark.createDataFrame(rows, SCHEMA))).values()} == {(0, i) for i in range(60)}
+
+
+def test_repeated_rows_of_a_vector_are_no_other_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [2.0, 0.0], 0), (4, [1.0, 0.0], 0)]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 6 and {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(k, 3, 1) for k in (1, 2, 3, 4)}
+
+
+def test_lists_of_one_node_are_combined_before_the_shuffle():
+    found = [(7, np.array([1, 2]), np.array([0.9, 0.8])), (5, np.array([7]), np.array([0.9])), (7, np.array([3, 1]), np.array([0.95, 0.9]))]
+    (batch,) = vectors._combined(found, 2)
+    assert batch.to_pylist() == [{"node": 5, "nbrs": [7], "sims": [0.9]}, {"node": 7, "nbrs": [3, 1], "sims": [0.95, 0.9]}]
+    assert list(vectors._combined([], 2)) == []
+
+
 def test_trees_grow_with_the_label(spark):
     of = {n: vectors.trees_for(spark.range(n).selectExpr("id as node", "0 as label", "array(1f) as x")) for n in (0, 64, 2000, 20000, 200000)}
     assert of[0] == of[64] == vectors.TREES < of[2000] < of[20000] < of[200000]
