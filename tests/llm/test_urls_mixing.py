@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloft.llm import urls as urls_module
-from keyloft.llm.mixing import apportion, mix, mixed, targets
+from keyloft.llm import mixing
+from keyloft.llm.mixing import apportion, mix, mixed, running, targets
 from keyloft.llm.queries.op2 import RULES
 from keyloft.llm.urls import judge
 from tests.llm.conftest import DOCUMENT, EDGES
@@ -83,6 +84,70 @@ def test_apportionment_equals_dealing_seat_by_seat(spark):
     assert got == expected
 
 
+def test_one_group_is_dealt_by_ranges(spark):
+    rnd = random.Random(8)
+    votes = [rnd.choice([0.0, 3.0, 3.0, rnd.random() * 100]) for _ in range(300)]
+    df = spark.createDataFrame([(i, v, 777) for i, v in enumerate(votes)], "p int, v double, n bigint").repartition(5)
+    got = {r["p"]: r["__kl_seats"] for r in apportion(df, [], ["p"], "v", "n").collect()}
+    assert got == dict(enumerate(highest_quotients(votes, 777)))
+    assert apportion(df.limit(0), [], ["p"], "v", "n").count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, "a", "b", "é"]), i, rnd.randint(0, 9)) for i in range(500)]
+    got = running(spark.createDataFrame(rows, "s string, i int, x int").repartition(7), [F.col("s").asc_nulls_last(), F.col("i")], {"before": "x"}).collect()
+    total = 0
+    for no, r in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))):
+        assert (r[0], r[1], r[2], no, total) in {tuple(g) for g in got if g["__kl_no"] == no}
+        total += r[2]
+
+
+def plain_mix(rows, weights=(1, 2, 3), block=64, seed=7):
+    """taken, by row, from hashes that Spark gives (source, size, draw, shard, begin): seats dealt one by one, words counted one by one."""
+    sizes, out = {}, []
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    target = plain_targets(sizes)
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    quota = dict(zip(names, highest_quotients([target[s] for s in names], int(sum(target.values()) / block + 0.5))))
+    for s in names:
+        own = [r for r in rows if r["source"] == s]
+        shards = sorted({r["shard"] for r in own})
+        tokens = [sum(r["size"] for r in own if r["shard"] == k) for k in shards]
+        for k, n, blocks in zip(shards, tokens, highest_quotients(tokens, quota[s])):
+            order = [i for r in sorted((r for r in own if r["shard"] == k), key=lambda r: (r["draw"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"])) for i in [r["row"]] * r["size"]]
+            want = min(blocks * block, 3 * n)
+            begin = next(r["begin"] for r in own if r["shard"] == k)
+            out += [order[(begin + w) % n] if want - n * (want // n) > w else None for w in range(want % n)] if n else []
+            out += order * (want // n) if n else []
+    return {r["row"]: out.count(r["row"]) for r in rows}
+
+
+def test_taken_words_equal_a_plain_mix(spark):
+    rnd = random.Random(10)
+    docs = [(i if i % 9 else None, " ".join(["w"] * rnd.choice([0, 1, 5, 40, 130])), "en", rnd.choice(["a", "a", "a", "b", "c", "é", None]), 1) for i in range(220)]
+    df = spark.createDataFrame(docs, DOCUMENT)
+    size = F.col("size")
+    rows = mixing._placed(mixing._sized(df.withColumn("source", F.col("source")), F.monotonically_increasing_id().alias("row")), (1, 2, 3), 64, 7, 3)
+    rows = rows.select("row", "doc_id", "source", size, "taken", F.col("__kl_draw").alias("draw"), F.col("__kl_shard").alias("shard"), F.col("__kl_begin").alias("begin")).collect()
+    assert len(rows) == len(docs)
+    assert {r["row"]: r["taken"] for r in rows} == plain_mix(rows)
+
+
+def test_mixed_rows_are_the_words_taken(spark):
+    """Many equal rows, rows that differ in another column only, and clashing names: the rows of the mix hold the words that `mix` takes."""
+    docs = [(1, "a b c d e f g", "en", "s", 13)] * 40 + [(1, "a b c d e f g", "de", "s", 13)] * 3 + [(i, f"x{i} y z", "en", "t", len(f"x{i} y z")) for i in range(30)] + [(2, None, "en", "t", 0)] * 4
+    df = spark.createDataFrame(docs, DOCUMENT).withColumns({"first": F.lit(1), "again": F.lit("own"), "__kl": F.create_map(F.lit("k"), F.lit(1))})
+    out = mixed(df, block=5)
+    assert out.columns == df.columns
+    got = out.collect()
+    taken = mix(df, block=5).collect()
+    for s in "st":
+        assert sum(len(r["text"].split()) for r in got if r["source"] == s) == sum(r["taken"] for r in taken if r["source"] == s)
+    assert {r["lang"] for r in got if r["source"] == "s"} <= {"en", "de"} and all(r["n_chars"] == len(r["text"]) and r["again"] == "own" for r in got)
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     w = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
