@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
@@ -54,14 +56,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder for saved tables, which goes when the driver's Python ends."""
+    path = f"{checkpoint_dir(spark)}/keyloft/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+
+        def leave() -> None:
+            with suppress(Exception):  # the session may be gone, and what is left is only disk
+                if spark.sparkContext._jsc is not None:
+                    _delete(spark, path)
+
+        atexit.register(leave)
+    return path
+
+
+_folders: set[str] = set()
+_scopes: list[list] = []
+
+
 class Saved:
-    """A table written to the shared folder, which cuts the lineage of what reads it."""
+    """A table written to the shared folder, which cuts the lineage of what reads it.
+
+    It goes at the end of the innermost `tidied` scope, or of the one around that with `outer`; without one, with the application.
+    """
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, outer: bool = False):
         self.spark = df.sparkSession
-        self.path = f"{checkpoint_dir(self.spark)}/keyloft/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_own_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.schema = df.schema
+        if len(_scopes) > outer:
+            _scopes[-1 - outer].append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -69,13 +100,24 @@ class Saved:
 
     def drop(self) -> None:
         """Delete the files; nothing may read the table afterwards."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
+
+
+def save(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    return Saved(df, name, outer).df
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    return Saved(df, name).df
+@contextmanager
+def tidied() -> Iterator[None]:
+    """Tables saved within go at the end; a result that is read later must be saved as `outer`."""
+    own: list[Saved] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for table in own:
+            table.drop()
 
 
 def crc_of_id(column: str) -> Column:

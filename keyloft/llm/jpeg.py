@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-from keyloft.llm.common import slices, widened
+from keyloft.llm.common import free_names, slices, widened
 
 #: Payloads are padded to multiples of this: nine blocks of 64 coefficients.
 UNIT = 576
@@ -407,7 +407,11 @@ def describe(files: list[bytes]) -> list[tuple]:
 
 
 def thumbnails(media: DataFrame, column: str = "media") -> DataFrame:
-    """Adds width, height and thumbnail_hash of baseline JPEG files; all null where the file is null or not readable."""
+    """Adds width, height and thumbnail_hash of baseline JPEG files; all null where the file is null or not readable.
+
+    Columns of media with those names are replaced. Rows stay, repeated ones too; an empty table gives none.
+    """
+    media = free_names(media, "width", "height", "thumbnail_hash")
     names = media.columns
 
     def one(data: bytes | None) -> tuple:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from keyloft.llm.common import save, slices, widened
+from keyloft.llm.common import free_names, save, slices, widened
 from keyloft.llm.tokens import BATCH_BYTES, word_ids
 
 CAPACITY = 2048
@@ -127,8 +127,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Pieces of equal length are interchangeable, so ties and repeated rows are placed in
     any order. `pieces` is read three times and should be a written table. The other
-    columns stay.
+    columns stay, but those named sequence_id and offset. An empty table gives none.
     """
+    pieces = free_names(pieces, "sequence_id", "offset")
     spark = pieces.sparkSession
     names = pieces.columns
     found = pieces.groupBy("length").agg(F.count("*").alias("__kl_n")).collect()  # at most `capacity` rows

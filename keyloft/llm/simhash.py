@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import save
+from keyloft.llm.common import save, tidied
 from keyloft.llm.components import components, dealt_anew
 
 BITS = 64
@@ -300,12 +300,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, budget: int
     where a component has no doc_id at all; repeated rows are kept; other columns are
     not read; an empty table gives no rows.
     """
-    rows = save(fingerprints(docs, words, seed), "fingerprints")
-    distinct = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_links(distinct, budget, leaf))
-    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = grouped.select("fp", "root").join(least.select(dealt_anew("root"), "component_id"), "root").select("fp", "component_id")
+    with tidied():
+        rows = save(fingerprints(docs, words, seed), "fingerprints", outer=True)
+        distinct = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        roots = components(near_links(distinct, budget, leaf))
+        grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = save(grouped.select("fp", "root").join(least.select(dealt_anew("root"), "component_id"), "root").select("fp", "component_id"), "components", outer=True)
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -317,15 +318,22 @@ def _identity() -> dict[str, Column]:
     return {"__kl_id": F.col("doc_id").cast("long"), "__kl_text": F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))}
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their groups; groups: __kl_id, __kl_text, group for each row of docs, a null group being one of its own.
+def first_of(groups: DataFrame) -> DataFrame:
+    """__kl_key: the name of the row that stands for each group; groups: __kl_id, __kl_text, group for each row.
 
-    Of a group the row with the smallest doc_id stays, a row without one only if no row has any; of rows with that doc_id, the
-    one whose text's MD5 is smallest. Rows of equal doc_id and text are copies, of which any one stays. Rows
-    with one doc_id but texts in different groups are different documents. All columns are kept.
+    The row with the smallest doc_id, one without a doc_id only if no row has any; of rows with that doc_id, the
+    one whose text's MD5 is smallest.
     """
     first = F.min(F.struct(F.col("__kl_id").isNull().alias("nameless"), "__kl_id", "__kl_text")).alias("first")
-    kept = groups.groupBy("group").agg(first).select(_row(F.col("first.__kl_id"), F.col("first.__kl_text")).alias("__kl_key"))
+    return groups.groupBy("group").agg(first).select(_row(F.col("first.__kl_id"), F.col("first.__kl_text")).alias("__kl_key"))
+
+
+def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their groups, by their names; see first_of.
+
+    Rows of equal doc_id and text are copies, of which any one stays. Rows
+    with one doc_id but texts in different groups are different documents. All columns are kept.
+    """
     own = _identity()
     rows = docs.withColumn("__kl_row", _row(own["__kl_id"], own["__kl_text"]))
     return rows.join(kept, F.col("__kl_row") == F.col("__kl_key"), "left_semi").dropDuplicates(["__kl_row"]).drop("__kl_row")
@@ -337,16 +345,18 @@ def _row(doc_id: Column, digest: Column) -> Column:
 
 
 def distinct_documents(docs: DataFrame, words: int = 4, seed: int = 42, budget: int = 4, leaf: int | None = None) -> DataFrame:
-    """One row of docs for each group of fingerprints within `budget` bits of one another; see one_of_each.
+    """One row of docs for each group of fingerprints within `budget` bits of one another; see first_of.
 
     An empty table gives none.
     """
     rows = docs.select("doc_id", "text").withColumns(_identity())
-    fps = save(_with(rows, F.col("text"), lambda t: fingerprint(t, words, seed), pa.uint64(), "fp", "long"), "fingerprints")
-    distinct = save(fps.select("fp").distinct(), "distinct")
-    roots = components(near_links(distinct, budget, leaf)).withColumnRenamed("root", "top")
-    groups = fps.join(roots, fps["fp"] == roots["node"], "left").select("__kl_id", "__kl_text", F.coalesce("top", "fp").alias("group"))
-    return one_of_each(docs, groups)
+    with tidied():
+        fps = save(_with(rows, F.col("text"), lambda t: fingerprint(t, words, seed), pa.uint64(), "fp", "long"), "fingerprints")
+        distinct = save(fps.select("fp").distinct(), "distinct")
+        roots = components(near_links(distinct, budget, leaf)).withColumnRenamed("root", "top")
+        groups = fps.join(roots, fps["fp"] == roots["node"], "left").select("__kl_id", "__kl_text", F.coalesce("top", "fp").alias("group"))
+        kept = save(first_of(groups), "kept", outer=True)
+    return one_of_each(docs, kept)
 
 
 def _with(rows: DataFrame, text: Column, of, kind: pa.DataType, name: str, sql: str) -> DataFrame:
@@ -507,12 +517,18 @@ def confirmed(doubtful: DataFrame, docs: DataFrame, nodes: DataFrame, words: int
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, leaf: int = LEAF) -> DataFrame:
-    """One row of docs for each group of texts whose distinct shingles of `words` words have a similarity of `similarity` or more; see one_of_each.
+    """One row of docs for each group of texts whose distinct shingles of `words` words have a similarity of `similarity` or more; see first_of.
 
     The similarity is estimated from wide fingerprints (512 bits at least). Where the estimate is within MARGIN standard
     deviations of the threshold, the shingles of the closest such pairs that would join groups are compared. Texts without words are equal. An empty table gives none.
     """
     bands = Bands(similarity, docs.count(), leaf)
+    with tidied():
+        return one_of_each(docs, save(first_of(_similar_groups(docs, bands, words, similarity, seed, leaf)), "kept", outer=True))
+
+
+def _similar_groups(docs: DataFrame, bands: Bands, words: int, similarity: float, seed: int, leaf: int) -> DataFrame:
+    """__kl_id, __kl_text, group for each row of docs."""
     width = bands.width
     rows = docs.select("doc_id", "text").withColumns(_identity())
     sketches = save(_with(rows, F.col("text"), lambda t: sketch(t, words, width, seed), pa.binary(), "sketch", "binary"), "sketches")
@@ -531,4 +547,4 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     last = components(more).select(F.col("node").alias("top"), F.col("root").alias("last"))
     group = distinct.select("node", F.col("sketch").alias("of")).join(joined.select(F.col("node").alias("member"), F.col("root").alias("first")), F.col("node") == F.col("member"), "left")
     group = group.select("of", F.coalesce("first", "node").alias("first")).join(last, F.col("first") == F.col("top"), "left").select("of", F.coalesce("last", "first").alias("group"))
-    return one_of_each(docs, sketches.join(group, F.col("sketch") == F.col("of")).select("__kl_id", "__kl_text", "group"))
+    return sketches.join(group, F.col("sketch") == F.col("of")).select("__kl_id", "__kl_text", "group")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import Saved, save
+from keyloft.llm.common import Saved, save, tidied
 from keyloft.llm.components import components, dealt_anew
 from keyloft.llm.simhash import forest
 
@@ -368,31 +368,32 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
     vec_id. Vectors of different lengths never link. Rows that share a vec_id are one vector, and equal
     vectors link as copies. An empty table gives none. If none of the vectors that the audit looks at has a link, the recall is not known, and a warning says so.
     """
-    nodes = save(nodes_of(vectors), "nodes")
-    start, seed = None, 5
-    trees = trees or trees_for(nodes, threshold, recall)
-    for attempt in range(most):
-        lists = descend(nodes, trees << attempt, seed + attempt, k, min(REACH, threshold), start=start)
-        start = lists.df
-        linked = lists.df.select("node", "sims", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where(F.col("e.sims") >= threshold)
-        links = linked.select(F.col("node").alias("u"), F.col("e.nbrs").alias("v"))
-        roots = components(links)
-        full = lists.df.where((F.size("sims") >= k) & (F.array_min("sims") >= threshold)).select("node")
-        ends = save(nodes.join(roots.union(roots.select("root", "root").distinct()).toDF("node", "root"), "node"), "members")
-        across = ends.join(full.withColumn("full", F.lit(1)), "node", "left").groupBy("root").agg(F.max(F.coalesce("full", F.lit(0))).alias("full")).select(dealt_anew("root"), "full")
-        members = ends.join(across, "root").select(dealt_anew("root").alias("part"), "label", "root", "node", "x", "copies", "full")
-        found = save(exact_links(members, threshold), "found")
-        counts = found.where("other is null").select("node", "linked")
-        ends = rooted(ends, found)
-        measured = audit(nodes, counts, threshold)
-        if measured is None:
-            warnings.warn("the recall of the links is not measured: no vector of the audit's samples has any", stacklevel=2)
-        if measured is None or measured >= recall:
-            break
-    else:
-        ends, counts = by_labels(nodes, threshold)
-    info = nodes.select("label", "x", "node", "copies").join(counts, "node", "left").join(ends.select("node", "root"), "node", "left")
-    info = info.select(F.col("label").alias("n_label"), F.col("x").alias("n_x"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    with tidied():
+        nodes = save(nodes_of(vectors), "nodes")
+        start, seed = None, 5
+        trees = trees or trees_for(nodes, threshold, recall)
+        for attempt in range(most):
+            lists = descend(nodes, trees << attempt, seed + attempt, k, min(REACH, threshold), start=start)
+            start = lists.df
+            linked = lists.df.select("node", "sims", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where(F.col("e.sims") >= threshold)
+            links = linked.select(F.col("node").alias("u"), F.col("e.nbrs").alias("v"))
+            roots = components(links)
+            full = lists.df.where((F.size("sims") >= k) & (F.array_min("sims") >= threshold)).select("node")
+            ends = save(nodes.join(roots.union(roots.select("root", "root").distinct()).toDF("node", "root"), "node"), "members")
+            across = ends.join(full.withColumn("full", F.lit(1)), "node", "left").groupBy("root").agg(F.max(F.coalesce("full", F.lit(0))).alias("full")).select(dealt_anew("root"), "full")
+            members = ends.join(across, "root").select(dealt_anew("root").alias("part"), "label", "root", "node", "x", "copies", "full")
+            found = save(exact_links(members, threshold), "found")
+            counts = found.where("other is null").select("node", "linked")
+            ends = rooted(ends, found)
+            measured = audit(nodes, counts, threshold)
+            if measured is None:
+                warnings.warn("the recall of the links is not measured: no vector of the audit's samples has any", stacklevel=2)
+            if measured is None or measured >= recall:
+                break
+        else:
+            ends, counts = by_labels(nodes, threshold)
+        info = nodes.select("label", "x", "node", "copies").join(counts, "node", "left").join(ends.select("node", "root"), "node", "left")
+        info = save(info.select(F.col("label").alias("n_label"), F.col("x").alias("n_x"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")), "info", outer=True)
     v = vectors.select(F.col("vec_id").cast("long"), "label", "embedding")
     out = v.join(info, (F.col("label") == F.col("n_label")) & (F.col("embedding") == F.col("n_x")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")

@@ -120,6 +120,12 @@ def test_media_columns_on_edges(spark, edges, none):
     assert all(r["thumbnail_hash"] in rows[str(r["doc_id"])]["feature"] for r in seen if r["doc_id"] not in (98, 99))
 
 
+def test_thumbnail_columns_are_replaced(spark):
+    media = spark.createDataFrame([(1, jpeg.encode([jpeg.padded(b"x")])[0], 7, "own")], "doc_id bigint, media binary, Width int, thumbnail_hash string")
+    got = jpeg.thumbnails(media)
+    assert got.columns == ["doc_id", "media", "width", "height", "thumbnail_hash"] and got.first()["width"] == 24 and jpeg.thumbnails(media.limit(0)).count() == 0
+
+
 LONG_TEXT = "The cat is on the mat and it was the best of all that we had in the house with a dog and the man who was there for more of it."
 PAGE = f"""<!doctype html><html><head><title>T</title><style>p{{}}</style><script>var x = "</p><p>no</p>";</script></head><body class="with-sidebar">
 <header><p>{LONG_TEXT}</p></header><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="cookie-notice"><p>{LONG_TEXT}</p></div>

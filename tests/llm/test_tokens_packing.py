@@ -152,3 +152,22 @@ def test_lengths_that_do_not_fit_are_refused(spark):
 def test_ids_column_holds_the_tokens(spark, edges):
     for r in token_pieces(edges, with_ids=True).collect():
         assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+
+
+def test_place_columns_are_replaced_and_saved_tables_go(spark):
+    from pyspark.sql import functions as F
+
+    from keyloft.llm import common
+    from keyloft.llm.packing import pack
+
+    rows = spark.range(50).select((F.col("id") % 7 * 300 + 1).alias("length"), F.lit(1).cast("bigint").alias("ids_crc32"), F.lit("own").alias("sequence_id"), F.lit("own").alias("Offset"))
+    got = pack(rows)
+    assert got.columns == ["length", "ids_crc32", "sequence_id", "offset"] and {type(r["offset"]) for r in got.collect()} == {int}
+    with common.tidied():
+        with common.tidied():
+            inner, outer = common.Saved(spark.range(3), "inner"), common.Saved(spark.range(3), "outer", outer=True)
+        assert outer.df.count() == 3
+        fs = spark._jvm.org.apache.hadoop.fs.Path(inner.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = lambda t: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(t.path))
+        assert not there(inner) and there(outer)
+    assert not there(outer)
