@@ -1,7 +1,7 @@
 """Replay of an ordered command log, without a sequential interpreter.
 
-commands: seq, pos, op, key, field, value, args (the number of words of the command, its
-name included); a command with several keys has one row for each, pos counting them.
+commands: seq, pos, op, key, field, value, error (null for a command that can run); a command with several keys has one row for each, pos counting them.
+Strings are bytes: they may hold any, and are compared and measured as bytes.
 Every key's history is cut into epochs by SET and DEL, and each reply is a window over
 the key's rows: the shuffle is by key, once.
 """
@@ -11,19 +11,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloft.functions import command_name
+from keyloft.functions import array_reply, command_name, encode_reply
+from keyloft.sources.wire import ERROR, INCOMPLETE
 
 WRONG_TYPE = "WRONGTYPE Operation against a key holding the wrong kind of value"
 KNOWN = ("PING", "SET", "GET", "HSET", "HGET", "DEL", "EXISTS", "KEYS", "SAVE")
 BY_KEY = ("SET", "GET", "HSET", "HGET", "DEL", "EXISTS")
 
 
+#: Bits of a command's place in its frame, in a seq made of both: a frame of 2 GiB has fewer commands.
+PLACE = 30
+
+
+def frame_of(seq: Column) -> Column:
+    """The frame of a seq that from_words made of a frame and a place in it."""
+    return F.shiftright(seq, PLACE)
+
+
+def place_of(seq: Column) -> Column:
+    return (seq.bitwiseAND((1 << PLACE) - 1)).cast("int")
+
+
 def from_words(frames: DataFrame) -> DataFrame:
-    """Commands of frames (seq, words array<string>), with `error` set where a command cannot run.
+    """Commands of frames (seq, words array<string> or array<binary>), with `error` set where a command cannot run.
 
     Names match in ASCII upper case. SET, HSET take their first key, field and value and
-    ignore what follows; DEL and EXISTS give a row for each key.
+    ignore what follows; DEL and EXISTS give a row for each key. With columns cmd and status (wire.parse_frames),
+    seq becomes that of frame and place (see frame_of), malformed bytes are protocol errors, and unfinished commands are left out.
     """
+    if "status" in frames.columns:
+        frames = frames.where(F.col("status") != INCOMPLETE).withColumn("broken", F.col("status") == ERROR)
+    else:
+        frames = frames.withColumn("broken", F.lit(False))
+    if "cmd" in frames.columns:
+        fits = F.col("seq").between(0, (1 << 63 - PLACE) - 1)
+        seq = F.when(fits, F.shiftleft("seq", PLACE) + F.col("cmd")).otherwise(F.raise_error(F.concat(F.lit("no place for frame "), F.col("seq").cast("string"))).cast("bigint"))
+        frames = frames.withColumn("seq", seq)
+    frames = frames.select("seq", "broken", F.col("words").cast("array<string>").alias("words"))
     n, words = F.size("words"), F.col("words")
     name = command_name(F.get(words, F.lit(0)))
     arity = (
@@ -31,7 +55,7 @@ def from_words(frames: DataFrame) -> DataFrame:
         .when(name.isin("DEL", "EXISTS"), n >= 2).when(name == "KEYS", n == 2).when(name == "SAVE", n == 1).otherwise(True)
     )
     wrong = F.when(name == "SAVE", F.lit("SAVE command takes no arguments")).otherwise(F.concat(F.lit("wrong number of arguments for '"), name, F.lit("'")))
-    error = F.when(n <= 0, F.lit("empty command")).when(~name.isin(*KNOWN), F.concat(F.lit("unknown command `"), F.get(words, F.lit(0)), F.lit("`"))).when(~arity, wrong)
+    error = F.when(F.col("broken"), F.lit("protocol error")).when(n <= 0, F.lit("empty command")).when(~name.isin(*KNOWN), F.concat(F.lit("unknown command `"), F.get(words, F.lit(0)), F.lit("`"))).when(~arity, wrong)
     many = F.when(name.isin("DEL", "EXISTS"), F.slice(words, 2, F.greatest(n - 1, F.lit(0)))).otherwise(F.array(F.get(words, F.lit(1))))
     rows = frames.select("seq", name.alias("op"), error.alias("error"), F.posexplode_outer(many).alias("pos", "key"), F.get(words, F.lit(2)).alias("w2"), F.get(words, F.lit(3)).alias("w3"))
     value = F.when(F.col("op") == "SET", F.col("w2")).when(F.col("op") == "HSET", F.col("w3"))
@@ -55,25 +79,46 @@ def _history(commands: DataFrame) -> DataFrame:
 
 
 def replies(commands: DataFrame) -> DataFrame:
-    """seq, kind, str, int for every command but KEYS (see keys_at): one row each.
+    """seq, kind, str, int for every command but KEYS (see all_replies): one row each.
 
-    Rows with an `error` (see from_words) answer with it and change nothing.
+    Rows with an `error` (see from_words) answer with it and change nothing. Each key's history is gone through once; the parts of a
+    command meet in one aggregate by seq.
     """
     if "error" not in commands.columns:
         commands = commands.withColumn("error", F.lit(None).cast("string"))
-    good = commands.where(F.col("error").isNull())
-    h, op = _history(good), F.col("op")
+    op, failed = F.col("op"), F.col("error").isNotNull()
     string = F.coalesce(F.col("reset") == "SET", F.lit(False))
-    single = h.where(~op.isin("DEL", "EXISTS")).select(
+    keyed = _history(commands.where(~failed)).select(
         "seq",
-        F.when(op == "SET", "simple").when(op == "HSET", F.when(string, "error").otherwise("integer")).otherwise("bulk").alias("kind"),
+        F.when(op == "SET", "simple").when(op.isin("DEL", "EXISTS"), "integer").when(op == "HSET", F.when(string, "error").otherwise("integer")).otherwise("bulk").alias("kind"),
         F.when(op == "SET", "OK").when((op == "HSET") & string, WRONG_TYPE).when((op == "GET") & string, F.col("text")).when((op == "HGET") & ~string, F.col("mapped")).alias("str"),
-        F.when((op == "HSET") & ~string, 1).cast("bigint").alias("int"),
+        F.when(op.isin("DEL", "EXISTS"), F.col("existed").cast("bigint")).when((op == "HSET") & ~string, 1).cast("bigint").alias("int"),
+    )
+    other = commands.where(failed | op.isin("PING", "SAVE")).select(
+        "seq", F.when(failed, "error").otherwise("simple").alias("kind"), F.when(failed, F.col("error")).when(op == "PING", "PONG").otherwise("OK").alias("str"), F.lit(None).cast("bigint").alias("int")
     )
-    counted = h.where(op.isin("DEL", "EXISTS")).groupBy("seq").agg(F.lit("integer").alias("kind"), F.lit(None).cast("string").alias("str"), F.sum(F.col("existed").cast("bigint")).alias("int"))
-    other = good.where(op.isin("PING", "SAVE")).select("seq", F.lit("simple").alias("kind"), F.when(op == "PING", "PONG").otherwise("OK").alias("str"), F.lit(None).cast("bigint").alias("int"))
-    failed = commands.where(F.col("error").isNotNull()).groupBy("seq").agg(F.lit("error").alias("kind"), F.min("error").alias("str"), F.lit(None).cast("bigint").alias("int"))
-    return single.unionByName(counted).unionByName(other).unionByName(failed)
+    return keyed.unionByName(other).groupBy("seq").agg(F.min("kind").alias("kind"), F.min("str").alias("str"), F.sum("int").alias("int"))
+
+
+def key_arrays(commands: DataFrame) -> DataFrame:
+    """seq, kind, str, int, items of every KEYS: an array of all live keys in byte order for `*`, an empty one for any other pattern; int is its length."""
+    if "error" in commands.columns:
+        commands = commands.where(F.col("error").isNull())
+    asked = commands.where(F.col("op") == "KEYS").select("seq", F.col("key").alias("pattern"))
+    found = keys_at(commands, asked.where("pattern = '*'").select(F.col("seq").alias("at"))).groupBy("at").agg(F.sort_array(F.collect_list("key")).alias("items"))
+    items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
+    return asked.join(found, F.col("seq") == F.col("at"), "left").select("seq", F.lit("array").alias("kind"), F.lit(None).cast("string").alias("str"), F.size(items).cast("bigint").alias("int"), items.alias("items"))
+
+
+def all_replies(commands: DataFrame) -> DataFrame:
+    """seq, kind, str, int, items for every command; items is null but for KEYS, whose answer is one array."""
+    return replies(commands).withColumn("items", F.lit(None).cast("array<string>")).unionByName(key_arrays(commands))
+
+
+def wire_replies(commands: DataFrame) -> DataFrame:
+    """seq, reply (binary): the bytes that answer each command."""
+    reply = F.when(F.col("kind") == "array", array_reply(F.col("items"))).otherwise(encode_reply(F.col("kind"), F.col("str"), F.col("int")))
+    return all_replies(commands).select("seq", reply.cast("binary").alias("reply"))
 
 
 def state(commands: DataFrame) -> DataFrame:
@@ -135,5 +180,12 @@ def keys_at(commands: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def exists_at(commands: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(at, key) with found: whether the key exists at that time."""
-    return wanted.join(lifetimes(commands), "key", "left").groupBy("at", "key").agg(F.coalesce(F.bool_or((F.col("born") < F.col("at")) & (F.col("gone").isNull() | (F.col("gone") >= F.col("at")))), F.lit(False)).alias("found"))
+    """at, key, found for wanted(at, key): whether the key exists before a command of that seq; repeated wishes once.
+
+    Wishes stand among the writes of their key, and each looks at the last write before it: one sort, nothing compared with all lifetimes.
+    """
+    writes = commands.where(F.col("op").isin("SET", "DEL", "HSET")).select("key", F.col("seq").alias("at"), "pos", (F.col("op") != "DEL").alias("alive"))
+    asked = wanted.select("key", "at").distinct().select("key", "at", F.lit(-1).alias("pos"), F.lit(None).cast("boolean").alias("alive"))
+    upto = Window.partitionBy("key").orderBy("at", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    seen = writes.unionByName(asked).withColumn("found", F.coalesce(F.last("alive", ignorenulls=True).over(upto), F.lit(False)))
+    return seen.where(F.col("alive").isNull()).select("at", "key", "found")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from keyloft.plans.replay import BY_KEY, WRONG_TYPE
+from keyloft.plans.replay import BY_KEY, WRONG_TYPE, key_arrays
 
 REPLIES = "seq bigint, pos int, key string, op string, kind string, str string, int bigint"
 
@@ -61,12 +61,29 @@ class KeyReplay(StatefulProcessor):
 
 
 def replies(commands: DataFrame) -> DataFrame:
-    """A reply part for each row of a command stream on keys; sum the parts of DEL and EXISTS by seq (see whole_replies)."""
-    keyed = commands.where(F.col("op").isin(*BY_KEY)).select("seq", "pos", "op", "key", "field", "value")
-    return keyed.groupBy("key").transformWithState(statefulProcessor=KeyReplay(), outputStructType=REPLIES, outputMode="Append", timeMode="None")
+    """Reply parts of a command stream: one for each row on a key, from the state of the key; whole for all other commands.
+
+    KEYS asks about every key, so its part is only the wish, which whole_replies answers. Malformed or
+    unknown commands (with an `error`) answer with it.
+    """
+    error = F.col("error") if "error" in commands.columns else F.lit(None).cast("string")
+    rows = commands.withColumn("error", error)
+    op, failed = F.col("op"), F.col("error").isNotNull()
+    keyed = rows.where(~failed & op.isin(*BY_KEY)).select("seq", "pos", "op", "key", "field", "value")
+    parts = keyed.groupBy("key").transformWithState(statefulProcessor=KeyReplay(), outputStructType=REPLIES, outputMode="Append", timeMode="None")
+    kind = F.when(failed, "error").when(op == "KEYS", "array").otherwise("simple")
+    text = F.when(failed, F.col("error")).when(op == "PING", "PONG").when(op == "SAVE", "OK")
+    other = rows.where(failed | op.isin("PING", "SAVE", "KEYS")).select(F.col("seq").cast("bigint"), F.col("pos").cast("int"), "key", "op", kind.alias("kind"), text.alias("str"), F.lit(None).cast("bigint").alias("int"))
+    return parts.unionByName(other)
 
 
 def whole_replies(parts: DataFrame) -> DataFrame:
-    """One reply for each command, of the parts that a sink collected; idempotent in seq."""
-    parts = parts.dropDuplicates(["seq", "pos"])
+    """One reply for each command but KEYS, of the parts that a sink collected; idempotent in seq."""
+    parts = parts.where("kind != 'array'").dropDuplicates(["seq", "pos"])
     return parts.groupBy("seq").agg(F.max("kind").alias("kind"), F.max("str").alias("str"), F.sum("int").alias("int"))
+
+
+def key_replies(parts: DataFrame) -> DataFrame:
+    """The replies to KEYS (see plans.replay.key_arrays), of the parts that a sink collected: the writes among them tell which keys lived."""
+    parts = parts.dropDuplicates(["seq", "pos"])
+    return key_arrays(parts.where("kind != 'error'"))  # a rejected write leaves a key as it was

@@ -13,17 +13,21 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def run_log(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """Replies of the command log, replayed from a file stream into Parquet under a shared folder."""
-    batch = tables.table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return whole_replies(run_parts(spark, sf_dir, folder, "events.parquet", tables.commands_of))
+
+
+def run_parts(spark: SparkSession, source: str, folder: str, files: str, commands) -> DataFrame:
+    """Reply parts of all event files of a folder by now; a further call with the same `folder` goes on where the last one stopped, with the state it had."""
+    batch = spark.read.option("pathGlobFilter", files).parquet(source)
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", 1).parquet(source)
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:
-        parts = replies(tables.commands_of(stream))
-        q = parts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q = replies(commands(stream)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         if before is None:
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, before)
-    return whole_replies(spark.read.schema(REPLIES).parquet(f"{folder}/out"))
+    return spark.read.schema(REPLIES).parquet(f"{folder}/out")

@@ -72,3 +72,90 @@ def test_stream_equals_batch(spark):
 
     d = "/root/testdata/sf0.001"
     assert sorted(map(tuple, stream_replay(spark, d).select("seq", "kind", "str", "int").collect()), key=lambda r: r[0]) == sorted(map(tuple, replay_replies(spark, d).select("seq", "kind", "str", "int").collect()), key=lambda r: r[0])
+
+
+def test_streams_of_bytes_in_any_cuts():
+    rnd = random.Random(3)
+    sent = [[bytes(rnd.randrange(256) for _ in range(rnd.choice([0, 1, 5, 40]))) for _ in range(rnd.randint(0, 4))] for _ in range(120)]
+    stream = b"".join(rnd.choice([b"", b"\r\n", b"  "]) + wire.encode(words) for words in sent)
+    for most in (1, 7, 200):
+        splitter, got, at = wire.Splitter(), [], 0
+        while at < len(stream):
+            n = rnd.randint(1, most)
+            done, broken = splitter.feed(stream[at : at + n])
+            assert not broken
+            got += done
+            at += n
+        assert got == sent and not splitter.waits()
+    for bad in (b"*x\r\n", b"*\r\n", b"*1 \r\n", b"*+1\r\n", b"*1\r\n$\r\n", b"*1\r\n$1x\r\na\r\n", b"*1\r\n$-2\r\n", b"*-1\r\n", b"*1\r\n:1\r\n", b"*1\r\n$1\r\nab\r\n"):
+        assert wire.parse_all(wire.encode([b"A"]) + bad + wire.encode([b"B"])) == ([[b"A"]], "error", len(bad) + 22)
+    assert wire.parse_all(wire.encode([b"A"]) + b"*2\r\n$1\r\n") == ([[b"A"]], "incomplete", 11)
+
+
+def test_all_commands_of_all_frames_run(spark):
+    """A session in frames of any cuts over three connections answers as a sequential interpreter, KEYS too."""
+    rnd = random.Random(4)
+    session = [w for w in random_session(5, 150) if w]
+    store, expected = Store(), []
+    for w in session:
+        kind, text, number = store.run(w)
+        expected.append(fn_reply(kind, text, number))
+    stream = b"".join(wire.encode([x.encode() for x in w]) for w in session)
+    frames, at = [], 0
+    while at < len(stream):
+        n = rnd.choice([1, 30, 200, 700])
+        frames.append((len(frames), "c", stream[at : at + n]))
+        at += n
+    df = spark.createDataFrame(frames, "seq bigint, conn string, frame binary").repartition(3)
+    log = replay.from_words(wire.parse_frames(df, conn="conn"))
+    assert [bytes(r["reply"]) for r in replay.wire_replies(log).orderBy("seq").collect()] == expected
+    pieces = spark.createDataFrame([(0, b"*1\r\n$4\r\nPI"), (1, None), (2, b"x")], "seq bigint, frame binary")
+    assert [(r["seq"], r["status"]) for r in wire.parse_frames(pieces).orderBy("seq").collect()] == [(0, "incomplete"), (1, "incomplete"), (2, "error")]
+    assert [tuple(r) for r in replay.replies(replay.from_words(wire.parse_frames(pieces))).select("kind", "str").collect()] == [("error", "protocol error")]
+
+
+def fn_reply(kind, text, number):
+    def bulk(x):
+        return b"$-1\r\n" if x is None else b"$%d\r\n%s\r\n" % (len(x.encode()), x.encode())
+
+    if kind == "keys":
+        return b"*%d\r\n" % len(text) + b"".join(map(bulk, text))
+    return {"simple": f"+{text}\r\n".encode(), "error": f"-ERR {text}\r\n".encode(), "integer": f":{number}\r\n".encode(), "bulk": bulk(text)}[kind]
+
+
+def test_exists_at_looks_before_the_command(spark):
+    log = commands(spark, [["SET", "a", "1"], ["DEL", "a", "b"], ["HSET", "a", "f", "1"], ["GET", "a"]])
+    wanted = spark.createDataFrame([(t, k) for t in range(6) for k in ("a", "b")] + [(2, "a")], "at bigint, key string")
+    got = {(r["at"], r["key"]): r["found"] for r in replay.exists_at(log, wanted).collect()}
+    assert got == {(t, k): k == "a" and t in (1, 3, 4, 5) for t in range(6) for k in ("a", "b")}
+
+
+def test_a_session_saves_and_starts_again(spark, tmp_path):
+    from keyloft.plans import session
+
+    path = f"file://{tmp_path}/state"
+    first = commands(spark, [["SET", "k", "v"], ["HSET", "h", "f", "1"], ["SAVE"], ["SET", "k", "later"], ["SAVE", "x"]])
+    assert [(r["kind"], r["str"]) for r in session.run(first, path).orderBy("seq").collect()][2:] == [("simple", "OK"), ("simple", "OK"), ("error", "SAVE command takes no arguments")]
+    again = session.run(commands(spark, [["GET", "k"], ["HGET", "h", "f"], ["KEYS", "*"], ["HSET", "k", "f", "1"], ["DEL", "h", "k"]]), path).orderBy("seq").collect()
+    assert [(r["kind"], r["str"], r["int"], r["items"]) for r in again] == [("bulk", "v", None, None), ("bulk", "1", None, None), ("array", None, 2, ["h", "k"]), ("error", WRONG, None, None), ("integer", None, 2, None)]
+    (tmp_path / "file").write_text("no folder")
+    failed = session.run(first, f"file://{tmp_path}/file/state").orderBy("seq").collect()
+    assert (failed[2]["kind"], failed[2]["str"]) == ("error", "ERR Failed to save RDB") and failed[0]["str"] == "OK"
+
+
+def test_a_stream_goes_on_after_a_stop(spark, tmp_path):
+    """Two runs on one checkpoint, the second over what came since, answer as one replay; what ran before is not answered again."""
+    from keyloft.plans import tables
+    from keyloft.streaming.replay import key_replies, whole_replies
+    from keyloft.streaming.runner import run_parts
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    events.where("event_id <= 400").coalesce(1).write.parquet(source)
+    first = run_parts(spark, source, folder, "*.parquet", tables.mixed_log).count()
+    events.where("event_id > 400").coalesce(1).write.mode("append").parquet(source)
+    parts = run_parts(spark, source, folder, "*.parquet", tables.mixed_log)
+    assert first == events.where("event_id <= 400").count() and parts.count() == events.count()
+    log = tables.mixed_log(events)
+    assert sorted(map(str, whole_replies(parts).collect())) == sorted(map(str, replay.replies(log).collect()))
+    assert sorted(map(str, key_replies(parts).collect())) == sorted(map(str, replay.key_arrays(log).collect()))
