@@ -1,11 +1,16 @@
 """Ordered lists as rows (key, pos, value), positions from 0 without gaps; and a fold for logs.
 
-Row operators rank within a key, so one key's list is one window partition. Lists that
-a task cannot hold are not lists that the fold should see either: use the rows.
+Row operators rank within a key, so one key's list is one window partition. A list that lost all its
+values has no rows, but its key stays: what asks about lists themselves takes their keys too.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +42,20 @@ def append(items: DataFrame, writes: DataFrame, *order: str) -> DataFrame:
     return _renumber(old.unionByName(new), F.col("o"))
 
 
-def length(items: DataFrame) -> DataFrame:
-    return items.groupBy("key").agg(F.count("*").alias("length"))
+def prepend(items: DataFrame, writes: DataFrame, *order: str) -> DataFrame:
+    """Existing lists with further values put in front one after another: the last stands first."""
+    w = Window.partitionBy("key").orderBy(*[F.col(c).desc() for c in order])
+    new = writes.select("key", "value", F.struct(F.lit(0).alias("part"), F.row_number().over(w).cast("bigint").alias("at")).alias("o"))
+    old = items.select("key", "value", F.struct(F.lit(1).alias("part"), F.col("pos").alias("at")).alias("o"))
+    return _renumber(new.unionByName(old), F.col("o"))
+
+
+def length(items: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """key, length; with the keys(key) of all lists, also 0 for those that were emptied."""
+    found = items.groupBy("key").agg(F.count("*").alias("length"))
+    if keys is None:
+        return found
+    return keys.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("length", F.lit(0)).alias("length"))
 
 
 def _sized(items: DataFrame) -> DataFrame:
@@ -97,42 +114,80 @@ def encoding(items: DataFrame) -> DataFrame:
     return items.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("value")).alias("w")).select("key", F.when((F.col("n") > MANY) | (F.col("w") > WIDE), "linked").otherwise("small").alias("encoding"))
 
 
+class _List:
+    """One list under a log of operations."""
+
+    def __init__(self):
+        self.values: deque = deque()
+
+    def run(self, op: str, value, arg, a, b) -> None:
+        x, n = self.values, len(self.values)
+        if op == "RPUSH":
+            x.append(value)
+        elif op == "LPUSH":
+            x.appendleft(value)
+        elif op in ("LPOP", "RPOP"):
+            if n:
+                x.popleft() if op == "LPOP" else x.pop()
+        elif op == "LTRIM":
+            lo, hi = max(a + n if a < 0 else a, 0), min(b + n if b < 0 else b, n - 1)
+            self.values = deque(islice(x, lo, hi + 1)) if lo <= hi else deque()
+        elif op == "LREM":
+            hits = [k for k, v in enumerate(x) if v == value]
+            gone = set(hits[a:] if a < 0 else hits[:a] if a else hits)
+            self.values = deque(v for k, v in enumerate(x) if k not in gone)
+        elif op in ("LINSERT_BEFORE", "LINSERT_AFTER") and value in x:
+            x.insert(x.index(value) + (op == "LINSERT_AFTER"), arg)
+
+
+OPERATIONS = ["key", "op", "value", "arg", "a", "b"]
+
+
+def _folded(log: DataFrame, ends, schema: str) -> DataFrame:
+    """What `ends` gives, as columns, for a key and its list after the log. The log is dealt and sorted by key and gone through once: a task holds one list, not its log."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            for key, *operation in zip(*(batch.column(c).to_pylist() for c in OPERATIONS)):
+                if own is None or key != last:
+                    if own is not None:
+                        yield from ends(last, own.values)
+                    last, own = key, _List()
+                own.run(*operation)
+        if own is not None:
+            yield from ends(last, own.values)
+
+    dealt = log.select(F.col("key").cast("string"), "seq", "op", F.col("value").cast("string"), F.col("arg").cast("string"), F.col("a").cast("bigint"), F.col("b").cast("bigint"))
+    return dealt.repartition(F.col("key")).sortWithinPartitions("key", "seq").mapInArrow(run, schema)
+
+
 def fold(log: DataFrame) -> DataFrame:
-    """list_items after a log (key, seq, op, value, a, b) of one operation after another.
+    """list_items after a log (key, seq, op, value, arg, a, b) of one operation after another.
 
     ops: LPUSH and RPUSH value, LPOP, RPOP, LTRIM a b, LREM a value, and LINSERT_BEFORE
-    and LINSERT_AFTER pivot value with the pivot in `value` and the new value in `arg`. One
-    array for each key, folded by an aggregate expression.
+    and LINSERT_AFTER pivot value with the pivot in `value` and the new value in `arg`. Each result depends on
+    the one before, which no window expresses, and arrays in an aggregate would be copied at each step: so it is one pass in Python over Arrow batches.
     """
-    ops = log.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "value", "arg", "a", "b"))).alias("ops"))
-    end = F.aggregate("ops", F.expr("cast(array() as array<string>)"), step)
-    return ops.select("key", F.posexplode(end).alias("pos", "value")).withColumn("pos", F.col("pos").cast("bigint"))
-
-
-def step(x: Column, o: Column) -> Column:
-    """One operation on an array."""
-    n = F.size(x)
-    lo, hi = trim_bounds(n, o["a"].cast("int"), o["b"].cast("int"))
-    trimmed = F.when((lo <= hi) & (lo < n), F.slice(x, lo + 1, F.greatest(hi - lo + 1, F.lit(0)))).otherwise(F.slice(x, 1, 0))
-    hits = F.size(F.filter(x, lambda v: v == o["value"]))
-    count = o["a"].cast("int")
-    # positions of the value, of which the first or last |count| go
-    at = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get(x, i) == o["value"])
-    gone = F.when(count == 0, at).when(count > 0, F.slice(at, 1, F.least(F.abs(count), hits))).otherwise(F.slice(at, F.greatest(hits - F.abs(count), F.lit(0)) + 1, F.least(F.abs(count), hits)))
-    kept = F.filter(x, lambda v, i: ~F.array_contains(gone, i))
-    p = F.array_position(x, o["value"]).cast("int")
-
-    def put(k: Column) -> Column:
-        return F.when(p == 0, x).otherwise(F.concat(F.slice(x, 1, k), F.array(o["arg"]), F.slice(x, k + 1, F.greatest(n - k, F.lit(0)))))
-
-    return (
-        F.when(o["op"] == "LPUSH", F.concat(F.array(o["value"]), x))
-        .when(o["op"] == "RPUSH", F.concat(x, F.array(o["value"])))
-        .when(o["op"] == "LPOP", F.slice(x, 2, F.greatest(n - 1, F.lit(0))))
-        .when(o["op"] == "RPOP", F.slice(x, 1, F.greatest(n - 1, F.lit(0))))
-        .when(o["op"] == "LTRIM", trimmed)
-        .when(o["op"] == "LREM", kept)
-        .when(o["op"] == "LINSERT_BEFORE", put(F.greatest(p - 1, F.lit(0))))
-        .when(o["op"] == "LINSERT_AFTER", put(p))
-        .otherwise(x)
-    )
+
+    def ends(key, values) -> Iterator[pa.RecordBatch]:
+        yield from (pa.record_batch([pa.array([key] * len(part), pa.string()), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], names=["key", "pos", "value"]) for at, part in _slices(values))
+
+    return _folded(log, ends, "key string, pos bigint, value string")
+
+
+def fold_lengths(log: DataFrame) -> DataFrame:
+    """key, length of every list of a log (see fold): 0 for those that were emptied."""
+
+    def ends(key, values) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array([key], pa.string()), pa.array([len(values)], pa.int64())], names=["key", "length"])
+
+    return _folded(log, ends, "key string, length bigint")
+
+
+def _slices(values: deque, size: int = 10_000) -> Iterator[tuple[int, list]]:
+    rest = iter(values)
+    at = 0
+    while part := list(islice(rest, size)):
+        yield at, part
+        at += len(part)

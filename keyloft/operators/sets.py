@@ -8,7 +8,7 @@ has one promotion time, and the whole replay is windows over the log.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloft.functions import parse_int
@@ -28,18 +28,52 @@ def canonical(members: DataFrame, limit: int = LIMIT) -> DataFrame:
     return of.select("key", F.when(F.col("int_set"), number.cast("string")).otherwise(F.col("member")).alias("member")).distinct()
 
 
-def add(members: DataFrame, new: DataFrame) -> DataFrame:
-    return members.select("key", "member").union(new.select("key", "member")).distinct()
+def phases(members: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """key, ints: whether a set holds integers, as its members tell: all of them in canonical form, and at most `limit`."""
+    number = parse_int(F.col("member"))
+    same = F.coalesce(number.cast("string") == F.col("member"), F.lit(False))
+    return members.groupBy("key").agg((F.bool_and(same) & (F.count_distinct("member") <= limit)).alias("ints"))
+
+
+def _known(rows: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """rows(key, member, ...) with ints and id, the member as its set knows it; null where an integer set cannot hold it. A set without members holds integers."""
+    p = phases(members, limit).withColumnRenamed("key", "p_key")
+    ints = F.coalesce("ints", F.lit(True))
+    id_ = F.when(ints, parse_int(F.col("member")).cast("string")).otherwise(F.col("member"))
+    return rows.join(p, F.col("key") == F.col("p_key"), "left").withColumn("ints", ints).withColumn("id", id_).drop("p_key")
+
+
+def add(members: DataFrame, new: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """set_members after one add for each row of new(key, member), in the order of its seq if it has one, else integers first.
+
+    Integer sets know members by value, and are promoted as in `replay`: by a member that is no integer, or any integer added at
+    `limit` members. Others take members as they are.
+    """
+    order = [F.col("seq")] if "seq" in new.columns else [parse_int(F.col("member")).isNull(), F.col("member")]
+    at = F.row_number().over(Window.partitionBy("key").orderBy(*order)).cast("bigint")
+    known = _known(new.withColumn("at", at).select("key", "member", "at"), members, limit)
+    texts = known.where(~F.col("ints")).select("key", "member")
+    fresh = known.where("ints").select("key", "member", "at")
+    touched = members.select("key", "member").distinct().join(fresh.select("key").distinct(), "key", "left_semi")
+    log = touched.select("key", "member", F.lit(None).cast("bigint").alias("at")).unionByName(fresh)
+    order = Window.partitionBy("key").orderBy(F.col("at").asc_nulls_first(), "member")
+    log = log.select("key", "member", F.lit("ADD").alias("op"), F.row_number().over(order).cast("bigint").alias("seq"))
+    rest = members.select("key", "member").join(fresh.select("key").distinct(), "key", "left_anti")
+    return rest.union(texts).distinct().union(final_members(log, limit))
 
 
-def remove(members: DataFrame, gone: DataFrame) -> DataFrame:
-    return members.join(gone.select("key", "member"), ["key", "member"], "left_anti")
+def remove(members: DataFrame, gone: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """set_members without gone(key, member): by value in integer sets, where what is no integer does nothing, by text in others."""
+    ids = _known(gone.select("key", "member"), members, limit).where(F.col("id").isNotNull()).select("key", F.col("id").alias("member"))
+    return members.join(ids, ["key", "member"], "left_anti")
 
 
-def contains(members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(key, member) with found, a boolean."""
-    mark = members.select("key", "member", F.lit(True).alias("m")).distinct()
-    return wanted.join(mark, ["key", "member"], "left").select(*wanted.columns, F.coalesce("m", F.lit(False)).alias("found"))
+def contains(members: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """wanted(key, member) with found, a boolean: by value in integer sets, by text in others."""
+    mark = members.select(F.col("key").alias("m_key"), F.col("member").alias("m_id")).distinct()
+    known = _known(wanted, members, limit)
+    found = F.col("m_id").isNotNull()
+    return known.join(mark, (F.col("key") == F.col("m_key")) & (F.col("id") == F.col("m_id")), "left").select(*[F.col(f"`{c}`") for c in wanted.columns], found.alias("found"))
 
 
 def size(members: DataFrame) -> DataFrame:
@@ -53,41 +87,42 @@ def memory_usage(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.when(F.bool_and(F.coalesce(same, F.lit(False))), 8 * F.count("*")).otherwise(F.sum(F.octet_length("member"))).cast("bigint").alias("bytes"))
 
 
-def _effective(log: DataFrame, identity: str) -> DataFrame:
-    """Adds `there`: whether the member was in the set before the operation, from the last add or remove of the same identity."""
+def _there(identity: str) -> Column:
+    """Whether the member was in the set before the operation: whether the last add or remove of the same identity was an add."""
     w = Window.partitionBy("key", identity).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("op") != "HAS", F.col("op")), ignorenulls=True).over(w)
-    return log.withColumn("there", F.coalesce(last == "ADD", F.lit(False)))
+    return F.coalesce(F.last(F.when(F.col("op") != "HAS", F.col("op")), ignorenulls=True).over(w) == "ADD", F.lit(False))
+
+
+def _promoted(log: DataFrame, limit: int) -> DataFrame:
+    """The log with number and promoted, the seq of the operation that promotes its set (null if none does).
+
+    The log is dealt by key once; every window here and in `replay` is over a key or a part of one, so none shuffles again.
+    """
+    op, number = F.col("op"), F.col("number")
+    by_key = Window.partitionBy("key")
+    rows = log.repartition(F.col("key")).withColumn("number", parse_int(F.col("member"))).withColumn("held", F.when(F.col("number").isNotNull(), _there("number")))
+    change = F.when((op == "ADD") & ~F.col("held"), 1).when((op == "REM") & F.col("held"), -1).otherwise(0)
+    rows = rows.withColumn("n", F.coalesce(F.sum(change).over(by_key.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    promotes = (op == "ADD") & (number.isNull() | (F.col("n") >= limit))
+    return rows.withColumn("promoted", F.min(F.when(promotes, F.col("seq"))).over(by_key)).drop("held", "n")
 
 
 def promotions(log: DataFrame, limit: int = LIMIT) -> DataFrame:
     """key, promoted: the seq of the operation that promotes the set, for sets that any does."""
-    number = parse_int(F.col("member"))
-    adds = log.withColumn("number", number)
-    raw = adds.where((F.col("op") == "ADD") & F.col("number").isNull()).groupBy("key").agg(F.min("seq").alias("raw"))
-    ints = _effective(adds.where(F.col("number").isNotNull()), "number")
-    change = F.when((F.col("op") == "ADD") & ~F.col("there"), 1).when((F.col("op") == "REM") & F.col("there"), -1).otherwise(0)
-    before = F.coalesce(F.sum(change).over(Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    full = ints.withColumn("n", before).where((F.col("op") == "ADD") & (F.col("n") >= limit)).groupBy("key").agg(F.min("seq").alias("full"))
-    return raw.join(full, "key", "full").select("key", F.least("raw", "full").alias("promoted"))
+    return _promoted(log, limit).where(F.col("promoted").isNotNull()).select("key", "promoted").distinct()
 
 
 def replay(log: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Replies of a log (key, seq, op in ADD, REM, HAS, member): seq, key, op, member, reply 0 or 1, and id, the member as the set knows it.
 
     At its promotion an integer set keeps its members in canonical text, so what was known
-    by value before goes on under that text.
+    by value before goes on under that text. Before it an operation on what is no integer does nothing.
     """
-    number = parse_int(F.col("member"))
-    p = promotions(log, limit)
-    known = log.join(p, "key", "left").withColumn("late", F.coalesce(F.col("seq") >= F.col("promoted"), F.lit(False)))
-    known = known.withColumn("id", F.when(F.col("late"), F.col("member")).otherwise(number.cast("string")))
-    # before promotion an operation on a non-integer does nothing
-    live = _effective(known.where(F.col("id").isNotNull()), "id")
-    idle = known.where(F.col("id").isNull()).withColumn("there", F.lit(False))
-    reply = F.when(F.col("op") == "ADD", (~F.col("there")).cast("int")).otherwise(F.col("there").cast("int"))
-    out = live.withColumn("reply", reply).unionByName(idle.withColumn("reply", F.lit(0)))
-    return out.select("seq", "key", "op", "member", "id", F.col("reply").cast("bigint").alias("reply"))
+    late = F.coalesce(F.col("seq") >= F.col("promoted"), F.lit(False))
+    known = _promoted(log, limit).withColumn("id", F.when(late, F.col("member")).otherwise(F.col("number").cast("string")))
+    live = known.withColumn("there", _there("id") & F.col("id").isNotNull())
+    reply = F.when(F.col("id").isNull(), 0).when(F.col("op") == "ADD", (~F.col("there")).cast("int")).otherwise(F.col("there").cast("int"))
+    return live.select("seq", "key", "op", "member", "id", reply.cast("bigint").alias("reply"))
 
 
 def final_members(log: DataFrame, limit: int = LIMIT) -> DataFrame:

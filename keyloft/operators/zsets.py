@@ -32,10 +32,10 @@ def rank(scores: DataFrame) -> DataFrame:
 
 
 def rank_of(scores: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rank of wanted(key, member) by counting what stands before each: no sort of whole sets."""
-    w = score(scores, wanted).where(F.col("score").isNotNull()).select("key", F.col("member").alias("m"), F.col("score").alias("s"))
-    below = (F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("member") < F.col("m")))
-    return w.join(scores.select("key", "member", "score"), "key").groupBy("key", F.col("m").alias("member")).agg(F.sum(below.cast("bigint")).alias("rank"))
+    """key, member, rank of wanted(key, member) that are there: the sets that are asked about are sorted once, however many members are wanted."""
+    asked = wanted.select("key", "member").distinct()
+    ranked = rank(scores.join(asked.select("key").distinct(), "key", "left_semi"))
+    return ranked.join(asked, ["key", "member"], "left_semi").select("key", "member", "rank")
 
 
 def range_by_score(scores: DataFrame, low: float, high: float) -> DataFrame:

@@ -11,13 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed values of the format.
 HEADER = b"REDIS" + b"0009"
 STRING, MAP, DATABASE, END = 0, 2, 0xFE, 0xFF
 CHECKSUM = bytes(8)
+#: Content of a written file, about.
+FILE_BYTES = 64 << 20
 
 
 class Damaged(ValueError):
@@ -90,7 +93,7 @@ def decode(data: bytes) -> Iterator[tuple[bytes, bytes | dict[bytes, bytes]]]:
 
 
 class BinarySnapshot(DataSource):
-    """spark.read.format("keysnapshot"): option `data` is the hexadecimal content, or `path` a file that every worker can open."""
+    """spark.read.format("keysnapshot"): option `data` is the hexadecimal content of one snapshot. Files are read by read_files, in parallel."""
 
     @classmethod
     def name(cls) -> str:
@@ -100,23 +103,18 @@ class BinarySnapshot(DataSource):
         return "key binary, type string, field binary, value binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return _Reader(bytes.fromhex(self.options["data"]))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
+    def __init__(self, data: bytes):
+        self.data = data
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]
 
     def read(self, partition):
-        if "data" in self.options:
-            data = bytes.fromhex(self.options["data"])
-        else:
-            with open(self.options["path"], "rb") as f:
-                data = f.read()
-        yield from rows(data)
+        yield from rows(self.data)
 
 
 def rows(data: bytes) -> Iterator[tuple]:
@@ -133,16 +131,59 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BinarySnapshot)
 
 
-def read_files(spark: SparkSession, path: str):
-    """Many snapshot files at once through Spark's own reader, so any store it knows: key, type, field, value, file."""
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Many snapshot files at once through Spark's own reader, so any store it knows: key, type, field, value, file. A task holds one file at a time."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.string()]
         for batch in batches:
-            out = [(*r, p) for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in rows(data)]
-            kinds = [pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.string()]
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 5, kinds)], names=["key", "type", "field", "value", "file"])
+            for p, data in zip(batch.column(0), batch.column(1)):
+                out = [(*r, p.as_py()) for r in rows(data.as_py())]
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 5, kinds)], names=["key", "type", "field", "value", "file"])
 
     return files.mapInArrow(run, "key binary, type string, field binary, value binary, file string")
+
+
+def write_files(relation: DataFrame, path: str, size: int = FILE_BYTES) -> None:
+    """Writes key, type (string or hash), field, value as snapshot files of about `size` bytes under a new folder, in parallel and through Spark's own writer, so to any store it knows.
+
+    Keys are dealt by hash and stand in one file each. Lengths that would not read back are an error. An empty relation gives a folder without files.
+    """
+    parts = relation.select(F.col("key").cast("binary"), "type", F.col("field").cast("binary"), F.col("value").cast("binary"))
+    parts = parts.repartition(F.col("key")).sortWithinPartitions("key", "field")
+
+    def pairs(batches):
+        """Each key with its value; the rows of a key stand together."""
+        last, fields = None, {}
+        for batch in batches:
+            for key, kind, field, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None and (kind != "hash" or key != last):
+                    yield last, fields
+                    last, fields = None, {}
+                if kind == "hash":
+                    last = key
+                    fields[field] = value
+                else:
+                    yield key, value
+        if last is not None:
+            yield last, fields
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, total = [], 0
+        for key, value in pairs(batches):
+            held.append((key, value))
+            total += len(key) + (sum(len(f) + len(v) for f, v in value.items()) if isinstance(value, dict) else len(value))
+            if total >= size:
+                yield pa.record_batch([pa.array([encode(held)[:-1]], pa.binary())], names=["content"])
+                held, total = [], 0
+        if held:
+            yield pa.record_batch([pa.array([encode(held)[:-1]], pa.binary())], names=["content"])
+
+    # the text writer ends a row with a separator: here the last byte of the format, and a file for each row
+    content = parts.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
+    content.write.option("lineSep", chr(CHECKSUM[-1])).option("maxRecordsPerFile", 1).text(path)

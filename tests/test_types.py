@@ -124,3 +124,96 @@ def test_binary_snapshot(spark, tmp_path):
     assert binary.read_files(spark, f"file://{tmp_path}/a.snap").count() == 5
     binary.register(spark)
     assert spark.read.format("keysnapshot").option("data", data.hex()).load().count() == 5
+
+
+def test_set_operators_know_integers_by_value(spark):
+    rnd = random.Random(6)
+    spell = lambda: rnd.choice(["", "0", "+", "00"]) + str(rnd.randint(0, 9)) if rnd.random() < 0.9 else rnd.choice(["x", "+", " 5"])
+    for limit in (4, 512):
+        start, stores, adds, asks = [], {}, [], []
+        for k in range(30):
+            store = stores[f"k{k}"] = IntSet(limit)
+            for _ in range(rnd.randint(0, 6)):
+                store.run("ADD", spell())
+            if store.strings is not None and all(IntSet.number(m) is not None and str(IntSet.number(m)) == m for m in store.strings) and len(store.strings) <= limit:
+                store.strings, store.ints = None, {int(m) for m in store.strings}  # its members do not tell that it was promoted
+            start += [(f"k{k}", m) for m in store.members()]
+            own = [(f"k{k}", spell()) for _ in range(rnd.randint(0, 5))]
+            asks += own
+            adds += [(*x, s) for s, x in enumerate(own)]
+        schema = "key string, member string"
+        members, asked = spark.createDataFrame(start, schema), spark.createDataFrame(asks, schema)
+        assert {(r["key"], r["member"]): r["found"] for r in sets.contains(members, asked, limit).collect()} == {(k, m): bool(stores[k].run("HAS", m)) for k, m in asks}
+        left = {(r["key"], r["member"]) for r in sets.remove(members, asked, limit).collect()}
+        gone = {k: IntSet(limit) for k in stores}
+        for k, s in gone.items():
+            s.ints, s.strings = set(stores[k].ints), None if stores[k].strings is None else set(stores[k].strings)
+        for k, m in asks:
+            gone[k].run("REM", m)
+        assert left == {(k, m) for k, s in gone.items() for m in s.members()}
+        after = {tuple(r) for r in sets.add(members, spark.createDataFrame(adds, schema + ", seq bigint"), limit).collect()}
+        for k, m, _ in adds:
+            stores[k].run("ADD", m)
+        assert after == {(k, m) for k, s in stores.items() for m in s.members()}
+
+
+def test_one_exchange_for_a_set_replay(spark):
+    log = spark.createDataFrame([(1, "k", "ADD", "7")], "seq bigint, key string, op string, member string")
+    plan = sets.replay(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_pushes_in_front_and_emptied_lists(spark):
+    x = of_list(spark, "abc")
+    writes = spark.createDataFrame([("l", 1, "p"), ("l", 2, "q"), ("m", 1, "r")], "key string, n int, value string")
+    got = lists.prepend(x, writes, "n")
+    assert values(got.where("key = 'l'")) == list("qpabc") and values(got.where("key = 'm'")) == ["r"]
+    assert [r["pos"] for r in got.where("key = 'l'").orderBy("pos").collect()] == list(range(5))
+    empty = lists.trim(x, 5, 9)
+    assert [tuple(r) for r in lists.length(empty, x.select("key")).collect()] == [("l", 0)] and lists.length(empty).count() == 0
+    log = spark.createDataFrame([("a", 1, "RPUSH", "v", None, None, None), ("a", 2, "LPOP", None, None, None, None), ("b", 1, "LPUSH", "v", None, None, None)], "key string, seq bigint, op string, value string, arg string, a bigint, b bigint")
+    assert sorted(map(tuple, lists.fold_lengths(log).collect())) == [("a", 0), ("b", 1)] and [tuple(r) for r in lists.fold(log).collect()] == [("b", 0, "v")]
+    assert lists.fold(log.limit(0)).count() == 0
+
+
+def test_a_long_list_folds_in_linear_time(spark):
+    log = spark.range(60_000).selectExpr("'k' as key", "id as seq", "case when id % 3 = 2 then 'LPOP' else 'RPUSH' end as op", "cast(id as string) as value", "'' as arg", "0L as a", "0L as b")
+    assert lists.fold(log).count() == 20_000
+
+
+def test_a_save_that_dies_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    path, schema = f"file://{tmp_path}/s", "key string"
+    one, two = spark.createDataFrame([("one",)], schema), spark.createDataFrame([("two",), ("2",)], schema)
+    snapshot.save(one, path)
+
+    def die(*a):
+        raise RuntimeError("power is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshot, "_point", die)
+        with pytest.raises(RuntimeError):
+            snapshot.save(two, path)
+    assert [r["key"] for r in snapshot.load(spark, path, schema).collect()] == ["one"]
+    reader = snapshot.load(spark, path, schema)
+    snapshot.save(two, path)
+    assert snapshot.load(spark, path, schema).count() == 2 and [r["key"] for r in reader.collect()] == ["one"]
+    snapshot.save(one, path)
+    assert len(snapshot._pointers(spark, path)) == snapshot.KEPT
+    for _, version in snapshot._pointers(spark, path)[:1]:
+        fs, folder = snapshot._path(spark, f"{path}/{version}")
+        fs.delete(folder, True)
+    with pytest.raises(OSError):
+        snapshot.load(spark, path, schema)
+
+
+def test_binary_files_are_written_in_parallel(spark, tmp_path):
+    rows = [(f"k{i}".encode(), "string", None, bytes([i % 256]) * (i % 60)) for i in range(300)] + [(f"h{i}".encode(), "hash", f"f{j}".encode(), b"\xff\x00\n" * j) for i in range(40) for j in range(1 + i % 5)]
+    df = spark.createDataFrame(rows, "key binary, type string, field binary, value binary").repartition(5)
+    path = f"file://{tmp_path}/many"
+    binary.write_files(df, path, size=500)
+    got = {(bytes(r["key"]), r["type"], None if r["field"] is None else bytes(r["field"]), bytes(r["value"])) for r in binary.read_files(spark, path).collect()}
+    assert got == set(rows)
+    names = [f for f in (tmp_path / "many").iterdir() if f.name.startswith("part")]
+    assert len(names) > 8 and all(f.read_bytes().endswith(b"\xff" + bytes(8)) and f.read_bytes()[:9] == binary.HEADER for f in names)
+    with pytest.raises(Exception, match="cannot be read back"):
+        binary.write_files(spark.createDataFrame([(b"k", "string", None, b"x" * 100)], df.schema), f"file://{tmp_path}/bad")
