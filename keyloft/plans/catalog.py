@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import functions as F
 
 from keyloft import functions as fn
 from keyloft.operators import hashes, keyspace, lists, sets, zsets
-from keyloft.plans import replay
-from keyloft.plans.tables import command_log, customer_strings, multi_key_log, order_lists, part_scores, set_log, table
+from keyloft.plans import replay, session
+from keyloft.plans.tables import command_log, customer_strings, list_log, mixed_log, multi_key_log, order_lists, part_scores, set_log, table, wide_set_log
 from keyloft.sources import binary, snapshot, wire
 
 QUERIES: dict = {}
@@ -36,13 +38,23 @@ def oracle_sql() -> dict[str, str]:
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or a local folder where the session runs on one machine and has none."""
-    found = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under spark.checkpoint.dir, or a local one where the session runs on one machine and has none; it goes when the driver's Python ends."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if found is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='keyloft-')}"
-    return found
+    folder = f"{found}/keyloft-{uuid.uuid4().hex}"
+
+    def leave() -> None:
+        with suppress(Exception):  # the session may be gone, and what is left is only disk
+            if sc._jsc is not None:
+                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(leave)
+    return folder
 
 
 # -- keys and strings ---------------------------------------------------------
@@ -154,6 +166,14 @@ def hset_upsert(spark, sf_dir):
     return hashes.hset(e.select("key", "field", "value").limit(0), e)
 
 
+@query("select 'u' || user_id as key, event_type as field, arg_max(props, event_id) as value from events group by 1, 2")
+def hset_existing(spark, sf_dir):
+    """Writes over maps that the first 500 events made: the last write of a field wins."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("key"), F.col("event_type").alias("field"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
+    old = hashes.hset(e.select("key", "field", "value").limit(0), e.where("seq < 500"))
+    return hashes.hset(old, e.where("seq >= 500"))
+
+
 @query("""select key, case when count(*) >= 512 or max(greatest(strlen(field), strlen(value))) > 64 then 'table' else 'small' end as encoding from (
 select 'u' || user_id as key, 'e' || event_id as field, props as value from events union all select event_type, 'e' || event_id, props from events) group by 1""")
 def encoding_of_hash(spark, sf_dir):
@@ -271,7 +291,82 @@ def wire_session(spark, sf_dir):
     """A short session from wire frames to wire replies; line ends are shown as bars."""
     frames = spark.createDataFrame([(i, wire.encode([w.encode() for w in ws])) for i, ws in enumerate(_WORDS)], "seq bigint, frame binary")
     r = replay.replies(replay.from_words(wire.parse_frames(frames)))
-    return r.select("seq", F.regexp_replace(fn.encode_reply(F.col("kind"), F.col("str"), F.col("int")), "\r\n", "|").alias("reply"))
+    return r.select(replay.frame_of(F.col("seq")).alias("seq"), F.regexp_replace(fn.encode_reply(F.col("kind"), F.col("str"), F.col("int")), "\r\n", "|").alias("reply"))
+
+
+_PIPELINED = [(k // 5, k % 5, a) for k, a in enumerate(_ANSWERS)]
+
+
+def _bytes_sql(rows: list[tuple[int, int, bytes]]) -> str:
+    return "select seq::bigint as seq, cmd, reply from (values " + ", ".join(f"({i}, {k}, '{a.hex().upper()}')" for i, k, a in rows) + ") t(seq, cmd, reply)"
+
+
+def _answered(frames, conn=None):
+    r = replay.wire_replies(replay.from_words(wire.parse_frames(frames, conn=conn)))
+    return r.select(replay.frame_of(F.col("seq")).alias("seq"), replay.place_of(F.col("seq")).alias("cmd"), F.hex("reply").alias("reply"))
+
+
+@query(_bytes_sql([(i, k, a.encode()) for i, k, a in _PIPELINED]))
+def wire_pipelined(spark, sf_dir):
+    """The session with five commands to a frame: all of them run. Replies are shown in hexadecimal."""
+    sent = [b"".join(wire.encode([w.encode() for w in ws]) for ws in _WORDS[k : k + 5]) for k in range(0, len(_WORDS), 5)]
+    return _answered(spark.createDataFrame(list(enumerate(sent)), "seq bigint, frame binary"))
+
+
+#: Connection, frame and what it is answered: garbage, lengths that are no numbers, halves of commands, bytes that are no text.
+_RAW = [
+    ("a", b"PING\r\n", [b"-ERR protocol error\r\n"]),
+    ("b", b"*1\r\n$4\r\nPI", []),
+    ("a", b"*2\r\n$3\r\nGET\r\n$x\r\nk\r\n", [b"-ERR protocol error\r\n"]),
+    ("b", b"NG\r\n  *3\r\n$3\r\nSET\r\n$2\r\n\xff\x00\r\n$1\r\n\xfe", [b"+PONG\r\n"]),
+    ("a", b"*1\r\n$4\r\nPING\r\n*1\r\n$-2\r\n*1\r\n$4\r\nPING\r\n", [b"+PONG\r\n", b"-ERR protocol error\r\n"]),
+    ("b", b"\r\n*2\r\n$3\r\nget\r\n$2\r\n\xff\x00\r\n*2\r\n$4\r\nKEYS\r\n$1\r\n*\r\n*", [b"+OK\r\n", b"$1\r\n\xfe\r\n", b"*1\r\n$2\r\n\xff\x00\r\n"]),
+    ("c", b"*1\r\n$4\r\nPINGxx", [b"-ERR protocol error\r\n"]),
+    ("b", b"2\r\n$4\r\nKEYS\r\n$2\r\na*\r\n*2\r\n$3\r\nGET\r\n$-1\r\n", [b"*0\r\n", b"$-1\r\n"]),
+    ("c", b"*1\r\n", []),
+]
+
+
+@query(_bytes_sql([(i, k, a) for i, (_, _, answers) in enumerate(_RAW) for k, a in enumerate(answers)]))
+def wire_errors(spark, sf_dir):
+    """Frames of three connections that hold errors, commands in pieces and any bytes."""
+    return _answered(spark.createDataFrame([(i, c, f) for i, (c, f, _) in enumerate(_RAW)], "seq bigint, conn string, frame binary"), conn="conn")
+
+
+_MIXED = f"""log as (select seq, key, field, value, case when op = 'GET' and seq % 7 = 0 then 'KEYS' when op = 'GET' and seq % 7 = 1 then 'PING' when op = 'GET' and seq % 7 = 2 then 'SAVE'
+  when op = 'GET' and seq % 7 = 3 then 'bad' else op end as op from ({_LOG}))"""
+_MIXED_REPLIES = f"""with {_HISTORY.replace(f"log as ({_LOG})", _MIXED)}
+select seq,
+  case when op in ('SET', 'PING', 'SAVE') then 'simple' when op = 'bad' then 'error' when op = 'DEL' then 'integer' when op = 'HSET' then case when reset = 'SET' then 'error' else 'integer' end else 'bulk' end as kind,
+  case when op in ('SET', 'SAVE') then 'OK' when op = 'PING' then 'PONG' when op = 'bad' then 'wrong number of arguments for ''HSET''' when op = 'HSET' and reset = 'SET' then '{replay.WRONG_TYPE}'
+       when op = 'GET' and reset = 'SET' then text when op = 'HGET' and reset is distinct from 'SET' then mapped end as str,
+  case when op = 'DEL' then existed::bigint when op = 'HSET' and reset is distinct from 'SET' then 1::bigint end as "int"
+from h where op <> 'KEYS'"""
+_KEY_ARRAYS = f"""with {_LIVES}, q as (select event_id as seq from events where event_type = 'purchase' and event_id % 7 = 0),
+found as (select q.seq, count(*) as n, string_agg(key, ',' order by key) as items from q join lives on born < q.seq and (gone is null or gone >= q.seq) where q.seq % 2 = 0 group by q.seq)
+select q.seq, 'array' as kind, coalesce(n, 0)::bigint as "int", coalesce(items, '') as items from q left join found using (seq)"""
+
+
+@query(_KEY_ARRAYS)
+def replay_keys(spark, sf_dir):
+    """The arrays that answer KEYS in a log, all keys in byte order."""
+    r = replay.all_replies(mixed_log(table(spark, sf_dir, "events"))).where("kind = 'array'")
+    return r.select("seq", "kind", "int", F.array_join("items", ",").alias("items"))
+
+
+@query(_MIXED_REPLIES)
+def replay_mixed(spark, sf_dir):
+    """Replies of a log that also has PING, SAVE and commands that cannot run."""
+    return replay.replies(mixed_log(table(spark, sf_dir, "events")))
+
+
+@query(_REPLIES + " where seq > 600")
+def session_restart(spark, sf_dir):
+    """The log with a SAVE and a new start after its 600th command: what follows is answered as if nothing had happened."""
+    path, log = shared_folder(spark), command_log(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+    save = spark.sql("select 601L as seq, 0 as pos, 'SAVE' as op, cast(null as string) as key, cast(null as string) as field, cast(null as string) as value, cast(null as string) as error")
+    session.run(log.where("seq <= 600").unionByName(save), path)
+    return session.run(log.where("seq > 600"), path).select("seq", "kind", "str", "int")
 
 
 @query("select event_id as seq, ':' || (event_id * 3) || '|$' || strlen(event_type) || '|' || event_type || '|+' || event_type || '|-ERR ' || event_type || '|*1|$' || strlen(event_type) || '|' || event_type || '|' as reply from events")
@@ -313,6 +408,21 @@ def zrank_of(spark, sf_dir):
     return zsets.rank_of(_scores(spark, sf_dir), wanted)
 
 
+@query("""with w as (select p_brand as key, case when p_size % 5 = 0 then 'none' else p_partkey::varchar end as member from part)
+select distinct w.key, w.member, score from w left join (select p_brand as key, p_partkey::varchar as member, p_retailprice as score from part) s on s.key = w.key and s.member = w.member""")
+def zscore_all(spark, sf_dir):
+    """Scores of every part in its brand, and of members that are not there."""
+    wanted = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.when(F.col("p_size") % 5 == 0, "none").otherwise(F.col("p_partkey").cast("string")).alias("member")).distinct()
+    return zsets.score(_scores(spark, sf_dir), wanted).select("key", "member", "score")
+
+
+@query(f"""select key, member, rank from (select key, member, (row_number() over (partition by key order by score, member) - 1)::bigint as rank from {_SCORES})
+where member in (select p_partkey::varchar from part where p_size > 25)""")
+def zrank_of_many(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_brand").alias("key"), F.col("p_partkey").cast("string").alias("member"))
+    return zsets.rank_of(_scores(spark, sf_dir), wanted.union(spark.sql("select 'none' as key, '1' as member")))
+
+
 @query(f"select key, member, score from {_SCORES} where score between 950 and 1050.5")
 def zrange_by_score(spark, sf_dir):
     return zsets.range_by_score(_scores(spark, sf_dir), 950, 1050.5)
@@ -370,14 +480,52 @@ def smembers(spark, sf_dir):
     return sets.canonical(a.union(b))
 
 
+#: Integer sets for parts of customers, texts for others; what is asked is spelled in other ways.
+_INTS = "(select distinct c_nationkey as key, case when c_nationkey % 4 = 0 then 'x' else '' end || (c_custkey % 50) as member from customer)"
+_ASKED = "(select distinct c_nationkey as key, case when c_custkey % 3 = 0 then '0' when c_custkey % 3 = 1 then '+' else 'y' end || (c_custkey % 60) as member from customer where c_custkey % 2 = 0)"
+_ASKED_ID = f"(select distinct key, member, case when key % 4 = 0 then member when regexp_full_match(member, '[+-]?[0-9]+') then (member::bigint)::varchar end as id from {_ASKED})"
+
+
+def _int_sets(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_nationkey").alias("key"), F.concat(F.when(F.col("c_nationkey") % 4 == 0, "x").otherwise(""), F.col("c_custkey") % 50).alias("member")).distinct()
+
+
+def _asked(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    n = F.col("c_custkey") % 3
+    return c.select(F.col("c_nationkey").alias("key"), F.concat(F.when(n == 0, "0").when(n == 1, "+").otherwise("y"), F.col("c_custkey") % 60).alias("member")).distinct()
+
+
+@query(f"""select key, member from {_INTS} union select key, member from {_ASKED_ID} where key % 4 = 0 union select key, id from {_ASKED_ID} where key % 4 <> 0 and id is not null
+union select key, member from {_ASKED_ID} where id is null""")
+def sadd_int(spark, sf_dir):
+    """Adds to integer sets and to others: integers, which count by value, before texts, which promote their set."""
+    return sets.add(_int_sets(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(f"select a.key, a.member, i.member is not null as found from {_ASKED_ID} a left join {_INTS} i on i.key = a.key and i.member = a.id")
+def sismember_int(spark, sf_dir):
+    return sets.contains(_int_sets(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(f"select i.key, i.member from {_INTS} i where not exists (select 1 from {_ASKED_ID} a where a.key = i.key and a.id = i.member)")
+def srem_int(spark, sf_dir):
+    return sets.remove(_int_sets(spark, sf_dir), _asked(spark, sf_dir))
+
+
 _SET_LOG = """select event_id as seq, 's' || (user_id % 50) as key,
   case when event_type in ('signup', 'view', 'purchase') then 'ADD' when event_type = 'error' then 'REM' else 'HAS' end as op,
   case when event_id % 97 = 0 then 'x' || ((event_id * 31) % 17) when event_id % 5 = 0 then '0' || ((event_id * 31) % 17)
        when event_id % 7 = 0 then '+' || ((event_id * 31) % 17) else ((event_id * 31) % 17)::varchar end as member from events"""
 
 
-def _set_sql(limit: int) -> str:
-    return f"""with log as (select *, case when regexp_full_match(member, '[+-]?[0-9]+') then member::bigint end as num from ({_SET_LOG})),
+_WIDE_LOG = """select event_id as seq, 'w' || (event_id % 3) as key, case when event_id % 10 = 3 then 'REM' when event_id % 10 = 6 then 'HAS' else 'ADD' end as op,
+  case when event_id % 5 = 0 then '0' when event_id % 7 = 0 then '+' else '' end || ((event_id * 31) % 700) as member from events"""
+
+
+def _set_sql(limit: int, source: str = _SET_LOG) -> str:
+    return f"""with log as (select *, case when regexp_full_match(member, '[+-]?[0-9]+') then member::bigint end as num from ({source})),
 raw as (select key, min(seq) as s from log where op = 'ADD' and num is null group by key),
 i as (select *, coalesce(arg_max(op, case when op <> 'HAS' then seq end) over (partition by key, num order by seq rows between unbounded preceding and 1 preceding) = 'ADD', false) as there from log where num is not null),
 n as (select *, coalesce(sum(case when op = 'ADD' and not there then 1 when op = 'REM' and there then -1 else 0 end) over (partition by key order by seq rows between unbounded preceding and 1 preceding), 0) as n from i),
@@ -398,6 +546,12 @@ def set_replay_members(spark, sf_dir):
     return sets.final_members(set_log(spark, sf_dir))
 
 
+@query(_set_sql(512, _WIDE_LOG) + "select seq, key, op, member, id, case when op = 'ADD' then (not there)::bigint else there::bigint end as reply from r")
+def set_replay_512(spark, sf_dir):
+    """Sets that pass the limit of 512 integers."""
+    return sets.replay(wide_set_log(spark, sf_dir))
+
+
 @query(f"select key, sum(strlen(member))::bigint as bytes from {_MEMBERS} m group by key")
 def memory_set(spark, sf_dir):
     return sets.memory_usage(_members(spark, sf_dir))
@@ -429,6 +583,22 @@ def rpush_existing(spark, sf_dir):
     return lists.append(items, items.where("pos = 0").select("key", F.lit("end").alias("value")), "value")
 
 
+@query(f"""select key, (row_number() over (partition by key order by part, place) - 1)::bigint as pos, value from (
+select key, 1 as part, pos as place, value from {_BACK} union all select c_custkey, 0, -n, 'front' || n from customer, (values (1), (2)) v(n) where c_custkey in (select o_custkey from orders))""")
+def lpush_existing(spark, sf_dir):
+    """Two values put in front of every list, one after the other."""
+    items = _items(spark, sf_dir)
+    writes = items.select("key").distinct().select("key", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).select("key", "n", F.concat(F.lit("front"), "n").alias("value"))
+    return lists.prepend(items, writes, "n")
+
+
+@query(f"select k.key, count(b.key) as length from (select distinct o_custkey as key from orders) k left join (select * from {_BACK} where pos >= 12) b on b.key = k.key group by k.key")
+def llen_emptied(spark, sf_dir):
+    """Lengths after a trim that empties short lists: they stay, with length 0."""
+    items = _items(spark, sf_dir)
+    return lists.length(lists.trim(items, 12, -1), items.select("key"))
+
+
 @query(f"select key, value from {_BACK} where pos = n - 2")
 def lindex(spark, sf_dir):
     return lists.index(_items(spark, sf_dir), -2)
@@ -504,14 +674,32 @@ def encoding_of_list(spark, sf_dir):
     return lists.encoding(_items(spark, sf_dir))
 
 
-@query()
+_FOLD = """with recursive log as (select 'l' || user_id as key, row_number() over (partition by user_id order by event_id) as rn, event_id % 11 as k,
+  'v' || (event_id % 7) as v, 'n' || (event_id % 5) as arg, case when event_id % 11 = 5 then 1 - event_id % 2 else event_id % 5 - 2 end as a, -1 - event_id % 3 as b from events),
+folded(key, rn, x) as (select distinct key, 0::bigint, []::varchar[] from log
+union all select s.key, l.rn, case
+  when k < 4 then list_append(x, v) when k = 4 then list_prepend(v, x)
+  when k = 5 then x[(a + 1):(len(x) + b + 1)]
+  when k = 6 then x[2:] when k = 7 then x[:(len(x) - 1)]
+  when k = 8 then [x[i] for i in range(1, len(x) + 1) if x[i] <> v or a > 0 and len([j for j in range(1, i + 1) if x[j] = v]) > a or a < 0 and len([j for j in range(i, len(x) + 1) if x[j] = v]) > -a]
+  when not list_contains(x, v) then x
+  when k = 9 then x[:(list_position(x, v) - 1)] || [arg] || x[list_position(x, v):]
+  else x[:list_position(x, v)] || [arg] || x[(list_position(x, v) + 1):] end
+from folded s join log l on l.key = s.key and l.rn = s.rn + 1),
+done as (select key, arg_max(x, rn) as x from folded group by key)
+"""
+
+
+@query(_FOLD + "select key, unnest(range(0, len(x))) as pos, unnest(x) as value from done")
 def lpop_rpop_fold(spark, sf_dir):
-    """A log of mixed list operations, folded for each key; tests compare it with a sequential interpreter."""
-    e = table(spark, sf_dir, "events")
-    k = F.col("event_id") % 11
-    op = F.when(k < 4, "RPUSH").when(k < 6, "LPUSH").when(k == 6, "LPOP").when(k == 7, "RPOP").when(k == 8, "LREM").when(k == 9, "LINSERT_BEFORE").otherwise("LINSERT_AFTER")
-    log = e.select(F.concat(F.lit("l"), F.col("user_id")).alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("v"), F.col("event_id") % 7).alias("value"), F.concat(F.lit("n"), F.col("event_id") % 5).alias("arg"), (F.col("event_id") % 5 - 2).alias("a"), F.lit(0).cast("bigint").alias("b"))
-    return lists.fold(log)
+    """A log of mixed list operations, folded for each key."""
+    return lists.fold(list_log(spark, sf_dir))
+
+
+@query(_FOLD + "select key, len(x)::bigint as length from done")
+def fold_lengths(spark, sf_dir):
+    """Lengths after that log, also of lists that it emptied."""
+    return lists.fold_lengths(list_log(spark, sf_dir))
 
 
 # -- snapshots, streams -------------------------------------------------------
@@ -519,7 +707,7 @@ def lpop_rpop_fold(spark, sf_dir):
 
 @query(f"with {_STATE} select key, type, field, value from state")
 def snapshot_roundtrip(spark, sf_dir):
-    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     snapshot.save(replay.state(command_log(spark, sf_dir)), path)
     return snapshot.load(spark, path, "key string, type string, field string, value string")
 
@@ -533,9 +721,37 @@ def binary_snapshot(spark, sf_dir):
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
 
 
+@query(f"with {_STATE} select key, type, field, value from state")
+def binary_files(spark, sf_dir):
+    """The state of the log in compact files, written and read in parallel."""
+    path = shared_folder(spark)
+    binary.write_files(replay.state(command_log(spark, sf_dir)), path, size=200)
+    df = binary.read_files(spark, path)
+    return df.select(*[F.col(c).cast("string").alias(c) for c in ("key", "type", "field", "value")])
+
+
+@query(_MIXED_REPLIES)
+def stream_mixed(spark, sf_dir):
+    """The log of replay_mixed as a stream."""
+    from keyloft.streaming.replay import whole_replies
+    from keyloft.streaming.runner import run_parts
+
+    return whole_replies(run_parts(spark, sf_dir, shared_folder(spark), "events.parquet", mixed_log))
+
+
+@query(_KEY_ARRAYS)
+def stream_keys(spark, sf_dir):
+    """The arrays of replay_keys, from a stream's parts."""
+    from keyloft.streaming.replay import key_replies
+    from keyloft.streaming.runner import run_parts
+
+    r = key_replies(run_parts(spark, sf_dir, shared_folder(spark), "events.parquet", mixed_log))
+    return r.select("seq", "kind", "int", F.array_join("items", ",").alias("items"))
+
+
 @query(_REPLIES)
 def stream_replay(spark, sf_dir):
     """The log of replay_replies as a stream with state for each key; the replies are the same."""
     from keyloft.streaming.runner import run_log
 
-    return run_log(spark, sf_dir, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return run_log(spark, sf_dir, shared_folder(spark))
