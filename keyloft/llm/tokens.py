@@ -4,6 +4,8 @@ Both vocabularies used here treat words on their own, which gives safe boundarie
 
 * sentencepiece BPE with a white-space prefix: no piece holds the prefix sign after
   another character, so no merge crosses the place before a space;
+* in the same model, no merge crosses two neighbouring characters that stand together in no piece, so a
+  long chunk without spaces is cut between such;
 * word-level BPE: white space is dropped and splits pre-tokens, so any space is one.
 
 Texts are cut at those places, chunks not seen before are encoded in one batch, and
@@ -33,6 +35,8 @@ BATCH_BYTES = 4 << 20
 MEMORY = 700_000
 #: Longer chunks are encoded but not remembered.
 LONG = 64
+#: Characters of a chunk from which on it is cut between characters that no piece joins.
+SPLIT = 1 << 16
 
 _PIECES = re.compile(r" *[^ ]+| +")
 
@@ -46,6 +50,12 @@ class PieceCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.starts = np.array([self.model.id_to_piece(i).startswith("▁") for i in range(self.model.get_piece_size())])
         self.known: dict[str, int] = {"": 1}  # what is left of one space at the end of a text
+        m = self.model
+        pieces = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
+        self.pairs = {pair for p in pieces for pair in zip(p, p[1:])}
+        if any("\n" in pair for pair in self.pairs):
+            raise ValueError("this model joins line ends with other characters")
+        self.alone = self.whole("\n")
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -63,10 +73,25 @@ class PieceCounter:
     def whole(self, text: str) -> int:
         return len(self.model.encode(text, num_threads=1))
 
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk cut, from every SPLIT characters on, at the first place that no piece crosses."""
+        marked, out, start, at = chunk.replace(" ", "▁"), [], 0, SPLIT
+        while at < len(chunk):
+            while at < len(chunk) and (marked[at - 1], marked[at]) in self.pairs:
+                at += 1
+            out.append(chunk[start:at])
+            start, at = at, at + SPLIT
+        return [*out, chunk[start:]] if start < len(chunk) else out
+
+    def of_long(self, chunk: str) -> int:
+        """The count of a long chunk; parts after the first are encoded behind a line end, which joins nothing and whose own count is taken off."""
+        first, *rest = self.parts(chunk)
+        return self.whole(first) + sum(self.whole("\n" + p) - self.alone for p in rest)
+
     def batch(self, chunks: list[str]) -> list[int]:
         """Counts of many chunks: those without spaces are encoded as one text and told apart by the pieces that begin with the sign of a space."""
-        plain = [c for c in chunks if " " not in c]
-        out = {c: self.whole(c) for c in chunks if " " in c}
+        plain = [c for c in chunks if " " not in c and len(c) <= SPLIT]
+        out = {c: self.of_long(c) if len(c) > SPLIT else self.whole(c) for c in chunks if " " in c or len(c) > SPLIT}
         if plain:
             at = np.flatnonzero(self.starts[ids := np.array(self.model.encode(" ".join(plain), num_threads=1))])
             out.update(zip(plain, np.diff(at, append=len(ids)).tolist()))
@@ -74,18 +99,18 @@ class PieceCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         known, out = self.known, []
-        cut = [None if "▁" in t else self.chunks(t) for t in texts]
-        new = list(dict.fromkeys(c for parts in cut if parts is not None for c in parts if c not in known))
+        cut = [self.chunks(t.replace("▁", " ")) for t in texts]  # the model knows a space by this sign
+        new = list(dict.fromkeys(c for parts in cut for c in parts if c not in known))
         if len(known) + len(new) > MEMORY:
             known.clear()
             known[""] = 1
-            new = list(dict.fromkeys(c for parts in cut if parts is not None for c in parts if c))
+            new = list(dict.fromkeys(c for parts in cut for c in parts if c))
         late = {}
         for c, n in zip(new, self.batch(new)):
             (known if len(c) <= LONG else late)[c] = n
         for text, parts in zip(texts, cut):
-            if parts is None:
-                out.append(self.whole(text))
+            if not text:
+                out.append(0)
             elif late:
                 out.append(sum(late[c] if c in late else known[c] for c in parts))
             else:

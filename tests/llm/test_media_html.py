@@ -120,6 +120,85 @@ def test_media_columns_on_edges(spark, edges, none):
     assert all(r["thumbnail_hash"] in rows[str(r["doc_id"])]["feature"] for r in seen if r["doc_id"] not in (98, 99))
 
 
+def plain_decode(data):
+    """The coefficients of a one-component baseline file, bit by bit: markers, tables and restarts read afresh, in natural order by block."""
+    at, tables, interval, quantised = 2, {}, 0, None
+    while True:
+        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xC0:
+            high, wide = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            assert body[0] == 8 and body[5] == 1 and body[7] == 0x11
+        elif marker == 0xC4:
+            while body:
+                counts, code, k, found = body[1:17], 0, 17, {}
+                for length, n in enumerate(counts, 1):
+                    for _ in range(n):
+                        found[length, code] = body[k]
+                        code, k = code + 1, k + 1
+                    code <<= 1
+                tables[body[0]], body = found, body[k:]
+        elif marker == 0xDD:
+            interval = int.from_bytes(body, "big")
+        elif marker == 0xDB:
+            quantised = body
+        elif marker == 0xDA:
+            break
+    assert quantised is not None and data[-2:] == b"\xff\xd9"
+    order = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[1] if sum(x) % 2 == 0 else x[0]))
+    blocks, total = [], -(-high // 8) * -(-wide // 8)
+    for scan in re.split(rb"\xff[\xd0-\xd7]", data[at:-2]):
+        bits = "".join(f"{b:08b}" for b in scan.replace(b"\xff\x00", b"\xff"))
+        k, before = 0, 0
+
+        def symbol(table):
+            nonlocal k
+            for length in range(1, 17):
+                found = table.get((length, int(bits[k : k + length], 2)))
+                if found is not None:
+                    k += length
+                    return found
+            raise AssertionError
+
+        def value(n):
+            nonlocal k
+            k += n
+            x = int(bits[k - n : k] or "0", 2)
+            return x if not n or x >> n - 1 else x - (1 << n) + 1
+
+        for _ in range(min(interval or total, total - len(blocks))):
+            block = [0] * 64
+            before += value(symbol(tables[0x00]))
+            block[0], i = before, 1
+            while i < 64:
+                run, size = divmod(symbol(tables[0x10]), 16)
+                if not size and run != 15:
+                    break
+                i += run
+                if size:
+                    r, c = order[i]
+                    block[8 * r + c] = value(size)
+                i += 1
+            blocks.append(block)
+    assert len(blocks) == total
+    return np.array(blocks), high, wide
+
+
+def test_files_are_read_by_an_independent_decoder():
+    rng = np.random.default_rng(9)
+    for text in (b"", b"hello", "é日本".encode() * 70, rng.integers(0, 256, 2500, dtype=np.uint8).tobytes(), b"\xff" * 1200):
+        payload = jpeg.padded(text)
+        (data,) = jpeg.encode([payload])
+        blocks, high, wide = plain_decode(data)
+        (image,) = jpeg.decode([data])
+        order = [8 * r + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[1] if sum(x) % 2 == 0 else x[0]))]
+        scanned = blocks[:, order]  # decode gives coefficients in the order of the scan
+        assert (image.coefficients[0].reshape(-1, 64) == scanned).all() and (image.height, image.width) == (high, wide)
+        # a coefficient below zero is its byte less 255, one above is the byte
+        assert np.where(scanned < 0, scanned + 255, scanned).astype(np.uint8).reshape(-1).tobytes()[: len(payload)] == payload
+
+
 def test_thumbnail_columns_are_replaced(spark):
     media = spark.createDataFrame([(1, jpeg.encode([jpeg.padded(b"x")])[0], 7, "own")], "doc_id bigint, media binary, Width int, thumbnail_hash string")
     got = jpeg.thumbnails(media)
@@ -229,3 +308,110 @@ def test_both_passes_decide_blocks_of_the_pages(spark):
         first_pass(found)
         labels |= {b.label for b in found}
     assert {"good", "bad", "short", "near"} <= labels
+
+
+def plain_blocks(page):
+    """Text, characters in links and section of each block by Python's own HTML parser; for pages that are well nested but for open p and li."""
+    from html.parser import HTMLParser
+
+    from keyloft.llm.html import INLINE, RAW, VOID
+
+    out, text, linked, open_, skip = [], [], [], [], 0
+
+    def flush():
+        joined = " ".join("".join(text).split())
+        if joined:
+            out.append((joined, len(" ".join("".join(linked).split()))))
+        text.clear()
+        linked.clear()
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            nonlocal skip
+            if tag in RAW:
+                skip += 1
+            elif tag not in INLINE:
+                flush()
+            elif tag == "br":
+                text.append(" ")
+            if tag == "a":
+                open_.append(tag)
+
+        def handle_endtag(self, tag):
+            nonlocal skip
+            if tag in RAW:
+                skip -= 1
+            elif tag not in INLINE and tag not in VOID:
+                flush()
+            if tag == "a" and open_:
+                open_.pop()
+
+        def handle_data(self, data):
+            if not skip:
+                text.append(data)
+                if open_:
+                    linked.append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    flush()
+    return out
+
+
+def plain_second_pass(found):
+    """Labels of open blocks by looking at every other block."""
+    out = []
+    for k, b in enumerate(found):
+        if b.label in ("good", "bad"):
+            out.append(b.label == "good")
+            continue
+        decided = [j for j, c in enumerate(found) if c.label in ("good", "bad")]
+        heads = [j for j, c in enumerate(found) if c.heading and j <= k]
+
+        def sides(same):
+            mine = [j for j in decided if not same or found[j].section == b.section]
+            top = max([j for j in heads if not same or found[j].section == b.section], default=-1)
+            return max([j for j in mine if j < k and j >= top], default=None), min([j for j in mine if j > k], default=None)
+
+        before, after = sides(True)
+        if before is None and after is None:
+            if b.main and not b.boiler:
+                out.append(True)
+                continue
+            before, after = sides(False)
+        if before is None and after is None:
+            before = max(j for j in decided if j < k)
+        left, right = (None if j is None else found[j].label == "good" for j in (before, after))
+        if b.heading and right is not None:
+            out.append(right)
+        elif left is None or right is None:
+            out.append(right if left is None else left)
+        elif left == right:
+            out.append(left)
+        elif b.label == "short" and k - before != after - k:
+            out.append(left if k - before < after - k else right)
+        else:
+            out.append(b.label != "short")
+    return out
+
+
+def test_blocks_equal_those_of_another_parser(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert [(b.text, b.links) for b in blocks(r["html"])] == plain_blocks(r["html"])
+
+
+def test_second_pass_equals_a_search_of_all_blocks():
+    import random
+
+    from keyloft.llm.html import Block
+
+    rnd = random.Random(2)
+    for _ in range(500):
+        found = []
+        for _ in range(rnd.randint(1, 14)):
+            b = Block("x", 0, False, rnd.random() < 0.3, rnd.choice(["", "", "", "h2"]), rnd.randint(0, 2))
+            b.label = rnd.choice(["good", "bad", "short", "near", "linked"])
+            found.append(b)
+        if any(b.label == "good" for b in found):
+            assert second_pass(found) == plain_second_pass(found)

@@ -171,3 +171,22 @@ def test_place_columns_are_replaced_and_saved_tables_go(spark):
         there = lambda t: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(t.path))
         assert not there(inner) and there(outer)
     assert not there(outer)
+
+
+def test_long_texts_without_spaces_are_cut_where_no_piece_crosses(monkeypatch):
+    """Counts equal those of the whole text, whatever is cut: scripts without spaces, signs of spaces, special strings."""
+    import public_tokenizers as P
+
+    from keyloft.llm import tokens
+
+    c = tokens.PieceCounter(P.path("piece_bpe_32k.model"))
+    rnd = random.Random(7)
+    signs = ["a", "the", "in", "é", "日", "本", "▁", " ", "  ", "\n", "\t", "ing", "<s>", "<0x41>", "🙂", "\u0301", "0", "ион", "\x00", "</s>"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 80))) for _ in range(300)] + ["日本語" * 2000, "x" * 30_000, "ab\n" * 5000, "▁" * 50, ""]
+    for split in (1, 5, 64):
+        monkeypatch.setattr(tokens, "SPLIT", split)
+        c.known.clear()
+        c.known[""] = 1
+        assert c.counts(texts) == [c.whole(t) for t in texts]
+    monkeypatch.setattr(tokens, "SPLIT", 100)
+    assert max(map(len, c.parts("日本語" * 2000))) < 110 and "".join(c.parts("日本語" * 2000)) == "日本語" * 2000
