@@ -557,6 +557,11 @@ def memory_set(spark, sf_dir):
     return sets.memory_usage(_members(spark, sf_dir))
 
 
+@query(f"select key, case when key % 4 = 0 then sum(strlen(member)) else 8 * count(*) end::bigint as bytes from {_INTS} group by key")
+def memory_set_int(spark, sf_dir):
+    return sets.memory_usage(_int_sets(spark, sf_dir))
+
+
 # -- lists --------------------------------------------------------------------
 
 _BACK = "(select o_custkey as key, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as pos, o_orderpriority as value, count(*) over (partition by o_custkey) as n from orders)"
@@ -664,6 +669,16 @@ def lpop(spark, sf_dir):
     return lists.pop(_items(spark, sf_dir), front=True)[1]
 
 
+@query(f"select key, value from {_BACK} where pos = n - 1")
+def rpop(spark, sf_dir):
+    return lists.pop(_items(spark, sf_dir), front=False)[1]
+
+
+@query(f"select key, (pos - 1)::bigint as pos, value from {_BACK} where pos > 0")
+def lpop_rest(spark, sf_dir):
+    return lists.pop(_items(spark, sf_dir), front=True)[0]
+
+
 @query(f"select key, pos::bigint as pos, value from {_BACK} where pos < n - 1")
 def rpop_rest(spark, sf_dir):
     return lists.pop(_items(spark, sf_dir), front=False)[0]
@@ -679,7 +694,7 @@ _FOLD = """with recursive log as (select 'l' || user_id as key, row_number() ove
 folded(key, rn, x) as (select distinct key, 0::bigint, []::varchar[] from log
 union all select s.key, l.rn, case
   when k < 4 then list_append(x, v) when k = 4 then list_prepend(v, x)
-  when k = 5 then x[(a + 1):(len(x) + b + 1)]
+  when k = 5 then case when len(x) + b < 0 then [] else x[(a + 1):(len(x) + b + 1)] end
   when k = 6 then x[2:] when k = 7 then x[:(len(x) - 1)]
   when k = 8 then [x[i] for i in range(1, len(x) + 1) if x[i] <> v or a > 0 and len([j for j in range(1, i + 1) if x[j] = v]) > a or a < 0 and len([j for j in range(i, len(x) + 1) if x[j] = v]) > -a]
   when not list_contains(x, v) then x
