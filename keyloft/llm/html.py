@@ -68,10 +68,18 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 class Block:
-    __slots__ = ("text", "links", "boiler", "main", "heading", "section", "label")
+    __slots__ = ("text", "links", "boiler", "main", "heading", "section", "label", "_stops")
 
     def __init__(self, text: str, links: int, boiler: bool, main: bool, heading: str, section: int):
         self.text, self.links, self.boiler, self.main, self.heading, self.section, self.label = text, links, boiler, main, heading, section, ""
+        self._stops = -1.0
+
+    @property
+    def stops(self) -> float:
+        """The share of its words that are stop words, counted when first asked for."""
+        if self._stops < 0:
+            self._stops = _stop_density(self.text)
+        return self._stops
 
 
 def _is_boiler(token: str) -> bool:
@@ -186,13 +194,13 @@ def carries(found: list[Block]) -> bool:
 def known_language(found: list[Block]) -> bool:
     """Whether the stop words are those of the page: a tenth at least of its longer text without links has them."""
     longer = [b for b in found if not b.boiler and not b.links and len(b.text) >= SHORT]
-    return sum(len(b.text) for b in longer if _stop_density(b.text) >= SPARSE) >= 0.1 * sum(len(b.text) for b in longer)
+    return sum(len(b.text) for b in longer if b.stops >= SPARSE) >= 0.1 * sum(len(b.text) for b in longer)
 
 
 def first_pass(found: list[Block]) -> None:
     """Labels each block good or bad, or leaves it open: near (almost good), short, or linked (a link in the main text)."""
     carried = carries(found)
-    dense, sparse = (DENSE, SPARSE) if known_language(found) else (0.0, 0.0)
+    dense, sparse = (DENSE, SPARSE) if carried or known_language(found) else (0.0, 0.0)  # not asked where a container carries the page
     for b in found:
         n, inside = len(b.text), b.main and carried
         if b.boiler:
@@ -200,14 +208,13 @@ def first_pass(found: list[Block]) -> None:
         elif b.links > LINKS * n:
             b.label = "linked" if inside else "bad"
         elif inside:
-            b.label = "short" if n < MAIN_SHORT else "good" if _stop_density(b.text) >= MAIN_DENSE else "near"
+            b.label = "short" if n < MAIN_SHORT else "good" if b.stops >= MAIN_DENSE else "near"
         elif carried:
-            b.label = "good" if n >= LONG and not b.links and _stop_density(b.text) >= OUTER_DENSE else "bad"
+            b.label = "good" if n >= LONG and not b.links and b.stops >= OUTER_DENSE else "bad"
         elif n < SHORT:
             b.label = "bad" if b.links else "short"
         else:
-            stops = _stop_density(b.text)
-            b.label = "good" if stops >= dense else "near" if stops >= sparse else "bad"
+            b.label = "good" if b.stops >= dense else "near" if b.stops >= sparse else "bad"
     start = 0
     for k, b in enumerate([*found, None]):
         if b is None or b.label != "linked" or b.section != found[start].section:
@@ -218,8 +225,8 @@ def first_pass(found: list[Block]) -> None:
 
 
 def _stop_density(text: str) -> float:
-    words = [w.lower() for w in _WORDS.findall(text)]
-    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    words = _WORDS.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
 
 
 def _decided(found: list[Block], by_section: bool) -> tuple[list[int], list[int]]:
