@@ -313,7 +313,7 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = A
     sizes = {r["many"]: r["count"] for r in told.groupBy("many").count().collect()}  # at most three rows
     parts = [told.where(F.col("many") == k).orderBy(F.xxhash64("node", F.lit(11)), "node").limit(sample) for k in sorted(sizes)]
     if not parts:
-        return None
+        return 1.0  # no vector can link
     chosen = reduce(DataFrame.union, parts).toArrow()  # at most three times `sample` vectors
     known = nodes.sparkSession.sparkContext.broadcast(chosen)
 
