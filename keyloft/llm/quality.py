@@ -10,6 +10,7 @@ features, which a worker remembers; integer sums make a score independent of bat
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +39,8 @@ CHUNK = 1 << 18
 #: Words a worker remembers, and the longest of them; on overflow it forgets all and starts anew.
 MEMORY, LONG = 300_000, 64
 SCALE = 1 << 12
+#: Bits of the number of features of a word of at most LONG characters.
+COUNT_BITS = 12
 BEGIN, END = "\x02", "\x03"
 _SPACE = re.compile(rb"[\x09-\x0d ]")
 
@@ -127,7 +130,7 @@ class Model:
 
     table: np.ndarray
     bias: float
-    known: dict[str, tuple[int, int]] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)  # sum and number of the features of a word, in one integer
 
     def __getstate__(self):
         return {"table": self.table, "bias": self.bias, "known": {}}
@@ -146,31 +149,31 @@ class Model:
             words = piece.decode("utf-8", "replace").split()
             if not words:
                 continue
-            known = self.values(words)
-            found = np.array([known[w] for w in words], np.int64)
-            total, count = total + int(found[:, 0].sum()), count + int(found[:, 1].sum())
             again += (last == words[0]) + sum(map(str.__eq__, words, words[1:]))
             last = words[-1]
+            if max(map(len, words)) > LONG:
+                for w, times in Counter(w for w in words if len(w) > LONG).items():
+                    t, n = self.of_long(w)
+                    total, count = total + t * times, count + n * times
+                words = [w for w in words if len(w) <= LONG]
+            known = self.values(words)
+            found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            total, count = total + int((found >> COUNT_BITS).sum()), count + int((found & ((1 << COUNT_BITS) - 1)).sum())
         return total + again * WORD_WEIGHT * int(self.table[REPEAT]), count + again * WORD_WEIGHT
 
-    def values(self, words: list[str]) -> dict[str, tuple[int, int]]:
-        """Sum and number of the features of each word, at least of these."""
+    def values(self, words: list[str]) -> dict[str, int]:
+        """What is known of each word of at most LONG characters, at least of these."""
         known = self.known
         new = [w for w in set(words) if w not in known]
-        if not new:
-            return known
         if len(known) + len(new) > MEMORY:
             known.clear()
             new = list(set(words))
-        short = [w for w in new if len(w) <= LONG]
-        for at in range(0, len(short), CHUNK // LONG):
-            some = short[at : at + CHUNK // LONG]
+        for at in range(0, len(new), CHUNK // LONG):
+            some = new[at : at + CHUNK // LONG]
             ids, owner = features(some)
-            total = np.bincount(owner, weights=self.table[ids], minlength=len(some)).astype(np.int64).tolist()
-            known.update(zip(some, zip(total, np.bincount(owner, minlength=len(some)).tolist())))
-        if len(short) == len(new):
-            return known
-        return {**{w: known[w] for w in set(words) if len(w) <= LONG}, **{w: self.of_long(w) for w in new if len(w) > LONG}}
+            total = np.bincount(owner, weights=self.table[ids], minlength=len(some)).astype(np.int64)
+            known.update(zip(some, ((total << COUNT_BITS) | np.bincount(owner, minlength=len(some))).tolist()))
+        return known
 
     def of_long(self, word: str) -> tuple[int, int]:
         """Sum and number of the features of a word of any length, in bounded memory."""
