@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from keyloft.llm.common import Saved, save, tidied
 from keyloft.llm.components import components, dealt_anew
+from keyloft.llm.mixing import running
 from keyloft.llm.simhash import forest
 
 THRESHOLD = 0.93
@@ -48,6 +49,19 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("label", "x").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
 
 
+def numbered(nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """Adds least, the smallest vec_id, to nodes, and makes node a name of one vector only; whether that changed any.
+
+    Where vectors that differ share their smallest vec_id, node is the place in the order of it, label and a hash of the vector.
+    The smallest node of a group then still has its smallest vec_id.
+    """
+    own = nodes.withColumn("least", F.col("node"))
+    if own.groupBy("least").count().where(F.col("count") > 1).isEmpty():
+        return own, False
+    order = [F.col("least"), F.col("label"), F.xxhash64("x")]
+    return save(running(own.drop("node"), order, {}).withColumnRenamed("__kl_no", "node"), "numbered"), True
+
+
 def unit(x: pa.Array, size: int) -> np.ndarray:
     """Rows of one length as unit vectors in double precision."""
     m = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
@@ -365,11 +379,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
     Links join vectors of equal, not null label with a cosine of at least the threshold,
     in double precision; n_links counts other vec_ids. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows without label or vec_id, link with nothing: n_links 0, component_id =
-    vec_id. Vectors of different lengths never link. Rows that share a vec_id are one vector, and equal
-    vectors link as copies. An empty table gives none. If none of the vectors that the audit looks at has a link, the recall is not known, and a warning says so.
+    vec_id. Vectors of different lengths never link. Rows equal in vec_id, label and vector are one vector, those that share only
+    a vec_id are vectors of their own, and equal vectors link as copies. An empty table gives none. If none of the vectors that the audit looks at has a link, the recall is not known, and a warning says so.
     """
     with tidied():
-        nodes = save(nodes_of(vectors), "nodes")
+        nodes, renamed = numbered(save(nodes_of(vectors), "nodes"))
         start, seed = None, 5
         trees = trees or trees_for(nodes, threshold, recall)
         for attempt in range(most):
@@ -392,8 +406,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
                 break
         else:
             ends, counts = by_labels(nodes, threshold)
-        info = nodes.select("label", "x", "node", "copies").join(counts, "node", "left").join(ends.select("node", "root"), "node", "left")
-        info = save(info.select(F.col("label").alias("n_label"), F.col("x").alias("n_x"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")), "info", outer=True)
+        tops = ends.select("node", F.col("root").alias("top"))
+        if renamed:
+            tops = tops.join(nodes.select(F.col("node").alias("top"), F.col("least").alias("named")), "top").select("node", F.col("named").alias("top"))
+        info = nodes.select("label", "x", "node", "least", "copies").join(counts, "node", "left").join(tops, "node", "left")
+        info = save(info.select(F.col("label").alias("n_label"), F.col("x").alias("n_x"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("top", "least").alias("component_id")), "info", outer=True)
     v = vectors.select(F.col("vec_id").cast("long"), "label", "embedding")
     out = v.join(info, (F.col("label") == F.col("n_label")) & (F.col("embedding") == F.col("n_x")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")

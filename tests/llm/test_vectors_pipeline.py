@@ -178,6 +178,13 @@ def test_repeated_rows_of_a_vector_are_no_other_vectors(spark):
     assert len(got) == 6 and {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(k, 3, 1) for k in (1, 2, 3, 4)}
 
 
+def test_unlike_vectors_of_one_vec_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [1.0, 0.0], 1), (7, [-1.0, 0.0], 0), (9, [-1.0, 0.0], 0), (9, [0.0, -1.0], 1)]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    expected = [(1, 1, 1, True)] * 3 + [(2, 1, 1, False), (3, 1, 1, False), (4, 1, 1, False), (7, 1, 7, True), (9, 0, 9, True), (9, 1, 7, False)]
+    assert sorted(map(tuple, got)) == expected
+
+
 def test_lists_of_one_node_are_combined_before_the_shuffle():
     found = [(7, np.array([1, 2]), np.array([0.9, 0.8])), (5, np.array([7]), np.array([0.9])), (7, np.array([3, 1]), np.array([0.95, 0.9]))]
     (batch,) = vectors._combined(found, 2)
