@@ -10,12 +10,14 @@ bits and drops pairs over the budget. A subtrie of more than `leaf` fingerprints
 pairs. A task gives a spanning forest of the links it finds, not the links themselves, so a
 dense group costs as many rows as it has members.
 
-Similarity of shingles, not bits, is asked for by `similar_documents`: wider fingerprints of
-distinct shingles, in tries that each begin with some bits of their own.
+Similarity of shingles, not bits, is asked for by `similar_documents`. Sets of a Jaccard similarity
+have a shingle in common among their first ones in any one order of all shingles, so texts meet at those and
+every pair of the similarity is found. Large groups of near copies are joined before that, by wider fingerprints.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloft.llm.common import save, tidied
+from keyloft.llm.common import Saved, save, tidied
 from keyloft.llm.components import components, dealt_anew
 
 BITS = 64
@@ -74,14 +76,22 @@ def sketch(text: bytes | None, words: int, width: int, seed: int = 42) -> bytes:
 
     The further words of 64 bits come from the shingles' hashes by a mixing function of their number.
     """
+    return _sketched(shingles(text, words, seed), width)
+
+
+def shingles(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
+    """The hashes of the distinct shingles of `words` words, sorted; none without words, the whole sequence of fewer words."""
     found = (text or b"").lower().split()
     if not found:
-        return bytes(8 * width)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = (ends - np.fromiter(map(len, found), np.int64, len(found))).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter({digest(joined[a:b], seed) for a, b in zip(starts[: max(1, len(found) - words + 1)], ends[min(words, len(found)) - 1 :].tolist())}, np.uint64)
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: max(1, len(found) - words + 1)], ends[min(words, len(found)) - 1 :].tolist())), np.uint64))
+
+
+def _sketched(hashes: np.ndarray, width: int) -> bytes:
     total = np.zeros((width, BITS), np.int64)
     for at in range(0, len(hashes), 4096):
         for k in range(width):
@@ -221,8 +231,8 @@ def dealt(rows: DataFrame, by: Column, leaf: int) -> DataFrame:
     return each.select(*rows.columns, F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
 
 
-def subtrie_tables(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
-    """The rows again, sorted by (slot, lo, hi), as tables of about `rows` rows that end where a group ends."""
+def subtrie_tables(batches: Iterator[pa.RecordBatch], rows: int = ROWS, keys: tuple[str, ...] = ("slot", "lo", "hi")) -> Iterator[pa.Table]:
+    """The rows again, sorted by the keys, as tables of about `rows` rows that end where a group ends."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -232,8 +242,8 @@ def subtrie_tables(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Itera
         size += batch.num_rows
         if size < rows:
             continue
-        k = [batch.column(c).to_numpy() for c in ("slot", "lo", "hi")]
-        last = np.flatnonzero((k[0] != k[0][-1]) | (k[1] != k[1][-1]) | (k[2] != k[2][-1]))
+        k = [batch.column(c).to_numpy() for c in keys]
+        last = np.flatnonzero(np.any([x != x[-1] for x in k], axis=0))
         if len(last):
             cut = int(last[-1]) + 1
             yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
@@ -370,10 +380,16 @@ def _with(rows: DataFrame, text: Column, of, kind: pa.DataType, name: str, sql:
     return rows.select("__kl_id", "__kl_text", text.cast("string").cast("binary").alias("t")).mapInArrow(run, f"__kl_id long, __kl_text string, {name} {sql}")
 
 
-#: 64-bit words of a wide fingerprint at least, the recall that the number of tries is chosen for, and the error of an estimate, in standard deviations, up to which shingles decide.
-WIDTH, RECALL, MARGIN = 8, 0.96, 2.0
-#: Pairs in doubt that a task holds before it reduces them to a spanning forest; texts up to this number are sought by a broadcast of their names.
+#: 64-bit words of a wide fingerprint at least, the recall that the number of tries is chosen for, and the error of an estimate, in standard deviations, from which a pair is sure.
+WIDTH, RECALL, MARGIN = 8, 0.96, 3.0
+#: Pairs that a task holds before it reduces them; texts up to this number are sought by a broadcast of their names.
 HELD, FEW = 1 << 21, 20_000
+#: Tries by which large groups are joined at first, and texts of a subtrie that the others are compared with.
+STARS, CENTRES = 6, 8
+#: Texts in the sample by which shingles are ordered, and the frequent ones kept of it. They bear on cost alone: any order gives the same pairs.
+SAMPLE, FREQUENT = 5000, 1 << 17
+#: Pairs for each row at shared shingles, on average, over which texts are first compared with one of each shingle.
+CROWDED = 16
 
 
 class Bands:
@@ -450,43 +466,159 @@ class Doubtful:
         return np.stack([i[at], j[at], bits[at]])
 
 
-def similar_links(distinct: DataFrame, bands: Bands, leaf: int = LEAF) -> DataFrame:
-    """u, v, sure: links of wide fingerprints (node, sketch) as spanning forests of each trie of a task.
+def star_links(distinct: DataFrame, bands: Bands) -> DataFrame:
+    """u, v: links of wide fingerprints (node, sketch) that are surely similar, of each text with the first ones of its subtries.
 
-    Those that are sure join groups. Those in doubt, which shingles have to decide, are the closest pairs that would join groups further.
+    Their number grows with the texts, whatever the size of a group. What they leave apart is for `meetings`.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _matrix(batch.column(1), bands.width)
-            for t in range(bands.tries if len(m) else 0):
+            for t in range(min(STARS, bands.tries) if len(m) else 0):
                 slot = (np.int64(t) << np.int64(40)) | _top(bands.values(t, m), bands.first)
                 yield pa.record_batch([pa.array(slot), batch.column(0), batch.column(1)], names=["slot", "node", "sketch"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in subtrie_tables(batches):
-            slot, lo, hi, node = (table.column(c).to_numpy() for c in ("slot", "lo", "hi", "node"))
-            wide = _matrix(table.column("sketch"), bands.width)
-            for a, b in _ranges(slot >> 40).T:
-                m, ids, root, doubt = wide[a:b], node[a:b], np.arange(b - a), Doubtful()
-                u, v = [], []
-                for i, j in _self_pairs(bands.values(int(slot[a] >> 40), m), lo[a:b], hi[a:b], bands.first, bands.trie_budget):
-                    bits = np.bitwise_count(m[i] ^ m[j]).sum(axis=1, dtype=np.int64)
-                    sure = bits <= bands.sure
-                    x, y = i[sure], j[sure]
-                    used = spanning(root, x, y)
-                    u.append(ids[x[used]])
-                    v.append(ids[y[used]])
-                    near = ~sure & (bits <= bands.budget)
-                    doubt.add(root, i[near], j[near], bits[near])
-                x, y, _ = doubt.forest(root)
-                left, right = np.concatenate([*u, ids[x]]), np.concatenate([*v, ids[y]])
-                if len(left):
-                    yield pa.record_batch([pa.array(left), pa.array(right), pa.array(np.arange(len(left)) < len(left) - len(x))], names=["u", "v", "sure"])
-
-    rows = dealt(distinct.select("node", "sketch").mapInArrow(spread, "slot long, node long, sketch binary"), F.col("node"), leaf)
-    keys = ["slot", "lo", "hi"]
-    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(link, "u long, v long, sure boolean")
+        for table in subtrie_tables(batches, keys=("slot",)):
+            slot, node, m = table.column("slot").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("sketch"), bands.width)
+            left = np.arange(len(slot))
+            for _ in range(CENTRES):
+                runs = _ranges(slot[left])
+                centre = np.repeat(left[runs[0]], runs[1] - runs[0])
+                sure = np.bitwise_count(m[left] ^ m[centre]).sum(axis=1, dtype=np.int64) <= bands.sure
+                linked = sure & (left != centre)
+                if linked.any():
+                    yield pa.record_batch([pa.array(node[centre[linked]]), pa.array(node[left[linked]])], names=["u", "v"])
+                left = left[~sure]
+                if not len(left):
+                    break
+
+    rows = distinct.select("node", "sketch").mapInArrow(spread, "slot long, node long, sketch binary")
+    return rows.repartition("slot").sortWithinPartitions("slot", "node").mapInArrow(link, "u long, v long")
+
+
+# -- exact: texts that share one of their first shingles -------------------------
+
+
+def frequent(rows: DataFrame, texts: int, words: int, seed: int) -> np.ndarray:
+    """Shingles that many texts of a sample have, the most frequent last; rows: __kl_text, text."""
+    every = max(1, math.ceil(texts / SAMPLE))
+    chosen = rows.where(F.crc32(F.col("__kl_text").cast("binary")) % every == 0).groupBy("__kl_text").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.record_batch([pa.array(shingles(text.as_py(), words, seed).view(np.int64))], names=["h"])
+
+    counts = chosen.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    found = counts.orderBy(F.col("n").desc(), "h").limit(FREQUENT).toArrow()
+    return found.column("h").to_numpy().view(np.uint64)[::-1].copy()
+
+
+def places(hashes: np.ndarray, common: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Numbers that stand for the shingles and give their order, sorted: frequent ones last, the others by hash. common: sorted, order: their places."""
+    out = hashes >> np.uint64(1)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        known = common[at] == hashes
+        out[known] = np.uint64(1 << 63) | order[at[known]].astype(np.uint64)
+    return np.sort(out)
+
+
+def first_shingles(sizes, similarity: float):
+    """How many of the first shingles of a set have one in common with any set of the similarity."""
+    return sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """Those rows (token, node, top, n, pos) whose token texts of other groups have, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in subtrie_tables(batches, keys=("token",)):
+            top, runs = table.column("top").to_numpy(), _ranges(table.column("token").to_numpy())
+            apart = np.minimum.reduceat(top, runs[0]) != np.maximum.reduceat(top, runs[0])
+            yield from table.filter(pa.array(np.repeat(apart, runs[1] - runs[0]))).combine_chunks().to_batches()
+
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
+
+
+def meetings(rows: DataFrame, similarity: float, stars: bool) -> DataFrame:
+    """u, v, ru, rv: the pairs of nodes of different groups that can have the similarity, by a token of both, their sizes and places; and their groups.
+
+    Tokens are in order, so what comes after the first one in common bounds the rest. With `stars` only pairs with the smallest node of each token.
+    """
+    part = similarity / (1 + similarity)
+
+    def possible(n, pos, top, node, i, j):
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (top[i] != top[j]) & (small >= similarity * large - 1e-6) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= part * (n[i] + n[j]) - 1e-6)
+        i, j = i[ok], j[ok]
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        return np.stack([node[i], node[j], top[i], top[j]])
+
+    def once(held: list[np.ndarray]) -> np.ndarray:
+        x = np.concatenate(held, axis=1)
+        x = x[:, np.lexsort((x[1], x[0]))]
+        new = np.ones(x.shape[1], bool)
+        new[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
+        return x[:, new]
+
+    def pairs(n, node, runs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if stars:
+            least = np.repeat(np.minimum.reduceat(node, runs[0]), runs[1] - runs[0])
+            at = np.flatnonzero(node == least)
+            centre = np.repeat(at, runs[1] - runs[0])
+            yield centre, np.arange(len(node))
+            return
+        run = np.repeat(np.arange(runs.shape[1]), runs[1] - runs[0])
+        key = run.astype(np.float64) * 2.0**32 + n  # rows are sorted by size within a token
+        stop = np.searchsorted(key, run * 2.0**32 + np.minimum(n / similarity + 1e-6, 2.0**32 - 1), side="right")
+        count = stop - np.arange(len(n)) - 1
+        ends = np.cumsum(count)
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + FRONTIER, side="right")))
+            i = np.repeat(np.arange(a, b), count[a:b])
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
+            a = b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for table in subtrie_tables(batches, keys=("token",)):
+            token, node, top, n, pos = (table.column(c).to_numpy() for c in ("token", "node", "top", "n", "pos"))
+            for i, j in pairs(n, node, _ranges(token)):
+                held.append(possible(n, pos, top, node, i, j))
+                size += held[-1].shape[1]
+                if size > HELD // 2:
+                    held = [once(held)]
+                    size = held[0].shape[1]
+                    if size > HELD // 4:
+                        yield pa.record_batch([pa.array(c) for c in held[0]], names=["u", "v", "ru", "rv"])
+                        held, size = [], 0
+        if size:
+            yield pa.record_batch([pa.array(c) for c in once(held)], names=["u", "v", "ru", "rv"])
+
+    return rows.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "u long, v long, ru long, rv long").dropDuplicates(["u", "v"])
+
+
+def possible_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (u, v, ...) whose first shingles leave room for the similarity; sets: node, n, prefix. None that has it goes."""
+    part, names, schema = similarity / (1 + similarity), pairs.columns, pairs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "p1", "p2"))):
+                x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                last = min(x[-1], y[-1])  # up to there all tokens of both are known
+                x, y = x[: np.searchsorted(x, last, side="right")], y[: np.searchsorted(y, last, side="right")]
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep.append(both + min(n - len(x), m - len(y)) >= part * (n + m) - 1e-6)
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k, c in ((1, "u"), (2, "v")))
+    return pairs.join(one, "u").join(two, "v").select(*names, "n1", "n2", "p1", "p2").mapInArrow(run, schema)
 
 
 def shingle_sets(texts: DataFrame, words: int, seed: int = 42) -> DataFrame:
@@ -519,32 +651,88 @@ def confirmed(doubtful: DataFrame, docs: DataFrame, nodes: DataFrame, words: int
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, leaf: int = LEAF) -> DataFrame:
     """One row of docs for each group of texts whose distinct shingles of `words` words have a similarity of `similarity` or more; see first_of.
 
-    The similarity is estimated from wide fingerprints (512 bits at least). Where the estimate is within MARGIN standard
-    deviations of the threshold, the shingles of the closest such pairs that would join groups are compared. Texts without words are equal. An empty table gives none.
+    No pair of the similarity is left out: texts of different groups that share one of their first shingles are compared by all their shingles.
+    Pairs whose estimate by wide fingerprints (512 bits at least) is MARGIN standard deviations above the threshold are not compared.
+    Texts without words are equal. An empty table gives none.
     """
     bands = Bands(similarity, docs.count(), leaf)
     with tidied():
-        return one_of_each(docs, save(first_of(_similar_groups(docs, bands, words, similarity, seed, leaf)), "kept", outer=True))
+        return one_of_each(docs, save(first_of(_similar_groups(docs, bands, words, similarity, seed)), "kept", outer=True))
+
+
+def _sets(rows: DataFrame, bands: Bands, words: int, similarity: float, seed: int, order: np.ndarray) -> DataFrame:
+    """__kl_id, __kl_text and of the set of shingles: digest, n, sketch and prefix, its first ones."""
+    width, by = bands.width, np.argsort(order)
+    shared_order = rows.sparkSession.sparkContext.broadcast((order[by], by))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, places_of = shared_order.value
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for t in batch.column(2):
+                h = shingles(t.as_py(), words, seed)
+                tokens = places(h, common, places_of)
+                found = (hashlib.md5(h.tobytes()).digest(), len(h), _sketched(h, width), tokens[: int(first_shingles(np.int64(len(h)), similarity))].astype("<u8").tobytes())
+                for column, x in zip(out, found):
+                    column.append(x)
+            columns = [pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["__kl_id", "__kl_text", "digest", "n", "sketch", "prefix"])
+
+    return rows.select("__kl_id", "__kl_text", F.col("text").cast("string").cast("binary").alias("t")).mapInArrow(run, "__kl_id long, __kl_text string, digest binary, n long, sketch binary, prefix binary")
+
+
+def _at_tokens(nodes: DataFrame) -> DataFrame:
+    """token, node, top, n, pos for each of the first shingles of the nodes (node, top, n, prefix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                node, top, n = (batch.column(c).slice(a, 512).to_numpy() for c in range(3))
+                prefix = batch.column(3).slice(a, 512).to_pylist()
+                many = np.array([len(p) // 8 for p in prefix], np.int64)
+                pos = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.record_batch([pa.array(np.frombuffer(b"".join(prefix), "<i8")), *(pa.array(np.repeat(x, many)) for x in (node, top, n)), pa.array(pos)], names=["token", "node", "top", "n", "pos"])
+
+    return nodes.select("node", "top", "n", "prefix").mapInArrow(run, "token long, node long, top long, n long, pos long")
+
+
+def _crowded(rows: DataFrame) -> bool:
+    """Whether the pairs at tokens are many more than the rows."""
+    n = rows.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+    return (n[1] or 0) > CROWDED * (n[0] or 0)
 
 
-def _similar_groups(docs: DataFrame, bands: Bands, words: int, similarity: float, seed: int, leaf: int) -> DataFrame:
+def _similar_groups(docs: DataFrame, bands: Bands, words: int, similarity: float, seed: int) -> DataFrame:
     """__kl_id, __kl_text, group for each row of docs."""
-    width = bands.width
     rows = docs.select("doc_id", "text").withColumns(_identity())
-    sketches = save(_with(rows, F.col("text"), lambda t: sketch(t, words, width, seed), pa.binary(), "sketch", "binary"), "sketches")
+    order = frequent(rows, docs.count(), words, seed)
+    sets = save(_sets(rows, bands, words, similarity, seed, order), "sketches")
     of_one = F.min(_row(F.col("__kl_id"), F.col("__kl_text"))).alias("__kl_row")
-    distinct = save(sketches.groupBy("sketch").agg(of_one).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    links = save(similar_links(distinct, bands, leaf), "similar")
-    joined = save(components(links.where("sure").select("u", "v")), "joined")
-    top = joined.select(F.col("node").alias("of"), F.col("root").alias("top"))
-
-    def root_of(pairs: DataFrame, end: str) -> DataFrame:
-        return pairs.join(top, F.col(end) == F.col("of"), "left").withColumn(f"r{end}", F.coalesce("top", end)).drop("of", "top")
-
-    doubtful = save(root_of(root_of(links.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "u"), "v").where("ru != rv"), "doubtful")
-    found = confirmed(doubtful.select("u", "v"), docs, distinct.select("node", "__kl_row"), words, similarity, seed)
-    more = doubtful.join(found, ["u", "v"]).select("ru", "rv")
-    last = components(more).select(F.col("node").alias("top"), F.col("root").alias("last"))
-    group = distinct.select("node", F.col("sketch").alias("of")).join(joined.select(F.col("node").alias("member"), F.col("root").alias("first")), F.col("node") == F.col("member"), "left")
-    group = group.select("of", F.coalesce("first", "node").alias("first")).join(last, F.col("first") == F.col("top"), "left").select("of", F.coalesce("last", "first").alias("group"))
-    return sketches.join(group, F.col("sketch") == F.col("of")).select("__kl_id", "__kl_text", "group")
+    distinct = sets.groupBy("digest").agg(of_one, *[F.first(c).alias(c) for c in ("n", "sketch", "prefix")])
+    distinct = save(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    joined = save(components(star_links(distinct, bands)), "joined")
+
+    def renewed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """rows with the new roots of their groups as top."""
+        known = roots.select(F.col("node").alias("__kl_node"), F.col("root").alias("__kl_root"))
+        return rows.join(known, F.col("top") == F.col("__kl_node"), "left").withColumn("top", F.coalesce("__kl_root", "top")).drop("__kl_node", "__kl_root").select(*rows.columns)
+
+    tops = save(renewed(distinct.select("node", F.col("node").alias("top")), joined), "tops")
+    met = save(shared(_at_tokens(distinct.join(tops, "node"))), "met")
+    stars = _crowded(met)
+    while not met.isEmpty():
+        pairs = Saved(meetings(met, similarity, stars), "pairs")
+        near = save(possible_pairs(pairs.df, distinct, similarity), "possible")
+        pairs.drop()
+        found = save(confirmed(near.select("u", "v"), docs, distinct.select("node", "__kl_row"), words, similarity, seed), "found")
+        any_found = not found.isEmpty()
+        if any_found:
+            roots = save(components(near.join(found, ["u", "v"]).select("ru", "rv")), "joined")
+            tops = save(renewed(tops, roots), "tops")
+        if not stars:
+            break
+        if any_found:
+            met = save(shared(renewed(met, roots)), "met")
+        stars = any_found and _crowded(met)  # at last all pairs that are left
+    group = distinct.select("node", F.col("digest").alias("of")).join(tops, "node").select("of", F.col("top").alias("group"))
+    return sets.join(group, F.col("digest") == F.col("of")).select("__kl_id", "__kl_text", "group")

@@ -228,3 +228,50 @@ def test_bands_bring_similar_texts_together():
         b = Bands(0.8, n, 4096)
         assert 1 - (1 - (1 - b.differ) ** b.first) ** b.tries >= 0.96 and b.width * 64 >= b.tries * b.first
         assert n / 2**b.first <= 4096 / 16 or b.first == 32
+
+
+def test_similar_documents_leave_out_no_pair(spark):
+    """Short and long texts around the similarity, some sharing very frequent shingles: the groups are those of comparing all pairs."""
+    rnd = random.Random(21)
+    words, line = [f"w{i}" for i in range(2000)], "this line stands in every second text of the table".split()
+    rows = []
+    for g in range(160):
+        t = [rnd.choice(words) for _ in range(rnd.choice([8, 9, 10, 14, 30, 60, 250]))] + line * (g % 2)
+        for _ in range(rnd.randint(1, 4)):
+            u = t + [rnd.choice(words) for _ in range(rnd.choice([0, 1, 1, 2, len(t) // 6]))]
+            for _ in range(rnd.choice([0, 0, 1, len(t) // 60])):
+                u[rnd.choice([0, -1, rnd.randrange(len(u))])] = rnd.choice(words)
+            rows.append((len(rows), " ".join(u), "en", "s", 1))
+    sets, root = [plain_shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    expected = sorted({find(k) for k in range(len(rows))})
+    assert len(expected) < 0.75 * len(rows)
+    assert sorted(r["doc_id"] for r in similar_documents(spark.createDataFrame(rows, DOCUMENT)).collect()) == expected
+
+
+def test_a_large_group_of_near_copies_costs_links_by_its_texts(spark):
+    """No pair of subtries or parts meets: what joins a group grows with its texts, and one of it stays."""
+    rnd = random.Random(22)
+    t = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for _ in range(600):
+        u = list(t)
+        u[rnd.randrange(300)] = f"v{rnd.randrange(10**6)}"
+        texts.append(" ".join(u))
+    bands = Bands(0.8, len(texts), 16)
+    distinct = spark.createDataFrame([(k, sketch(x.encode(), 5, bands.width)) for k, x in enumerate(texts)], "node bigint, sketch binary")
+    links = simhash.star_links(distinct, bands)
+    assert links.count() <= simhash.STARS * len(texts)
+    assert components(links).count() == len(texts) - 1
+    docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in enumerate(texts)], DOCUMENT)
+    assert [r["doc_id"] for r in similar_documents(docs, leaf=16).collect()] == [0]
