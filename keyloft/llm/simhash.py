@@ -386,10 +386,10 @@ WIDTH, RECALL, MARGIN = 8, 0.96, 3.0
 HELD, FEW = 1 << 21, 20_000
 #: Tries by which large groups are joined at first, and texts of a subtrie that the others are compared with.
 STARS, CENTRES = 6, 8
-#: Texts in the sample by which shingles are ordered, and the frequent ones kept of it. They bear on cost alone: any order gives the same pairs.
-SAMPLE, FREQUENT = 5000, 1 << 17
-#: Pairs for each row at shared shingles, on average, over which texts are first compared with one of each shingle.
-CROWDED = 16
+#: One text of so many is in the sample by which shingles are ordered, of small tables more, and the frequent shingles kept of it. They bear on cost alone: any order gives the same pairs.
+SAMPLE, FREQUENT = 10, 1 << 18
+#: Pairs for each row at shared shingles, on average, over which texts are first compared with one of each shingle, another one in each of so many rounds.
+CROWDED, ROUNDS = 2, 2
 
 
 class Bands:
@@ -503,7 +503,7 @@ def star_links(distinct: DataFrame, bands: Bands) -> DataFrame:
 
 def frequent(rows: DataFrame, texts: int, words: int, seed: int) -> np.ndarray:
     """Shingles that many texts of a sample have, the most frequent last; rows: __kl_text, text."""
-    every = max(1, math.ceil(texts / SAMPLE))
+    every = max(1, min(SAMPLE, texts // 5000))
     chosen = rows.where(F.crc32(F.col("__kl_text").cast("binary")) % every == 0).groupBy("__kl_text").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -543,10 +543,10 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
 
 
-def meetings(rows: DataFrame, similarity: float, stars: bool) -> DataFrame:
+def meetings(rows: DataFrame, similarity: float, stars: int = 0) -> DataFrame:
     """u, v, ru, rv: the pairs of nodes of different groups that can have the similarity, by a token of both, their sizes and places; and their groups.
 
-    Tokens are in order, so what comes after the first one in common bounds the rest. With `stars` only pairs with the smallest node of each token.
+    Tokens are in order, so what comes after the first one in common bounds the rest. With `stars`, the number of a round, only pairs with one node of each token, the same for most tokens of a group.
     """
     part = similarity / (1 + similarity)
 
@@ -566,8 +566,9 @@ def meetings(rows: DataFrame, similarity: float, stars: bool) -> DataFrame:
 
     def pairs(n, node, runs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if stars:
-            least = np.repeat(np.minimum.reduceat(node, runs[0]), runs[1] - runs[0])
-            at = np.flatnonzero(node == least)
+            draw = (node.astype(np.uint64) + np.uint64(stars)) * np.uint64(0x9E3779B97F4A7C15)  # no two nodes are equal
+            draw = (draw ^ (draw >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            at = np.flatnonzero(draw == np.repeat(np.minimum.reduceat(draw, runs[0]), runs[1] - runs[0]))
             centre = np.repeat(at, runs[1] - runs[0])
             yield centre, np.arange(len(node))
             return
@@ -719,20 +720,19 @@ def _similar_groups(docs: DataFrame, bands: Bands, words: int, similarity: float
 
     tops = save(renewed(distinct.select("node", F.col("node").alias("top")), joined), "tops")
     met = save(shared(_at_tokens(distinct.join(tops, "node"))), "met")
-    stars = _crowded(met)
+    stars = int(_crowded(met))
     while not met.isEmpty():
         pairs = Saved(meetings(met, similarity, stars), "pairs")
         near = save(possible_pairs(pairs.df, distinct, similarity), "possible")
         pairs.drop()
         found = save(confirmed(near.select("u", "v"), docs, distinct.select("node", "__kl_row"), words, similarity, seed), "found")
-        any_found = not found.isEmpty()
-        if any_found:
+        if not found.isEmpty():
             roots = save(components(near.join(found, ["u", "v"]).select("ru", "rv")), "joined")
             tops = save(renewed(tops, roots), "tops")
         if not stars:
             break
-        if any_found:
+        if not found.isEmpty():
             met = save(shared(renewed(met, roots)), "met")
-        stars = any_found and _crowded(met)  # at last all pairs that are left
+        stars = stars + 1 if stars < ROUNDS and _crowded(met) else 0  # at last all pairs that are left
     group = distinct.select("node", F.col("digest").alias("of")).join(tops, "node").select("of", F.col("top").alias("group"))
     return sets.join(group, F.col("digest") == F.col("of")).select("__kl_id", "__kl_text", "group")
