@@ -216,12 +216,12 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def dealt(rows: DataFrame, by: Column, leaf: int) -> DataFrame:
+def dealt(rows: DataFrame, by: Column, leaf: int, weight: Column | None = None) -> DataFrame:
     """Adds lo and hi to rows with a `slot`: those of a slot over `leaf` rows are dealt into parts by `by`, and each goes to every pair of parts that has its own.
 
-    Rows that meet in a slot meet in some (slot, lo, hi). The counts are combined before the shuffle.
+    Rows that meet in a slot meet in some (slot, lo, hi). The counts are combined before the shuffle. A row counts as `weight` rows.
     """
-    hot = save(rows.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select(F.col("slot").alias("hot"), F.ceil(F.col("n") / leaf).cast("int").alias("parts")), "hot")
+    hot = save(rows.groupBy("slot").agg(F.sum(F.lit(1) if weight is None else weight).alias("n")).where(F.col("n") > leaf).select(F.col("slot").alias("hot"), F.ceil(F.col("n") / leaf).cast("int").alias("parts")), "hot")
     if hot.isEmpty():
         return rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("parts")).cast("int")).otherwise(0)
@@ -388,6 +388,8 @@ HELD, FEW = 1 << 21, 20_000
 STARS, CENTRES = 6, 8
 #: One text of so many is in the sample by which shingles are ordered, of small tables more, and the frequent shingles kept of it. They bear on cost alone: any order gives the same pairs.
 SAMPLE, FREQUENT = 10, 1 << 18
+#: Near texts at a shingle over which they are a cell; of a cell about so many texts give its centre, and so many shingles of a difference from it count as a row.
+CROWD, SAMPLED, HEAVY = 32, 64, 256
 #: Pairs for each row at shared shingles, on average, over which texts are first compared with one of each shingle, another one in each of so many rounds.
 CROWDED, ROUNDS = 2, 2
 
@@ -532,27 +534,27 @@ def first_shingles(sizes, similarity: float):
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Those rows (token, node, top, n, pos) whose token texts of other groups have, too."""
+    """Those rows (token, node, top, n, pos, cell) whose token texts of other groups and cells have, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in subtrie_tables(batches, keys=("token",)):
-            top, runs = table.column("top").to_numpy(), _ranges(table.column("token").to_numpy())
-            apart = np.minimum.reduceat(top, runs[0]) != np.maximum.reduceat(top, runs[0])
+            top, cell, runs = table.column("top").to_numpy(), table.column("cell").to_numpy(), _ranges(table.column("token").to_numpy())
+            apart = np.logical_and(*(np.minimum.reduceat(x, runs[0]) != np.maximum.reduceat(x, runs[0]) for x in (top, cell)))
             yield from table.filter(pa.array(np.repeat(apart, runs[1] - runs[0]))).combine_chunks().to_batches()
 
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
 
 
 def meetings(rows: DataFrame, similarity: float, stars: int = 0) -> DataFrame:
-    """u, v, ru, rv: the pairs of nodes of different groups that can have the similarity, by a token of both, their sizes and places; and their groups.
+    """u, v, ru, rv: the pairs of nodes of different groups and cells that can have the similarity, by a token of both, their sizes and places; and their groups.
 
     Tokens are in order, so what comes after the first one in common bounds the rest. With `stars`, the number of a round, only pairs with one node of each token, the same for most tokens of a group.
     """
     part = similarity / (1 + similarity)
 
-    def possible(n, pos, top, node, i, j):
+    def possible(n, pos, top, node, cell, i, j):
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (top[i] != top[j]) & (small >= similarity * large - 1e-6) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= part * (n[i] + n[j]) - 1e-6)
+        ok = (top[i] != top[j]) & (cell[i] != cell[j]) & (small >= similarity * large - 1e-6) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= part * (n[i] + n[j]) - 1e-6)
         i, j = i[ok], j[ok]
         i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
         return np.stack([node[i], node[j], top[i], top[j]])
@@ -564,7 +566,7 @@ def meetings(rows: DataFrame, similarity: float, stars: int = 0) -> DataFrame:
         new[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
         return x[:, new]
 
-    def pairs(n, node, runs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(n, node, cell, runs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if stars:
             draw = (node.astype(np.uint64) + np.uint64(stars)) * np.uint64(0x9E3779B97F4A7C15)  # no two nodes are equal
             draw = (draw ^ (draw >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -574,22 +576,36 @@ def meetings(rows: DataFrame, similarity: float, stars: int = 0) -> DataFrame:
             return
         run = np.repeat(np.arange(runs.shape[1]), runs[1] - runs[0])
         key = run.astype(np.float64) * 2.0**32 + n  # rows are sorted by size within a token
-        stop = np.searchsorted(key, run * 2.0**32 + np.minimum(n / similarity + 1e-6, 2.0**32 - 1), side="right")
-        count = stop - np.arange(len(n)) - 1
+        last = run * 2.0**32 + np.minimum(n / similarity + 1e-6, 2.0**32 - 1)
+        lone, within = np.flatnonzero(cell < 0), np.flatnonzero(cell >= 0)
+        yield from windows(lone, lone, np.arange(len(lone)) + 1, np.searchsorted(key[lone], last[lone], side="right"))
+        if len(within):  # all that are not in the token's largest cell, with those in any
+            at = within[np.lexsort((cell[within], run[within]))]
+            blocks = _ranges(run[at], cell[at])
+            by = np.lexsort((blocks[0] - blocks[1], run[at[blocks[0]]]))
+            of, first = np.unique(run[at[blocks[0][by]]], return_index=True)
+            main = np.full(runs.shape[1], -1, np.int64)
+            main[of] = cell[at[blocks[0][by][first]]]
+            others = np.flatnonzero((cell != main[run]) & (main[run] >= 0))
+            yield from windows(others, within, np.searchsorted(key[within], run[others] * 2.0**32 + n[others] * similarity - 1e-6), np.searchsorted(key[within], last[others], side="right"))
+
+    def windows(one, two, start, stop) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each of `one` with those from start to stop in `two`, some at a time."""
+        count = np.maximum(stop - start, 0)
         ends = np.cumsum(count)
         a = 0
-        while a < len(n):
+        while a < len(one):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + FRONTIER, side="right")))
-            i = np.repeat(np.arange(a, b), count[a:b])
-            yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
+            at = np.repeat(np.arange(a, b), count[a:b])
+            yield one[at], two[start[at] + np.arange(len(at)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])]
             a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for table in subtrie_tables(batches, keys=("token",)):
-            token, node, top, n, pos = (table.column(c).to_numpy() for c in ("token", "node", "top", "n", "pos"))
-            for i, j in pairs(n, node, _ranges(token)):
-                held.append(possible(n, pos, top, node, i, j))
+            token, node, top, n, pos, cell = (table.column(c).to_numpy() for c in ("token", "node", "top", "n", "pos", "cell"))
+            for i, j in pairs(n, node, cell, _ranges(token)):
+                held.append(possible(n, pos, top, node, cell, i, j))
                 size += held[-1].shape[1]
                 if size > HELD // 2:
                     held = [once(held)]
@@ -636,14 +652,120 @@ def shingle_sets(texts: DataFrame, words: int, seed: int = 42) -> DataFrame:
     return texts.select("node", F.col("text").cast("string").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
 
 
+def crowds(rows: DataFrame, sketches: DataFrame, bands: Bands, similarity: float) -> DataFrame:
+    """u, v: links of wide fingerprints (node, sketch) that can be near one text, of the first ones of a token with those of more than CROWD others near them.
+
+    Two texts of the similarity to a third have one of 2 s - 1 at least. These links bear on cost alone.
+    """
+    loose, bits = math.acos((2 * similarity - 1) / similarity) / math.pi if similarity > 0.5 else 0.5, BITS * bands.width
+    budget = bits * loose + MARGIN * math.sqrt(bits * loose * (1 - loose))
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in subtrie_tables(batches, keys=("token",)):
+            runs = _ranges(table.column("token").to_numpy())
+            yield from table.select(["token", "node"]).filter(pa.array(np.repeat(runs[1] - runs[0] > CROWD, runs[1] - runs[0]))).combine_chunks().to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in subtrie_tables(batches, keys=("token",)):
+            token, node, m = table.column("token").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("sketch"), bands.width)
+            left = np.arange(len(token))
+            for _ in range(CENTRES):
+                runs = _ranges(token[left])
+                size = runs[1] - runs[0]
+                centre = np.repeat(left[runs[0]], size)
+                near = np.bitwise_count(m[left] ^ m[centre]).sum(axis=1, dtype=np.int64) <= budget
+                crowd = near & np.repeat(np.add.reduceat(near, runs[0], dtype=np.int64) > CROWD, size)
+                if crowd.any():
+                    u, v = np.unique(np.stack([node[left[crowd]], node[centre[crowd]]]), axis=1)
+                    yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+                left = left[~near]
+                if not len(left):
+                    break
+
+    found = save(rows.repartition("token").sortWithinPartitions("token").mapInArrow(many, "token long, node long"), "many")
+    known = found.join(sketches.select("node", "sketch"), "node").select("token", "node", "sketch")
+    return known.repartition("token").sortWithinPartitions("token", "node").mapInArrow(link, "u long, v long").distinct()
+
+
+def linked_by_differences(top: np.ndarray, n: np.ndarray, differ: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of groups that join those of all similar pairs; of each text its group, size, and what its set and a centre, the same for all, do not share.
+
+    Two sets differ by what is in one of these differences but not in both. So the texts near the centre are similar to the one nearest to it,
+    and any other is compared with all texts by the shingles that its difference shares with theirs.
+    """
+    many = np.array([len(d) for d in differ], np.int64)
+    owner = np.repeat(np.arange(len(differ)), many)
+    token = np.unique(np.concatenate([np.zeros(0, np.uint64), *differ]), return_inverse=True)[1]
+    own = np.split(token, np.cumsum(many)[:-1])
+    by = np.argsort(token, kind="stable")
+    holders, ends = owner[by], np.cumsum(np.bincount(token, minlength=1))
+    alike, now = n - many, top.copy()  # half the sum of two of these, and the shingles that the differences share, are those that the sets share
+    order = np.argsort((1 + similarity) * many - (1 - similarity) * n, kind="stable")
+    for y in order:
+        if y != order[0] and now[y] == now[order[0]]:
+            continue
+        both = np.bincount(np.concatenate([holders[:0], *(holders[ends[t - 1] if t else 0 : ends[t]] for t in own[y])]), minlength=len(n))
+        common = (alike + alike[y]) // 2 + both
+        near = common >= similarity * (n + n[y] - common)
+        for other in np.unique(now[near & (now != now[y])]):
+            yield int(other), int(now[y])
+            now[now == other] = now[y]
+
+
+def cell_links(cells: DataFrame, sets: DataFrame, similarity: float, leaf: int) -> DataFrame:
+    """u, v: links of groups that join those of all similar pairs within a cell; cells: node, top, cell; sets: node, shingles.
+
+    A cell's centre is what more than half of a sample of its texts have; it bears on cost alone. A text goes on as its difference
+    from the centre, so what a task holds and does grows with the edits, not with the texts' lengths, and pairs do not leave it.
+    """
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in subtrie_tables(batches, 1, keys=("cell",)):
+            cell = table.column("cell").to_numpy()
+            for a, b in _ranges(cell).T:
+                found, n = np.unique(table.column("shingles").slice(a, b - a).combine_chunks().flatten().to_numpy().view(np.uint64), return_counts=True)
+                yield pa.record_batch([pa.array(cell[a : a + 1]), pa.array([found[2 * n > b - a].astype("<u8").tobytes()], pa.binary())], names=["centre_of", "centre"])
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.array(x.values.to_numpy(), np.int64).view(np.uint64) for x in batch.column(3)]
+            differ = [np.setxor1d(x, np.frombuffer(c.as_py() or b"", "<u8"), assume_unique=True) for x, c in zip(own, batch.column(4))]
+            n, weight = pa.array([len(x) for x in own], pa.int64()), pa.array([1 + len(d) // HEAVY for d in differ], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), n, weight, pa.array([d.astype("<u8").tobytes() for d in differ], pa.binary())], names=["slot", "node", "top", "n", "weight", "differ"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in subtrie_tables(batches, 1):
+            slot, lo, hi, top, n = (table.column(c).to_numpy() for c in ("slot", "lo", "hi", "top", "n"))
+            for a, b in _ranges(slot, lo, hi).T:
+                differ = [np.frombuffer(d, "<u8") for d in table.column("differ").slice(a, b - a).to_pylist()]
+                found = [*linked_by_differences(top[a:b], n[a:b], differ, similarity)]
+                if found:
+                    yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("many")).withColumnRenamed("cell", "cell_of")
+    draw = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("many") / SAMPLED))) == 0
+    sample = cells.join(sizes, F.col("cell") == F.col("cell_of")).where(draw).select("node", "cell").join(sets, "node").select("cell", "shingles")
+    centres = save(sample.repartition("cell").sortWithinPartitions("cell").mapInArrow(centre, "centre_of long, centre binary"), "centres")
+    small = (centres.agg(F.sum(F.length("centre"))).first()[0] or 0) <= FEW * 256
+    known = cells.join(sets, "node").join(F.broadcast(centres) if small else centres, F.col("cell") == F.col("centre_of"), "left")
+    rows = save(known.select("cell", "node", "top", "shingles", "centre").mapInArrow(differences, "slot long, node long, top long, n long, weight long, differ binary"), "differences")
+    keys = ["slot", "lo", "hi"]
+    return dealt(rows, F.col("node"), leaf, F.col("weight")).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "u long, v long")
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """node, shingles of the texts named by wanted: node, __kl_key."""
+    own = _identity()
+    rows = docs.select("text", _row(own["__kl_id"], own["__kl_text"]).alias("__kl_row"))
+    found = rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, F.col("__kl_row") == F.col("__kl_key")).dropDuplicates(["node"])
+    return save(shingle_sets(found.select("node", "text"), words, seed), "sets")
+
+
 def confirmed(doubtful: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
     """u, v of the pairs in doubt whose distinct shingles have the similarity; nodes: node, __kl_row of one text each."""
     ends = save(doubtful.select(F.explode(F.array("u", "v")).alias("end")).distinct(), "ends")
     wanted = save(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("__kl_row").alias("__kl_key")), "wanted")
-    own = _identity()
-    rows = docs.select("text", _row(own["__kl_id"], own["__kl_text"]).alias("__kl_row"))
-    found = rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, F.col("__kl_row") == F.col("__kl_key")).dropDuplicates(["node"])
-    sets = save(shingle_sets(found.select("node", "text"), words, seed), "sets")
+    sets = sets_of(wanted, docs, words, seed)
     both = doubtful.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("one")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("two")), "v")
     common = F.size(F.array_intersect("one", "two"))
     return both.where(common >= similarity * (F.size("one") + F.size("two") - common)).select("u", "v")
@@ -658,7 +780,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """
     bands = Bands(similarity, docs.count(), leaf)
     with tidied():
-        return one_of_each(docs, save(first_of(_similar_groups(docs, bands, words, similarity, seed)), "kept", outer=True))
+        return one_of_each(docs, save(first_of(_similar_groups(docs, bands, words, similarity, seed, leaf)), "kept", outer=True))
 
 
 def _sets(rows: DataFrame, bands: Bands, words: int, similarity: float, seed: int, order: np.ndarray) -> DataFrame:
@@ -683,7 +805,7 @@ def _sets(rows: DataFrame, bands: Bands, words: int, similarity: float, seed: in
 
 
 def _at_tokens(nodes: DataFrame) -> DataFrame:
-    """token, node, top, n, pos for each of the first shingles of the nodes (node, top, n, prefix)."""
+    """token, node, top, n, pos, cell for each of the first shingles of the nodes (node, top, n, prefix); each is in a cell of its own, below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -692,9 +814,9 @@ def _at_tokens(nodes: DataFrame) -> DataFrame:
                 prefix = batch.column(3).slice(a, 512).to_pylist()
                 many = np.array([len(p) // 8 for p in prefix], np.int64)
                 pos = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                yield pa.record_batch([pa.array(np.frombuffer(b"".join(prefix), "<i8")), *(pa.array(np.repeat(x, many)) for x in (node, top, n)), pa.array(pos)], names=["token", "node", "top", "n", "pos"])
+                yield pa.record_batch([pa.array(np.frombuffer(b"".join(prefix), "<i8")), *(pa.array(np.repeat(x, many)) for x in (node, top, n)), pa.array(pos), pa.array(np.repeat(-1 - node, many))], names=["token", "node", "top", "n", "pos", "cell"])
 
-    return nodes.select("node", "top", "n", "prefix").mapInArrow(run, "token long, node long, top long, n long, pos long")
+    return nodes.select("node", "top", "n", "prefix").mapInArrow(run, "token long, node long, top long, n long, pos long, cell long")
 
 
 def _crowded(rows: DataFrame) -> bool:
@@ -703,7 +825,7 @@ def _crowded(rows: DataFrame) -> bool:
     return (n[1] or 0) > CROWDED * (n[0] or 0)
 
 
-def _similar_groups(docs: DataFrame, bands: Bands, words: int, similarity: float, seed: int) -> DataFrame:
+def _similar_groups(docs: DataFrame, bands: Bands, words: int, similarity: float, seed: int, leaf: int) -> DataFrame:
     """__kl_id, __kl_text, group for each row of docs."""
     rows = docs.select("doc_id", "text").withColumns(_identity())
     order = frequent(rows, docs.count(), words, seed)
@@ -720,6 +842,17 @@ def _similar_groups(docs: DataFrame, bands: Bands, words: int, similarity: float
 
     tops = save(renewed(distinct.select("node", F.col("node").alias("top")), joined), "tops")
     met = save(shared(_at_tokens(distinct.join(tops, "node"))), "met")
+    crowded = save(crowds(met, distinct, bands, similarity), "crowded")
+    if not crowded.isEmpty():
+        cells = save(crowded.select(F.col("u").alias("node")).distinct().join(components(crowded), "node", "left").select("node", F.coalesce("root", "node").alias("cell")), "cells")
+        members = save(cells.join(tops, "node").join(distinct.select("node", F.col("__kl_row").alias("__kl_key")), "node"), "members")
+        found = save(cell_links(members.select("node", "top", "cell"), sets_of(members.select("node", "__kl_key"), docs, words, seed), similarity, leaf), "found")
+        if not found.isEmpty():
+            roots = save(components(found), "joined")
+            tops, met = save(renewed(tops, roots), "tops"), renewed(met, roots)
+        known = cells.select(F.col("node").alias("__kl_node"), F.col("cell").alias("__kl_cell"))
+        met = met.join(F.broadcast(known) if known.count() <= FEW else known, F.col("node") == F.col("__kl_node"), "left").withColumn("cell", F.coalesce("__kl_cell", "cell")).drop("__kl_node", "__kl_cell")
+        met = save(shared(met), "met")
     stars = int(_crowded(met))
     while not met.isEmpty():
         pairs = Saved(meetings(met, similarity, stars), "pairs")

@@ -275,3 +275,72 @@ def test_a_large_group_of_near_copies_costs_links_by_its_texts(spark):
     assert components(links).count() == len(texts) - 1
     docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in enumerate(texts)], DOCUMENT)
     assert [r["doc_id"] for r in similar_documents(docs, leaf=16).collect()] == [0]
+
+
+def joined_groups(sets, root):
+    """The smallest position that each reaches, by comparing all pairs of sets, from the given groups on."""
+    root = list(root)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_links_by_differences_are_those_of_all_pairs():
+    """Whatever the centre is, also none, and with groups known before."""
+    rnd = random.Random(31)
+    for trial in range(30):
+        base = [rnd.sample(range(10**6), 60) for _ in range(rnd.choice([1, 2]))]
+        sets = []
+        for _ in range(60):
+            s = list(rnd.choice(base))
+            for _ in range(rnd.randint(0, 12)):
+                s[rnd.randrange(len(s))] = rnd.choice([rnd.randrange(10**6), rnd.randrange(20)])
+            sets.append(set(s[: rnd.randint(40, 60)]))
+        centre = set(rnd.choice([base[0], base[-1][:30], [], rnd.sample(range(10**6), 500)]))
+        first = list(range(60))
+        for i in range(1, 60, 7):
+            first[i] = i - 1
+        differ = [np.array(sorted(s ^ centre), np.uint64) for s in sets]
+        links = [*simhash.linked_by_differences(np.array(first), np.array([len(s) for s in sets]), differ, 0.8)]
+        expected = joined_groups(sets, first)
+        assert len(links) == len(set(first)) - len(set(expected))  # a spanning forest
+        root = {i: i for i in range(60)}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in links:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        assert [find(x) for x in first] == expected
+
+
+def test_near_copies_around_the_similarity_are_no_pairs(spark, monkeypatch):
+    """Copies of one text with none to nine edits, many under 0.8 to most others: the groups are those of all pairs, the pairs that leave a task grow with the texts, also where a cell is dealt into parts."""
+    rnd = random.Random(32)
+    base, texts = [f"w{rnd.randrange(5000)}" for _ in range(150)], []
+    for _ in range(500):
+        u = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            u[rnd.randrange(150)] = f"v{rnd.randrange(10**6)}"
+        texts.append(" ".join(u))
+    sets = [plain_shingles(t) for t in texts]
+    expected = sorted(set(joined_groups(sets, range(len(sets)))))
+    assert 100 < len(expected) < 400
+    docs, pairs, whole = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in enumerate(texts)], DOCUMENT), [], simhash.possible_pairs
+    monkeypatch.setattr(simhash, "possible_pairs", lambda found, *a: (pairs.append(found.count()), whole(found, *a))[1])
+    for leaf in (4096, 200):
+        pairs.clear()
+        assert sorted(r["doc_id"] for r in similar_documents(docs, leaf=leaf).collect()) == expected
+        assert sum(pairs) <= 10 * len(texts)
