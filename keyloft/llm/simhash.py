@@ -383,7 +383,7 @@ def _with(rows: DataFrame, text: Column, of, kind: pa.DataType, name: str, sql:
 #: 64-bit words of a wide fingerprint at least, the recall that the number of tries is chosen for, and the error of an estimate, in standard deviations, from which a pair is sure.
 WIDTH, RECALL, MARGIN = 8, 0.96, 3.0
 #: Pairs that a task holds before it reduces them; texts up to this number are sought by a broadcast of their names.
-HELD, FEW = 1 << 21, 20_000
+HELD, FEW = 1 << 21, 100_000
 #: Tries by which large groups are joined at first, and texts of a subtrie that the others are compared with.
 STARS, CENTRES = 6, 8
 #: One text of so many is in the sample by which shingles are ordered, of small tables more, and the frequent shingles kept of it. They bear on cost alone: any order gives the same pairs.
@@ -746,7 +746,7 @@ def cell_links(cells: DataFrame, sets: DataFrame, similarity: float, leaf: int)
     draw = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("many") / SAMPLED))) == 0
     sample = cells.join(sizes, F.col("cell") == F.col("cell_of")).where(draw).select("node", "cell").join(sets, "node").select("cell", "shingles")
     centres = save(sample.repartition("cell").sortWithinPartitions("cell").mapInArrow(centre, "centre_of long, centre binary"), "centres")
-    small = (centres.agg(F.sum(F.length("centre"))).first()[0] or 0) <= FEW * 256
+    small = (centres.agg(F.sum(F.length("centre"))).first()[0] or 0) <= HEAVY << 14
     known = cells.join(sets, "node").join(F.broadcast(centres) if small else centres, F.col("cell") == F.col("centre_of"), "left")
     rows = save(known.select("cell", "node", "top", "shingles", "centre").mapInArrow(differences, "slot long, node long, top long, n long, weight long, differ binary"), "differences")
     keys = ["slot", "lo", "hi"]
