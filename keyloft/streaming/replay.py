@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,43 +20,91 @@ from keyloft.plans.replay import BY_KEY, WRONG_TYPE, key_arrays
 REPLIES = "seq bigint, pos int, key string, op string, kind string, str string, int bigint"
 
 
+OPS = ("SET", "HSET", "DEL", "GET", "HGET", "EXISTS")
+SET, HSET, DEL, GET, HGET, EXISTS = range(len(OPS))
+#: What KeyReplay gives of a command: string, whether its key held a text then, existed, whether it was there before, and what GET and HGET found.
+PARTS = "seq bigint, pos int, key string, op int, string boolean, existed boolean, found string"
+#: Rows of a frame that leaves.
+FRAME = 1 << 15
+
+
 class KeyReplay(StatefulProcessor):
-    """State of one key: `head` (type, text), and `fields` for maps."""
+    """State of one key: `head` (type, text), and `fields` for maps.
+
+    A batch's rows of the key are sorted and answered as arrays: each by the last write before it. The state store is asked
+    only for what older batches left, and told only what the batch leaves, once for each field.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "type string, text string")
         self.fields = handle.getMapState("fields", "field string", "value string")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda r: (r.seq, r.pos)):
-            head = self.head.get() if self.head.exists() else None
-            kind = head[0] if head else None
-            out = ("bulk", None, None)
-            if r.op == "SET":
-                self._clear(kind)
-                self.head.update(("string", r.value))
-                out = ("simple", "OK", None)
-            elif r.op == "GET" and kind == "string":
-                out = ("bulk", head[1], None)
-            elif r.op == "HSET" and kind == "string":
-                out = ("error", WRONG_TYPE, None)
-            elif r.op == "HSET":
-                self.head.update(("hash", None))
-                self.fields.updateValue((r.field,), (r.value,))
-                out = ("integer", None, 1)
-            elif r.op == "HGET" and kind == "hash" and self.fields.containsKey((r.field,)):
-                out = ("bulk", self.fields.getValue((r.field,))[0], None)
-            elif r.op in ("DEL", "EXISTS"):
-                out = ("integer", None, int(kind is not None))
-                if r.op == "DEL":
-                    self._clear(kind)
-            yield Row(seq=r.seq, pos=r.pos, key=r.key, op=r.op, kind=out[0], str=out[1], int=out[2])
-
-    def _clear(self, kind) -> None:
-        if kind == "hash":
-            self.fields.clear()
-        if kind is not None:
-            self.head.clear()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        seq, pos, op, field, value = self._sorted(rows)
+        kind, text = self.head.get() if self.head.exists() else (None, None)
+        at = np.arange(len(seq))
+        reset = np.maximum.accumulate(np.where((op == SET) | (op == DEL), at, -1))  # -1: the state that the batch met
+        string = np.where(reset < 0, kind == "string", op[reset] == SET)
+        wrote = np.concatenate([[-1], np.maximum.accumulate(np.where(op <= DEL, at, -1))[:-1]])
+        existed = np.where(wrote < 0, kind is not None, op[wrote] != DEL)
+        mapped = self._last_of_field(op, field, reset)
+        asked = np.flatnonzero((op == HGET) & (reset < 0) & (mapped < 0)) if kind == "hash" else at[:0]
+        known = {f: self.fields.getValue((f,))[0] if self.fields.containsKey((f,)) else None for f in dict.fromkeys(field[asked])}
+        for a in range(0, len(seq), FRAME):
+            cut = slice(a, a + FRAME)
+            found = [None] * len(seq[cut])
+            for n in (a + np.flatnonzero((op[cut] == GET) & string[cut])).tolist():
+                found[n - a] = value[reset[n]] if reset[n] >= 0 else text
+            for n in (a + np.flatnonzero((op[cut] == HGET) & ~string[cut])).tolist():
+                found[n - a] = value[mapped[n]] if mapped[n] >= 0 else known.get(field[n]) if reset[n] < 0 else None
+            yield pd.DataFrame({"seq": seq[cut], "pos": pos[cut], "key": pd.Series([key[0]] * len(found), dtype=object), "op": op[cut], "string": string[cut], "existed": existed[cut], "found": pd.Series(found, dtype=object)})
+        self._leave(kind, op, field, value, int(reset[-1]))
+
+    def _sorted(self, rows: Iterator[pd.DataFrame]) -> list[np.ndarray]:
+        """seq, pos, op, field and value in the order of the log. Equal texts are held once."""
+        held, columns = {}, [[], [], [], [], []]
+        for frame in rows:
+            for column, name, kind in zip(columns, ("seq", "pos", "op"), (np.int64, np.int32, np.int8)):
+                column.append(frame[name].to_numpy(kind))
+            for column, name in zip(columns[3:], ("field", "value")):
+                own = np.empty(len(frame), object)
+                own[:] = [held.setdefault(x, x) if isinstance(x, str) else None for x in frame[name]]
+                column.append(own)
+        seq, pos, *rest = (np.concatenate(c) for c in columns)
+        order = np.lexsort((pos, seq))
+        return [c[order] for c in (seq, pos, *rest)]
+
+    @staticmethod
+    def _last_of_field(op: np.ndarray, field: np.ndarray, reset: np.ndarray) -> np.ndarray:
+        """The last HSET of the same field since the same reset, up to each HGET or HSET; -1 where there is none."""
+        out = np.full(len(op), -1)
+        at = np.flatnonzero((op == HSET) | (op == HGET))
+        code = pd.factorize(field[at], use_na_sentinel=False)[0]
+        order = np.lexsort((at, code, reset[at]))
+        at, code = at[order], code[order]
+        start = np.ones(len(at), bool)
+        start[1:] = (code[1:] != code[:-1]) | (reset[at[1:]] != reset[at[:-1]])
+        place = np.arange(len(at))
+        last = np.maximum.accumulate(np.where(op[at] == HSET, place, -1))
+        none = last < np.maximum.accumulate(np.where(start, place, 0))
+        out[at] = np.where(none, -1, at[last])
+        return out
+
+    def _leave(self, kind: str | None, op: np.ndarray, field: np.ndarray, value: np.ndarray, reset: int) -> None:
+        if reset >= 0:
+            if kind == "hash":
+                self.fields.clear()
+            if op[reset] == SET:
+                self.head.update(("string", value[reset]))
+                return
+            if kind is not None:
+                self.head.clear()
+            kind = None
+        last = {field[n]: value[n] for n in (reset + 1 + np.flatnonzero(op[reset + 1 :] == HSET)).tolist()} if kind != "string" else {}
+        if last and kind is None:
+            self.head.update(("hash", None))
+        for f, v in last.items():
+            self.fields.updateValue((f,), (v,))
 
     def close(self) -> None:
         pass
@@ -69,8 +119,16 @@ def replies(commands: DataFrame) -> DataFrame:
     error = F.col("error") if "error" in commands.columns else F.lit(None).cast("string")
     rows = commands.withColumn("error", error)
     op, failed = F.col("op"), F.col("error").isNotNull()
-    keyed = rows.where(~failed & op.isin(*BY_KEY)).select("seq", "pos", "op", "key", "field", "value")
-    parts = keyed.groupBy("key").transformWithState(statefulProcessor=KeyReplay(), outputStructType=REPLIES, outputMode="Append", timeMode="None")
+    code = F.create_map(*[F.lit(x) for pair in zip(OPS, range(len(OPS))) for x in pair])[op].cast("int")
+    keyed = rows.where(~failed & op.isin(*BY_KEY)).select("seq", "pos", code.alias("op"), "key", "field", "value")
+    parts = keyed.groupBy("key").transformWithStateInPandas(statefulProcessor=KeyReplay(), outputStructType=PARTS, outputMode="Append", timeMode="None")
+    string = F.col("string")
+    parts = parts.select(
+        "seq", "pos", "key", F.array(*map(F.lit, OPS))[F.col("op")].alias("op"),
+        F.when(op == SET, "simple").when((op == HSET) & string, "error").when(op.isin(HSET, DEL, EXISTS), "integer").otherwise("bulk").alias("kind"),
+        F.when(op == SET, "OK").when((op == HSET) & string, WRONG_TYPE).otherwise(F.col("found")).alias("str"),
+        F.when(op.isin(DEL, EXISTS), F.col("existed").cast("bigint")).when((op == HSET) & ~string, 1).cast("bigint").alias("int"),
+    )
     kind = F.when(failed, "error").when(op == "KEYS", "array").otherwise("simple")
     text = F.when(failed, F.col("error")).when(op == "PING", "PONG").when(op == "SAVE", "OK")
     other = rows.where(failed | op.isin("PING", "SAVE", "KEYS")).select(F.col("seq").cast("bigint"), F.col("pos").cast("int"), "key", "op", kind.alias("kind"), text.alias("str"), F.lit(None).cast("bigint").alias("int"))

@@ -159,3 +159,85 @@ def test_a_stream_goes_on_after_a_stop(spark, tmp_path):
     log = tables.mixed_log(events)
     assert sorted(map(str, whole_replies(parts).collect())) == sorted(map(str, replay.replies(log).collect()))
     assert sorted(map(str, key_replies(parts).collect())) == sorted(map(str, replay.key_arrays(log).collect()))
+
+
+def test_stream_state_calls_do_not_grow_with_rows():
+    """Each batch asks the state store for what older ones left, and tells it what is left, not once for each command."""
+    import random
+
+    import pandas as pd
+    from keyloft.streaming.replay import OPS, KeyReplay
+
+    calls, state = [0], {"head": None, "fields": {}}
+
+    class Head:
+        def exists(self):
+            calls[0] += 1
+            return state["head"] is not None
+
+        def get(self):
+            calls[0] += 1
+            return state["head"]
+
+        def update(self, new):
+            calls[0] += 1
+            state["head"] = new
+
+        def clear(self):
+            self.update(None)
+
+    class Fields:
+        def containsKey(self, f):
+            calls[0] += 1
+            return f in state["fields"]
+
+        def getValue(self, f):
+            calls[0] += 1
+            return state["fields"][f]
+
+        def updateValue(self, f, v):
+            calls[0] += 1
+            state["fields"][f] = v
+
+        def clear(self):
+            calls[0] += 1
+            state["fields"] = {}
+
+    class Handle:
+        def getValueState(self, *_):
+            return Head()
+
+        def getMapState(self, *_):
+            return Fields()
+
+    draw, kept = random.Random(1), None  # kept: None, a text, or a dict
+    replay_of = KeyReplay()
+    replay_of.init(Handle())
+    seq = 0
+    for size in (1, 3, 700, 1, 2, 5, 900, 4, 40, 1, 6, 300, *[2] * 60):
+        rows, expected = [], []
+        resets = draw.random() < 0.5
+        for _ in range(size):
+            seq += 1
+            op = draw.choice(OPS if resets else ("HSET", "GET", "HGET", "EXISTS"))
+            f, v = draw.choice(["a", "b", None, "c"]), draw.choice(["x", "y", None, str(seq)])
+            rows.append((seq, 0, OPS.index(op), f, v))
+            string, existed, found = isinstance(kept, tuple), kept is not None, None
+            if op == "SET":
+                kept, string = (v,), True
+            elif op == "DEL":
+                kept, string = None, False
+            elif op == "HSET" and not string:
+                kept = {**(kept or {}), f: v}
+            elif op == "GET" and string:
+                found = kept[0]
+            elif op == "HGET" and kept and not string:
+                found = kept.get(f)
+            expected.append((seq, 0, "k", OPS.index(op), string, existed, found))
+        draw.shuffle(rows)
+        frames = [pd.DataFrame(rows[a : a + 256], columns=["seq", "pos", "op", "field", "value"]) for a in range(0, size, 256)]
+        calls[0] = 0
+        got = [tuple(r) for frame in replay_of.handleInputRows(("k",), iter(frames), None) for r in frame.itertuples(index=False)]
+        assert [tuple(None if x != x else x for x in r) for r in got] == expected
+        assert calls[0] <= 20
+        assert isinstance(kept, dict) == (state["head"] is not None and state["head"][0] == "hash")
