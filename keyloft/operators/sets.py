@@ -87,12 +87,33 @@ def memory_usage(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.when(F.bool_and(F.coalesce(same, F.lit(False))), 8 * F.count("*")).otherwise(F.sum(F.octet_length("member"))).cast("bigint").alias("bytes"))
 
 
+#: Bits of a seq within its block: a key's log is dealt by blocks, and a block has at most 2 ** BLOCK seqs.
+BLOCK = 14
+
+
+def _block() -> Column:
+    return F.shiftright(F.col("seq").cast("bigint"), BLOCK)
+
+
 def _there(identity: str) -> Column:
-    """Whether the member was in the set before the operation: whether the last add or remove of the same identity was an add."""
-    w = Window.partitionBy("key", identity).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    """Whether the member was in the set before the operation: whether the last add or remove of the same identity was an add.
+
+    Rows without identity are told apart by blocks, so that they are not one window.
+    """
+    w = Window.partitionBy("key", identity, F.when(F.col(identity).isNull(), _block())).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.last(F.when(F.col("op") != "HAS", F.col("op")), ignorenulls=True).over(w) == "ADD", F.lit(False))
 
 
+def _blocks(rows: DataFrame, found: Column) -> DataFrame:
+    """b_key, b_block, found: an aggregate for each block of a key's log."""
+    return rows.groupBy(F.col("key").alias("b_key"), F.col("block").alias("b_block")).agg(found.alias("found"))
+
+
+def _with_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """rows with `found` of their block; null keys are one key, rows without a seq one block."""
+    return rows.join(blocks, F.col("key").eqNullSafe(F.col("b_key")) & F.col("block").eqNullSafe(F.col("b_block"))).drop("b_key", "b_block")
+
+
 def _promoted(log: DataFrame, limit: int) -> DataFrame:
     """The log with number and promoted, the seq of the operation that promotes its set (null if none does).
 
@@ -107,19 +128,40 @@ def _promoted(log: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("promoted", F.min(F.when(promotes, F.col("seq"))).over(by_key)).drop("held", "n")
 
 
+def _promoted_by_blocks(log: DataFrame, limit: int) -> DataFrame:
+    """As _promoted, for keys that hold much of the log.
+
+    Windows over rows are over a key's identity or a block of its log, so the log of one key is dealt over all tasks;
+    those over a key see one row for each block.
+    """
+    op, number = F.col("op"), F.col("number")
+    of_key = Window.partitionBy("b_key")
+    rows = log.withColumn("number", parse_int(F.col("member"))).withColumn("held", number.isNotNull() & _there("number"))
+    change = F.when(number.isNull(), 0).when((op == "ADD") & ~F.col("held"), 1).when((op == "REM") & F.col("held"), -1).otherwise(0)
+    rows = rows.select(*log.columns, "number", change.alias("change"), _block().alias("block"))
+    sums = _blocks(rows, F.sum("change")).withColumn("found", F.coalesce(F.sum("found").over(of_key.orderBy("b_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = Window.partitionBy("key", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.col("found") + F.coalesce(F.sum("change").over(within), F.lit(0))
+    rows = _with_blocks(rows, sums).withColumn("n", n).drop("found")
+    promotes = (op == "ADD") & (number.isNull() | (F.col("n") >= limit))
+    firsts = _blocks(rows, F.min(F.when(promotes, F.col("seq")))).withColumn("found", F.min("found").over(of_key))
+    return _with_blocks(rows, firsts).withColumnRenamed("found", "promoted").drop("block", "change", "n")
+
+
 def promotions(log: DataFrame, limit: int = LIMIT) -> DataFrame:
     """key, promoted: the seq of the operation that promotes the set, for sets that any does."""
-    return _promoted(log, limit).where(F.col("promoted").isNotNull()).select("key", "promoted").distinct()
+    return _promoted_by_blocks(log, limit).where(F.col("promoted").isNotNull()).select("key", "promoted").distinct()
 
 
-def replay(log: DataFrame, limit: int = LIMIT) -> DataFrame:
+def replay(log: DataFrame, limit: int = LIMIT, by_blocks: bool = False) -> DataFrame:
     """Replies of a log (key, seq, op in ADD, REM, HAS, member): seq, key, op, member, reply 0 or 1, and id, the member as the set knows it.
 
     At its promotion an integer set keeps its members in canonical text, so what was known
     by value before goes on under that text. Before it an operation on what is no integer does nothing.
+    A log of many keys is dealt by key once. With `by_blocks` the log of each key is dealt over all tasks, in more shuffles: for keys that hold much of the log.
     """
     late = F.coalesce(F.col("seq") >= F.col("promoted"), F.lit(False))
-    known = _promoted(log, limit).withColumn("id", F.when(late, F.col("member")).otherwise(F.col("number").cast("string")))
+    known = (_promoted_by_blocks if by_blocks else _promoted)(log, limit).withColumn("id", F.when(late, F.col("member")).otherwise(F.col("number").cast("string")))
     live = known.withColumn("there", _there("id") & F.col("id").isNotNull())
     reply = F.when(F.col("id").isNull(), 0).when(F.col("op") == "ADD", (~F.col("there")).cast("int")).otherwise(F.col("there").cast("int"))
     return live.select("seq", "key", "op", "member", "id", reply.cast("bigint").alias("reply"))
@@ -127,5 +169,5 @@ def replay(log: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def final_members(log: DataFrame, limit: int = LIMIT) -> DataFrame:
     """set_members after the log."""
-    last = replay(log, limit).where(F.col("id").isNotNull() & (F.col("op") != "HAS")).groupBy("key", "id").agg(F.max_by("op", "seq").alias("op"))
+    last = replay(log, limit, by_blocks=True).where(F.col("id").isNotNull() & (F.col("op") != "HAS")).groupBy("key", "id").agg(F.max_by("op", "seq").alias("op"))
     return last.where(F.col("op") == "ADD").select("key", F.col("id").alias("member"))

@@ -538,7 +538,7 @@ r as (select *, coalesce(arg_max(op, case when op <> 'HAS' then seq end) over (p
 
 @query(_set_sql(9) + "select seq, key, op, member, id, case when op = 'ADD' then (not there)::bigint else there::bigint end as reply from r")
 def set_replay(spark, sf_dir):
-    return sets.replay(set_log(spark, sf_dir), limit=9)
+    return sets.replay(set_log(spark, sf_dir), limit=9, by_blocks=True)
 
 
 @query(_set_sql(512) + "select key, id as member from (select key, id, arg_max(op, seq) as op from r where id is not null and op <> 'HAS' group by key, id) where op = 'ADD'")
@@ -549,7 +549,7 @@ def set_replay_members(spark, sf_dir):
 @query(_set_sql(512, _WIDE_LOG) + "select seq, key, op, member, id, case when op = 'ADD' then (not there)::bigint else there::bigint end as reply from r")
 def set_replay_512(spark, sf_dir):
     """Sets that pass the limit of 512 integers."""
-    return sets.replay(wide_set_log(spark, sf_dir))
+    return sets.replay(wide_set_log(spark, sf_dir), by_blocks=True)
 
 
 @query(f"select key, sum(strlen(member))::bigint as bytes from {_MEMBERS} m group by key")

@@ -217,3 +217,20 @@ def test_binary_files_are_written_in_parallel(spark, tmp_path):
     assert len(names) > 8 and all(f.read_bytes().endswith(b"\xff" + bytes(8)) and f.read_bytes()[:9] == binary.HEADER for f in names)
     with pytest.raises(Exception, match="cannot be read back"):
         binary.write_files(spark.createDataFrame([(b"k", "string", None, b"x" * 100)], df.schema), f"file://{tmp_path}/bad")
+
+
+def test_one_set_is_replayed_over_many_tasks(spark):
+    """No exchange or window deals the log by its key alone, and a promotion counts what other blocks of seqs left."""
+    import re
+
+    from keyloft.operators import sets
+
+    step = 1 << sets.BLOCK - 1  # two seqs to a block
+    ops = [("ADD", "1"), ("ADD", "+1"), ("ADD", "2"), ("REM", "01"), ("ADD", "3"), ("HAS", "x"), ("ADD", "4"), ("ADD", "05"), ("HAS", "05"), ("HAS", "4"), ("REM", "04"), ("ADD", "6")]
+    log = spark.createDataFrame([(n * step, key, op, m) for key in ("a", None) for n, (op, m) in enumerate(ops)], "seq bigint, key string, op string, member string")
+    replay = sets.replay(log, limit=3, by_blocks=True)
+    got = {(r["key"], r["seq"] // step): (r["id"], r["reply"]) for r in replay.collect()}
+    # 1, 2, then 2, 3, 4 at seq 6; 05 finds three members and promotes
+    expected = [("1", 1), ("1", 0), ("2", 1), ("1", 1), ("3", 1), (None, 0), ("4", 1), ("05", 1), ("05", 1), ("4", 1), ("04", 0), ("6", 1)]
+    assert got == {(key, n): x for key in ("a", None) for n, x in enumerate(expected)}
+    assert not re.search(r"hashpartitioning\(key#\d+, \d+\)", replay._jdf.queryExecution().executedPlan().toString())
