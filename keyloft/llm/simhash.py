@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloft.llm.common import Saved, save, tidied
-from keyloft.llm.components import components, dealt_anew
+from keyloft.llm.components import components, dealt_anew, spanning
 
 BITS = 64
 #: Fingerprints of a subtrie that one task takes whole.
@@ -428,22 +428,6 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, width)
 
 
-def spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Joins the groups of `root` over links (i, j), in place; the positions of links that do it, a spanning forest."""
-    used, at = [], np.arange(len(i))
-    while True:
-        x, y = root[i[at]], root[j[at]]
-        apart = x != y
-        if not apart.any():
-            return np.concatenate([*used, np.zeros(0, np.int64)]).astype(np.int64)
-        at, x, y = at[apart], x[apart], y[apart]
-        high, first = np.unique(np.maximum(x, y), return_index=True)
-        root[high] = np.minimum(x, y)[first]  # a larger root hangs on a smaller one, so no circle
-        used.append(at[first])
-        while (root[root] != root).any():
-            root[:] = root[root]
-
-
 class Doubtful:
     """Pairs (i, j) with their differing bits, reduced to those of a minimum spanning forest over given groups."""
 

@@ -114,6 +114,18 @@ def test_components_equal_union_find(spark):
     assert got == {a: find(a) for a in root if find(a) != a}
 
 
+def test_few_links_are_settled_in_one_task(spark):
+    links = spark.range(1, 400).selectExpr("(id * 37) % 401 as u", "((id + 1) * 37) % 401 as v").union(spark.createDataFrame([(900, 907), (907, 907), (None, 3), (911, 907)], "u bigint, v bigint"))
+    stepped = sorted(map(tuple, components(links, alone=0).collect()))
+    spark.sparkContext.setJobGroup("settled", "settled")
+    try:
+        assert sorted(map(tuple, components(links).collect())) == stepped
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("settled")) < 12  # the steps of a chain take dozens
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert components(links.where("u < 0")).count() == 0
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rnd = random.Random(9)
     words = [f"w{i}" for i in range(400)]
